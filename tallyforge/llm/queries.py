@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules, sharding
+from . import decontam, linededup, packing, rules, sharding, tokenfile
+
+#: A line on more than this share of a source's documents, and on as many of them, is boilerplate.
+SITE_RATIO, SITE_PAGES = 0.05, 5
+
+
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +27,29 @@ def op1_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = decontam.find_contamination(_docs(spark, sf_dir).select("doc_id", "text"), benchmark)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_cascade(_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_sharding, op3_quality_rules)}
+def op7_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.concatenate_and_cut(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def op9_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(_docs(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_site_lines(_docs(spark, sf_dir).select("doc_id", "source", "text"), ratio=SITE_RATIO, min_pages=SITE_PAGES)
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op7_concat_and_cut, op9_simple8b_files, op10_site_lines)}
 ORACLE_SQL: dict[str, str] = {}
