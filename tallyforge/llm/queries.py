@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, packing, rules, sharding, tokenfile
+from . import decontam, linededup, neardup, packing, rules, sharding, tokenfile
 
 #: A line on more than this share of a source's documents, and on as many of them, is boilerplate.
 SITE_RATIO, SITE_PAGES = 0.05, 5
@@ -42,6 +42,10 @@ def op7_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.concatenate_and_cut(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_docs(spark, sf_dir))
+
+
 def op9_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(_docs(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -51,5 +55,5 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op7_concat_and_cut, op9_simple8b_files, op10_site_lines)}
+QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op7_concat_and_cut, op8_near_duplicates, op9_simple8b_files, op10_site_lines)}
 ORACLE_SQL: dict[str, str] = {}
