@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
-_SYMBOLS = "#*$%&|<>"
+_WORDED = r"[^\x20\x09-\x0D]"
+_SYMBOLS = r"[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -22,20 +22,11 @@ class Rule:
     needs: tuple[str, ...] = ()
 
 
-def _less(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def word_array(text: Column) -> Column:
     """Words between blanks; none for a null, empty or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACES), lambda w: w != "")
 
 
-def word_count(text: Column) -> Column:
-    """The number of word_array's words, without building it: ends of words are characters before a blank or the end."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
-
-
 def repeated_words(words: str) -> Column:
     """Words that lie in a window of three words which occurs twice or more; reads the array column `words`.
 
@@ -54,7 +45,7 @@ def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     Null texts count as empty; columns of these names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORDED))
     made = df.withColumns({"__words": word_array(F.col(text_col)), "__lines": lines})
     made = made.withColumn("__sorted", repeated_words("__words"))
     same = lambda x, i: (F.get(F.col("__sorted"), i - 1)["w"] == x["w"]) | (F.get(F.col("__sorted"), i + 1)["w"] == x["w"])
@@ -68,8 +59,8 @@ def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return made.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": (F.length(text) - _less(text, _SPACE)).cast("long"),
-            "n_symbols": _less(text, _SYMBOLS).cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(_SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
@@ -86,15 +77,16 @@ def standard_rules() -> list[Rule]:
     words = F.greatest(F.col("n_words"), F.lit(1))
     mean = F.col("word_chars") / words
     text = F.coalesce(F.col("text"), F.lit(""))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    capitals = F.regexp_count(text, F.lit(r"\p{Lu}"))
+    only = F.regexp_replace(text, r"\P{L}++", "")
+    letters = F.length(only)
+    capitals = letters - F.length(F.regexp_replace(only, r"\p{Lu}++", ""))
     return [
         Rule("mean_word_length", (F.col("n_words") > 0) & ((mean < 2) | (mean > 16)), ("n_words", "word_chars")),
         Rule("symbols", 10 * F.col("n_symbols") > words, ("n_words", "n_symbols")),
         Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.greatest(F.size(F.split(text, "\n")), F.lit(1)), ("n_dup_lines",)),
         Rule("few_letters", 2 * letters < F.length(text)),
         Rule("capitals", 2 * capitals > F.greatest(letters, F.lit(1))),
-        Rule("exclamations", 5 * _less(text, "!") > words, ("n_words",)),
+        Rule("exclamations", 5 * F.regexp_count(text, F.lit("!")) > words, ("n_words",)),
     ]
 
 
