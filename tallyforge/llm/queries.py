@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, neardup, packing, rules, sharding, tokenfile
+from . import decontam, langid, linededup, neardup, packing, quality, rules, sharding, tokenfile
 
 #: A line on more than this share of a source's documents, and on as many of them, is boilerplate.
 SITE_RATIO, SITE_PAGES = 0.05, 5
@@ -38,6 +38,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(_docs(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = quality.score_quality(_docs(spark, sf_dir).select("doc_id", "text"), labels)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.concatenate_and_cut(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -55,5 +65,5 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op7_concat_and_cut, op8_near_duplicates, op9_simple8b_files, op10_site_lines)}
+QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op4_language_crf, op5_quality_embeddings, op7_concat_and_cut, op8_near_duplicates, op9_simple8b_files, op10_site_lines)}
 ORACLE_SQL: dict[str, str] = {}
