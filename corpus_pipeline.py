@@ -1,4 +1,56 @@
-STAGES = []
+"""A corpus pipeline in five stages; each result is written as Parquet and read as the next stage's documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import decontam, langid, linededup, neardup, packing
+from tallyforge.llm.common import saved
+from tallyforge.llm.queries import SITE_PAGES, SITE_RATIO, tokenizer
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: those with no letter, and those with no label of half their words' weight."""
+    out = langid.identify_languages(docs)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes sites' boilerplate lines out of the texts; a document of nothing else goes. n_chars follows the text."""
+    out = linededup.drop_site_lines(docs, ratio=SITE_RATIO, min_pages=SITE_PAGES)
+    changed = F.col("__n_dropped") > 0
+    left = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    out = out.where(~changed | left)
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which benchmark windows cover a twentieth of the words or more."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.find_contamination(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids, one row per piece."""
+    return packing.concatenate_and_cut(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("packing", pack)]
+
+#: The trained labels, the tokenizer and the reachability of links have no SQL form; tests hold the stages to plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, neardup, packing, quality, rules, sharding, tokenfile
+from . import decontam, langid, linededup, lm, neardup, packing, quality, rules, sharding, tokenfile
 
 #: A line on more than this share of a source's documents, and on as many of them, is boilerplate.
 SITE_RATIO, SITE_PAGES = 0.05, 5
@@ -48,6 +48,10 @@ def op5_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_docs(spark, sf_dir))
+
+
 def op7_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.concatenate_and_cut(_docs(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -65,5 +69,5 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op4_language_crf, op5_quality_embeddings, op7_concat_and_cut, op8_near_duplicates, op9_simple8b_files, op10_site_lines)}
+QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op4_language_crf, op5_quality_embeddings, op6_context_tree_scores, op7_concat_and_cut, op8_near_duplicates, op9_simple8b_files, op10_site_lines)}
 ORACLE_SQL: dict[str, str] = {}

@@ -20,8 +20,8 @@ def hard_texts():
 @pytest.fixture(scope="session")
 def hard_docs(spark):
     rows = [(i * 3 + 1, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(hard_texts())]
-    rows.append((7, "repeated row", "en", None, 1))
-    rows.append((7, "repeated row", "en", None, 1))
+    rows.append((1000, "repeated row", "en", None, 1))
+    rows.append((1000, "repeated row", "en", None, 1))
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 
