@@ -41,8 +41,9 @@ class Embeddings:
         return np.stack([np.bincount(owner, toward[ids], len(words)), np.bincount(owner, minlength=len(words))], 1)
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 4, rate: float = 0.5, batch: int = 32, seed: int = 3) -> Embeddings:
-    """Softmax regression on the mean of the vectors of all features of a text, both learned, with a falling rate."""
+def train(rows: list[tuple[str, int]], passes: int = 10_000, rate: float = 0.5, batch: int = 32, seed: int = 3) -> Embeddings:
+    """Softmax regression on the mean of the vectors of all features of a text, both learned, with a falling rate;
+    `passes` counts the examples seen, so that few rows are seen more often."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     model = Embeddings(vectors, np.zeros((DIM, 2)), np.zeros(2))
@@ -53,6 +54,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 4, rate: float = 0.5, batch
     many = np.bincount(owner, minlength=len(vocabulary))
     first = np.cumsum(many) - many
     label = np.array([y for _, y in rows])
+    epochs = -(-passes // max(1, len(rows)))
     total, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))

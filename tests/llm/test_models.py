@@ -75,7 +75,7 @@ def test_costs_are_a_distribution_and_base_is_exact(spark, hard_docs):
 
 
 def test_language_model_beats_unigrams_on_held_out_text(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")  # needs a few million words
     r = lm.score_texts(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.avg("bits_per_byte").alias("q")).first()
     assert r["s"] > r["b"] and r["q"] < 3
 
