@@ -14,3 +14,14 @@ SETTINGS = {
 
 def build_session(builder: SparkSession.Builder | None = None) -> SparkSession:
     return (builder or SparkSession.builder).config(map=SETTINGS).getOrCreate()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names, which all machines share; temporary only where unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
