@@ -120,7 +120,12 @@ def significant_digits(value: Column) -> Column:
 
 def plain_decimal_text(value: Column) -> Column:
     """Fixed-point text without trailing zeros; 0 for zero."""
-    t = F.regexp_replace(F.format_string("%.18f", value.cast("decimal(38,18)")), "([.][0-9]*?)0+$", "$1")
+    t = F.regexp_replace(fixed_text(value), "([.][0-9]*?)0+$", "$1")
     t = F.regexp_replace(t, "[.]$", "")
     return F.when(t.rlike("^-?0$"), "0").otherwise(t)
 
+
+
+def fixed_text(value: Column) -> Column:
+    """A decimal with 18 digits after the point, never with an exponent."""
+    return F.translate(F.format_number(value.cast("decimal(38,18)"), 18), ",", "")

@@ -64,7 +64,7 @@ INPUTS = {
     "accounts": """SELECT DISTINCT concat(p_type, ' ', CASE p_size % 8 WHEN 0 THEN 'sales' WHEN 1 THEN 'freight' WHEN 2 THEN 'rent' WHEN 3 THEN 'admin' WHEN 4 THEN 'cost' WHEN 5 THEN 'total' WHEN 6 THEN 'qty' ELSE 'misc' END, ' [', CAST(500000 + p_size AS STRING), ']') AS source_column FROM {part}""",
 }
 
-_NAMES = re.compile(r"\{(\w+)\}")
+_NAMES = re.compile(r"\{([a-z]\w*)\}")
 
 
 def needs(sql: str) -> list[str]:

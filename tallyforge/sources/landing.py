@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyforge.functions.dates import normalize_period, parse_date_unambiguous, period_from_name
-from tallyforge.functions.numbers import parse_number_preserving, significant_digits
+from tallyforge.functions.numbers import fixed_text, parse_number_preserving, significant_digits
 from tallyforge.functions.text import flatten_linebreaks, has_linebreak
 
 #: Java names of code pages that only the legacy setting of the session can read.
@@ -200,8 +200,8 @@ def clean_cells(df: DataFrame, columns: Sequence[str], mode: str = "Polish") ->
     out = {}
     for c in columns:
         d, num = parse_date_unambiguous(F.col(c)), parse_number_preserving(F.col(c), mode)
-        fixed = F.format_string("%.18f", num["value"])
-        number = F.when(num["scale"] > 0, F.substring(fixed, F.lit(1), F.length(fixed) - 18 + num["scale"])).otherwise(F.format_string("%.0f", num["value"]))
+        fixed = fixed_text(num["value"])
+        number = F.when(num["scale"] > 0, F.substring(fixed, F.lit(1), F.length(fixed) - 18 + num["scale"])).otherwise(F.substring_index(fixed, ".", 1))
         out[c] = F.coalesce(d.cast("string"), F.when(num["value"].isNotNull(), number), flatten_linebreaks(F.col(c)))
     return df.withColumns(out)
 
