@@ -246,10 +246,10 @@ def _(s):
 
 @query("parse_number_preserving", """SELECT l_orderkey, l_linenumber, t AS text, CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?([.][0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(trim(t), '^[+-]?0[0-9]')
     THEN CAST(CAST(replace(trim(t), ',', '') AS DECIMAL(38,18)) AS DOUBLE) END AS value,
-    CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?([.][0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(trim(t), '^[+-]?0[0-9]') THEN CAST(length(regexp_extract(trim(t), '[.]([0-9]+)$', 1)) AS INTEGER) END AS scale FROM {numtext}""")
+    CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?([.][0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(trim(t), '^[+-]?0[0-9]') THEN CAST(length(regexp_extract(trim(t), '[.]([0-9]+)$', 1)) AS DOUBLE) END AS scale FROM {numtext}""")
 def _(s):
     p = numbers.parse_number_preserving(F.col("t"))
-    return s.numtext.select("l_orderkey", "l_linenumber", p["text"].alias("text"), p["value"].cast("double").alias("value"), p["scale"].alias("scale"))
+    return s.numtext.select("l_orderkey", "l_linenumber", p["text"].alias("text"), p["value"].cast("double").alias("value"), p["scale"].cast("double").alias("scale"))
 
 
 AUTO = """CASE WHEN regexp_matches(trim(t), '^[+-]?[0-9]{1,3}([ .][0-9]{3})+(,[0-9]+)$') OR regexp_matches(trim(t), '^[+-]?[0-9]+,([0-9]{1,2}|[0-9]{4,})$') THEN replace(replace(replace(trim(t), '.', ''), ' ', ''), ',', '.') ELSE replace(trim(t), ',', '') END"""
@@ -567,6 +567,18 @@ def first_match_classify(s):
     return mapping.first_match_classify(s.part, RULES, "label", "other").select("p_partkey", "rule_id", "label")
 
 
+LEDGER_RULES = [
+    Rule("l1", "returned", [C("l_returnflag", "==", "r"), C("l_quantity", ">=", "25")]), Rule("l2", "dear", [C("l_extendedprice", ">", 90000)]),
+    Rule("l3", "open cheap", [C("l_linestatus", "==", "O"), C("l_discount", "<", "0.02")]), Rule("l4", "either", [C("l_tax", "==", "0.08"), C("l_linenumber", "in", "6,7")], "OR"), Rule("l5", "accepted", [C("l_returnflag", "startswith", "a")]),
+]
+
+
+@query("classify_lineitem", """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' AND l_quantity >= 25 THEN 'returned' WHEN l_extendedprice > 90000 THEN 'dear' WHEN l_linestatus = 'O' AND l_discount < 0.02 THEN 'open cheap'
+    WHEN l_tax = 0.08 OR l_linenumber IN (6, 7) THEN 'either' WHEN l_returnflag = 'A' THEN 'accepted' ELSE 'other' END AS label FROM {lineitem}""")
+def _(s):
+    return mapping.first_match_classify(s.lineitem, LEDGER_RULES, "label", "other").select("l_orderkey", "l_linenumber", "label")
+
+
 @query("rule_match_stats", f"SELECT r.rule_id, CAST(coalesce(n, 0) AS BIGINT) AS matched, coalesce(n, 0) * 100.0e0 / (SELECT count(*) FROM {{part}}) AS share FROM (VALUES ('r1'), ('r2'), ('r3'), ('r4'), ('r5'), (NULL)) AS r(rule_id) LEFT JOIN (SELECT rule_id, count(*) AS n FROM {CLASSED} AS c GROUP BY rule_id) AS g ON r.rule_id IS NOT DISTINCT FROM g.rule_id")
 def _(s):
     return mapping.rule_match_stats(mapping.first_match_classify(s.part, RULES, "label"), RULES)
@@ -686,9 +698,9 @@ def _(s):
 
 # --- sets, reshape, expansion
 
-@query("union_files_by_name", "SELECT o_orderkey, o_custkey, NULL AS o_orderstatus FROM {orders} WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL AS o_custkey, o_orderstatus FROM {orders} WHERE o_orderkey % 2 = 1")
+@query("union_files_by_name", "SELECT o_orderkey, CAST(o_custkey AS STRING) AS o_custkey, NULL AS o_orderstatus FROM {orders} WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL AS o_custkey, o_orderstatus FROM {orders} WHERE o_orderkey % 2 = 1")
 def _(s):
-    return periods.union_files_by_name([s.orders.where("o_orderkey % 2 = 0").select("o_custkey", "o_orderkey"), s.orders.where("o_orderkey % 2 = 1").select("o_orderkey", "o_orderstatus")])
+    return periods.union_files_by_name([s.orders.where("o_orderkey % 2 = 0").select(F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderkey"), s.orders.where("o_orderkey % 2 = 1").select("o_orderkey", "o_orderstatus")])
 
 
 @query("append_unknown_member", "SELECT sk, nk, category FROM {dim_product} UNION ALL SELECT -1 AS sk, 'UNKNOWN' AS nk, 'UNKNOWN' AS category")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 from collections.abc import Iterator, Sequence
@@ -50,7 +51,7 @@ _PROFILE = T.StructType(
 
 
 def guess_encoding(raw: bytes) -> str:
-    """By byte order mark, share of zero bytes, UTF-8 at three places, else the legacy page with the fewest odd characters."""
+    """By byte order mark, share of zero bytes, UTF-8 at three places, else the first legacy page that decodes it with the fewest control characters."""
     if raw.startswith(b"\xef\xbb\xbf"):
         return "utf-8-sig"
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or (raw and raw[:4096].count(0) > 0.2 * len(raw[:4096])):
@@ -60,9 +61,12 @@ def guess_encoding(raw: bytes) -> str:
         return "utf-8"
     odd = {}
     for e in ("cp1250", "cp949", "cp1252", "iso-8859-2", "cp852"):
-        t = raw[:262_144].decode(e, "replace")
-        odd[e] = sum(c == "�" or "\x80" <= c <= "\x9f" for c in t)
-    return min(odd, key=odd.get)
+        try:
+            t = codecs.getincrementaldecoder(e)().decode(raw[:262_144])
+        except UnicodeDecodeError:
+            continue
+        odd[e] = sum("\x80" <= c <= "\x9f" for c in t)
+    return min(odd, key=odd.get, default="iso-8859-2")
 
 
 def _utf8(part: bytes) -> bool:
