@@ -70,4 +70,24 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op4_language_crf, op5_quality_embeddings, op6_context_tree_scores, op7_concat_and_cut, op8_near_duplicates, op9_simple8b_files, op10_site_lines)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDED = r"regexp_matches(x, '[^\x20\x09-\x0D]')"
+
+#: The quality rules and the site lines in SQL; the other operators are held to plain versions in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_WORDED}) AS lines FROM documents),
+        g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w) AS p),
+        d AS (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+        r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g JOIN d USING (doc_id, k) CROSS JOIN (VALUES (0), (1), (2)) AS t(o) GROUP BY doc_id),
+        c AS (SELECT w.doc_id, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, regexp_replace(text, '\P{{L}}+', '', 'g') AS letters FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS one FROM c)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR word_chars < 2 * one OR word_chars > 16 * one OR 10 * n_symbols > one
+            OR 100 * n_dup_lines > 30 * len(string_split(text, chr(10))) OR 2 * length(letters) < length(text) OR 2 * (length(letters) - length(regexp_replace(letters, '\p{{Lu}}+', '', 'g'))) > greatest(length(letters), 1)
+            OR 5 * (length(text) - length(replace(text, '!', ''))) > one) AS kept FROM b""",
+    "op10_site_lines": rf"""WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+        p AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(list_filter(ls, lambda x: {_WORDED}))) AS line FROM l) AS u GROUP BY source, line),
+        t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+        o AS (SELECT p.source, list(line) AS often FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source WHERE n >= {SITE_PAGES} AND n > CAST({SITE_RATIO} AS DOUBLE) * total GROUP BY p.source),
+        k AS (SELECT doc_id, text, ls, list_filter(ls, lambda x: NOT ({_WORDED} AND list_contains(coalesce(often, []), x))) AS kept FROM l LEFT JOIN o ON l.source IS NOT DISTINCT FROM o.source)
+        SELECT doc_id, CAST(len(list_filter(ls, lambda x: {_WORDED})) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped, CASE WHEN len(ls) > len(kept) THEN array_to_string(kept, chr(10)) ELSE text END AS text FROM k""",
+}

@@ -90,15 +90,17 @@ def test_rules_run_by_rejection_per_cost_and_order_leaves_verdicts(real_docs):
 
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    w, hit, found = words(text), set(), set()
+    windows = {}
     for item, t in items:
         x = words(t)
         for k in range(max(1, len(x) - 12) if x else 0):
-            win = x[k : k + 13]
-            for i in range(len(w) - len(win) + 1):
-                if w[i : i + len(win)] == win:
-                    hit.update(range(i, i + len(win)))
-                    found.add(str(item))
+            windows.setdefault(tuple(x[k : k + 13]), set()).add(str(item))
+    w, hit, found = words(text), set(), set()
+    for n in {len(k) for k in windows}:
+        for i in range(len(w) - n + 1):
+            if got := windows.get(tuple(w[i : i + n])):
+                hit.update(range(i, i + n))
+                found |= got
     return len(w), hit, sorted(found)
 
 
@@ -109,8 +111,6 @@ def test_decontamination(spark, docs, block_bytes):
     bench = bench.unionByName(extra.withColumn("item_id", F.col("item_id") + 1000))
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
     for r in decontam.find_contamination(docs, bench, block_bytes=block_bytes).collect():
-        if r["n_words"] > 20_000 or (docs.count() > 100 and r["doc_id"] % 13):
-            continue
         n, hit, found = brute_hits(r["text"], items)
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, len(hit), len(found)), r["doc_id"]
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
