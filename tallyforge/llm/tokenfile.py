@@ -23,6 +23,8 @@ MODES = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
 #: This selector says that the next word is an id as it is, for ids of over 60 bits.
 ESCAPE = 15
 BLOCK = 65_536
+#: Bits of small ids.
+_LENGTH = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
 MAGIC = b"TFS8\x01\x00\x00\x00"
 
 
@@ -32,9 +34,13 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     ids = np.concatenate([ids.astype(np.uint64), np.zeros(60, np.uint64)])
-    need = np.zeros(n + 60, np.uint8)
-    for b in range(int(ids.max()).bit_length()):
-        need += ids >= np.uint64(1 << b)
+    top = int(ids.max())
+    if top < len(_LENGTH):
+        need = _LENGTH[ids]
+    else:
+        need = np.zeros(n + 60, np.uint8)
+        for b in range(top.bit_length()):
+            need += ids >= np.uint64(1 << b)
     mode = np.full(n, ESCAPE, np.uint8)
     widest, k = need[:n].copy(), 1
     for s in range(len(MODES) - 1, -1, -1):
@@ -152,7 +158,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, id_col: str =
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, made = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encoder, part, made = Encoder.of_process(tokenizer, end_id), TaskContext.get().partitionId(), 0
         docs: list = []
         counts: list[int] = []
         held: list[bytes] = []

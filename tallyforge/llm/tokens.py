@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
 import numpy as np
 
@@ -14,13 +16,12 @@ class Encoder:
     """Texts -> ids as little-endian unsigned 32-bit numbers, with the end id last.
 
     The pre-tokenizers of the public files start a new piece at a blank or newline after a visible character, so a
-    text's ids are those of its words with their leading blanks; words are encoded once while the memory (of `most`
-    words) lasts. Any other white space is left to the tokenizer.
+    text's ids are those of its words with their leading blanks; where the tokenizer drops white space, those of its
+    words. Words are encoded once while they are remembered: the last `most` new ones, and as many before them that
+    were met again. Any other white space is left to the tokenizer.
     """
 
-    def __init__(self, tokenizer: str, end_id: int = 1, most: int = 500_000):
-        import os
-
+    def __init__(self, tokenizer: str, end_id: int = 1, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -29,15 +30,55 @@ class Encoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.most = most
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        plain = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.drops_blanks = plain(" a\n b ") == plain("a") + plain("b")
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    @classmethod
+    def of_process(cls, tokenizer: str, end_id: int = 1) -> Encoder:
+        """One encoder for all tasks of a worker process, so that its memory outlives a task."""
+        key = (tokenizer, end_id)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = cls(tokenizer, end_id)
+        return _ENCODERS[key]
+
+    def words(self, text: str) -> list[str]:
+        if self.drops_blanks:
+            return [w for w in text.replace("\n", " ").split(" ") if w]
+        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single blanks and newlines only
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return _CUT.split(text)
+
+    def _learn(self, words: set[str]) -> None:
         if len(self.memory) > self.most:
-            self.memory = {}
-        memory, words = self.memory, [_CUT.split(t) if t else () for t in texts]
-        new = [w for w in set().union(*words) if w not in memory]
+            self.memory, self.older = {}, self.memory
+        old = self.older
+        new = []
+        for w in words:
+            if (known := old.get(w)) is not None:
+                self.memory[w] = known
+            else:
+                new.append(w)
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memory[w] = np.array(e.ids, "<u4").tobytes()
-        get = memory.__getitem__
-        return [b"".join([*map(get, w), self.end]) for w in words]
+                self.memory[w] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        lists = [self.words(t) if t else [] for t in texts]
+        get = self.memory.get
+        got = [list(map(get, w)) for w in lists]
+        lost = [i for i, g in enumerate(got) if None in g]
+        if lost:
+            self._learn({w for i in lost for w, g in zip(lists[i], got[i], strict=True) if g is None})
+            get = self.memory.get
+            for i in lost:
+                # a new generation may have begun, so words known before can be in the older one
+                got[i] = [g if g is not None else get(w) for w, g in zip(lists[i], got[i], strict=True)]
+        end = self.end
+        for g in got:
+            g.append(end)
+        return [b"".join(g) for g in got]
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
