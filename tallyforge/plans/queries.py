@@ -244,9 +244,9 @@ def _(s):
     return s.numtext.select("l_orderkey", "l_linenumber", en["state"].alias("en_state"), en["value"].alias("en"), pl["value"].alias("pl"))
 
 
-@query("parse_number_preserving", """SELECT l_orderkey, l_linenumber, t AS text, CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?([.][0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(trim(t), '^[+-]?0[0-9]')
+@query("parse_number_preserving", """SELECT l_orderkey, l_linenumber, t AS text, CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?([.][0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(replace(trim(t), ',', ''), '^[+-]?0[0-9]')
     THEN CAST(CAST(replace(trim(t), ',', '') AS DECIMAL(38,18)) AS DOUBLE) END AS value,
-    CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?([.][0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(trim(t), '^[+-]?0[0-9]') THEN CAST(length(regexp_extract(trim(t), '[.]([0-9]+)$', 1)) AS DOUBLE) END AS scale FROM {numtext}""")
+    CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)?([.][0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(replace(trim(t), ',', ''), '^[+-]?0[0-9]') THEN CAST(length(regexp_extract(trim(t), '[.]([0-9]+)$', 1)) AS DOUBLE) END AS scale FROM {numtext}""")
 def _(s):
     p = numbers.parse_number_preserving(F.col("t"))
     return s.numtext.select("l_orderkey", "l_linenumber", p["text"].alias("text"), p["value"].cast("double").alias("value"), p["scale"].cast("double").alias("scale"))
@@ -608,7 +608,7 @@ def _(s):
     return ranges.estimate_daily_rows(s.promos.where("end_date >= start_date"))
 
 
-@query("repair_statistics", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}([.][0-9]{3})+|[0-9]{1,3}( [0-9]{3})+)?(,[0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(trim(t), '^[+-]?0[0-9]') THEN 1 ELSE 0 END) AS BIGINT) AS numbers,
+@query("repair_statistics", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}([.][0-9]{3})+|[0-9]{1,3}( [0-9]{3})+)?(,[0-9]+)?$') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(replace(replace(trim(t), '.', ''), ' ', ''), '^[+-]?0[0-9]') THEN 1 ELSE 0 END) AS BIGINT) AS numbers,
     CAST(0 AS BIGINT) AS dates, CAST(0 AS BIGINT) AS flattened, CAST(0 AS BIGINT) AS large_numbers FROM {numtext}""")
 def _(s):
     return landing.repair_statistics(s.numtext, ["t"], "Polish")
