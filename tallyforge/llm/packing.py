@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from .common import map_arrow, saved, ship, steps
 from .tokens import Encoder
 
+#: Totals of the first pass' partitions (16 bytes each) are broadcast up to this count and joined by shuffle beyond.
+BROADCAST_PARTS = 2_000_000
 _TOKENS = T.StructType([T.StructField("part", T.LongType()), T.StructField("before", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 _PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -24,7 +26,7 @@ def tokenized(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     ship(df.sparkSession)
 
     def run(batches):
-        encoder, part, total = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encoder, part, total = Encoder.of_process(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()
             for i, j in steps(texts):
@@ -44,7 +46,9 @@ def cut_pieces(tokens: DataFrame, length: int = 2048) -> DataFrame:
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     # One row per partition of the first pass, not per document.
     firsts = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("first"))
-    placed = tokens.join(firsts, "part").select("id", (F.col("first") + F.col("before")).alias("at"), "n", "ids")
+    firsts = saved(firsts)
+    small = firsts.count() <= BROADCAST_PARTS
+    placed = tokens.join(F.broadcast(firsts) if small else firsts, "part").select("id", (F.col("first") + F.col("before")).alias("at"), "n", "ids")
 
     def make():
         def on_batch(b: pa.RecordBatch) -> pa.RecordBatch:
