@@ -21,7 +21,7 @@ ALNUM = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in
 #: White space in the sense of the word contracts.
 BLANK = " \t\n\x0b\x0c\r"
 #: Text that one step of a Python worker holds as word objects at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -133,7 +133,7 @@ class WordIds:
     values(list of new words) gives their values as an array; lookup() returns the rows of any words.
     """
 
-    def __init__(self, values: Callable[[list[bytes]], np.ndarray], most: int = 400_000):
+    def __init__(self, values: Callable[[list[bytes]], np.ndarray], most: int = 200_000):
         self.values, self.most = values, most
         self.rows: dict[bytes, int] = {}
         self.table: np.ndarray | None = None

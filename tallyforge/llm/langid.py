@@ -129,6 +129,8 @@ def train_crf(rows: list[tuple[str, str]], turns: int = 25, rate: float = 0.5, s
     word = np.empty_like(flat)
     gold = np.empty_like(truth)
     word[shape.place], gold[shape.place] = flat, truth
+    del stretches, groups, flat, truth
+    places = np.arange(len(gold))
     at, active = shape.at, shape.active
     pairs = np.zeros((n_labels, n_labels))
     for t in range(1, len(active)):
@@ -145,12 +147,12 @@ def train_crf(rows: list[tuple[str, str]], turns: int = 25, rate: float = 0.5, s
         inside = np.flatnonzero(in_lexicon >= 0)
         score[inside, in_lexicon[inside]] += model.lexical[in_lexicon[inside]]
         score[~lettered] = 0
-        e = np.exp(score - score.max(axis=1, keepdims=True))[word] + 1e-30
-        moves = np.exp(log_moves)
-        m, a, b = forward_backward(e, shape, moves, model.first)
-        want = np.zeros_like(m)
-        want[np.arange(len(gold)), gold] = 1
-        slope = np.stack([np.bincount(word, (want - m)[:, k], len(words)) for k in range(n_labels)], 1)
+        e = (np.exp(score - score.max(axis=1, keepdims=True)) + 1e-30).astype(np.float32)[word]
+        moves = np.exp(log_moves).astype(np.float32)
+        m, a, b = forward_backward(e, shape, moves, model.first.astype(np.float32))
+        m[places, gold] -= 1
+        slope = -np.stack([np.bincount(word, m[:, k], len(words)) for k in range(n_labels)], 1)
+        del m
         expected = np.zeros_like(pairs)
         for t in range(1, len(active)):
             left = a[at[t - 1] : at[t - 1] + active[t]]
