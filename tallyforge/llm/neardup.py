@@ -16,8 +16,8 @@ WORDS, HASHES, BANDS, BITS = 5, 128, 32, 4
 NEAR = 75
 #: Estimates this far below are still confirmed: five standard deviations of an estimate from 128 hashes at 0.75.
 CUTOFF = 0.55
-#: Members of a band's bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members of a group that a task compares with as many others at a time.
+BLOCK = 512
 #: Ids are broadcast up to this count (8 bytes each) and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20_240)
@@ -142,9 +142,8 @@ def with_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("id"), how)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are near."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the documents of a saved table of ids."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def make():
@@ -156,8 +155,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
         return on_batch
 
-    wanted = with_ids(docs.select(F.col("id").alias("key"), "text"), "key", ids, "left_semi").dropDuplicates(["key"])
-    sets = map_arrow(wanted, make, schema)
+    return map_arrow(with_ids(docs.select(F.col("id").alias("key"), "text"), "key", ids, "left_semi").dropDuplicates(["key"]), make, schema)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are near."""
+    sets = shingle_sets(docs, saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return saved(both.withColumn("k", common).where(100 * F.col("k") >= NEAR * (F.size("x") + F.size("y") - F.col("k"))).select("a", "b"))
@@ -182,45 +185,157 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _spread(buckets: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, dealt into pairs of blocks of about BLOCK members each."""
-    open_ = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    here = buckets.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    return here.withColumn("other", F.explode(others)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "component", "sig")
-
-
-def _near_in_blocks(members: DataFrame, all_pairs: bool) -> DataFrame:
-    """Pairs of different components with an estimate over CUTOFF; unless all_pairs, only the best of each member with each component."""
-    import pandas as pd
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["i"].iat[0] == pdf["j"].iat[0]
-        left, right = (pdf, pdf) if same else (pdf[pdf["block"] == pdf["i"]], pdf[pdf["block"] == pdf["j"]])
-        out = {"a": [], "b": []}
-        if len(left) and len(right):
-            sa, sb = (np.array(x["sig"].tolist(), np.int64).view(np.uint64) for x in (left, right))  # bit counts need unsigned words
-            ia, ib, ca, cb = left["id"].to_numpy(), right["id"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
-            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-            for k in range(len(ia)):
-                differ = np.zeros((len(ib), 2), np.uint64)
-                for j in range(BITS):
-                    differ |= sa[k, 2 * j : 2 * j + 2] ^ sb[:, 2 * j : 2 * j + 2]
-                equal = HASHES - np.bitwise_count(differ).sum(axis=1)
-                est = (equal / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
-                ok = (est >= CUTOFF) & (ca[k] != cb) & (100 * np.minimum(na[k], nb) >= NEAR * np.maximum(na[k], nb))
-                if same:
-                    ok &= ia[k] < ib
-                at = np.flatnonzero(ok)
-                if not all_pairs and len(at):
-                    at = at[np.lexsort((ib[at], -est[at], cb[at]))]
-                    at = at[np.r_[True, cb[at][1:] != cb[at][:-1]]]
-                out["a"] += [int(ia[k])] * len(at)
-                out["b"] += ib[at].tolist()
-        a, b = np.array(out["a"], np.int64), np.array(out["b"], np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return members.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+class _Merge:
+    """Which of the components in a pair of blocks have met."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.left, self.right = left.copy(), right.copy()
+
+    def join(self, a: int, b: int) -> None:
+        for side in (self.left, self.right):
+            side[side == b] = a
+
+
+def _estimates(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarity of one packed signature with others, by bit counts of unsigned words."""
+    differ = np.zeros((len(others), 2), np.uint64)
+    for j in range(BITS):
+        differ |= sig[2 * j : 2 * j + 2] ^ others[:, 2 * j : 2 * j + 2]
+    equal = HASHES - np.bitwise_count(differ).sum(axis=1).astype(np.int64)
+    return (equal / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _possible(k: int, left: dict, right: dict, met: _Merge) -> np.ndarray:
+    """Members of the right block that the left one's k-th may be linked with: unlike component, fitting size, estimate; the nearest first."""
+    n, m = left["n"][k], right["n"]
+    at = np.flatnonzero((met.left[k] != met.right) & (100 * np.minimum(n, m) >= NEAR * np.maximum(n, m)))
+    if len(at):
+        est = _estimates(left["sig"][k], right["sig"][at])
+        ok = est >= CUTOFF
+        at = at[ok][np.argsort(-est[ok], kind="stable")]
+    return at
+
+
+def _candidate_edges(left: dict, right: dict) -> list[tuple[int, int]]:
+    """Components with a possible link, as a spanning forest of them."""
+    met, out = _Merge(left["component"], right["component"]), []
+    for k in range(len(left["n"])):
+        at = _possible(k, left, right, met)
+        while len(at):
+            out.append((int(left["component"][k]), int(right["component"][at[0]])))
+            met.join(met.left[k], met.right[at[0]])
+            at = at[met.right[at] != met.left[k]]
+    return out
+
+
+def _links(left: dict, right: dict) -> list[tuple[int, int]]:
+    """Confirmed links between components, as a spanning forest: a pair is compared on full sets unless it has met already."""
+    met, out = _Merge(left["component"], right["component"]), []
+    for k in range(len(left["n"])):
+        at, size = _possible(k, left, right, met), 8
+        mine = left["set"][k]
+        while len(at):
+            part, at = at[:size], at[size:]
+            size = 256
+            sets = [right["set"][i] for i in part]
+            flat = np.concatenate(sets)
+            where = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            many = np.array([len(x) for x in sets])
+            common = np.add.reduceat((mine[where] == flat).astype(np.int64), np.cumsum(many) - many)
+            for i in part[100 * common >= NEAR * (len(mine) + many - common)]:
+                if met.right[i] != met.left[k]:
+                    out.append((int(left["id"][k]), int(right["id"][i])))
+                    met.join(met.left[k], met.right[i])
+            at = at[met.right[at] != met.left[k]]
+    return out
+
+
+def _in_blocks(members: DataFrame, by: str, compare) -> DataFrame:
+    """Pairs (a, b) that compare(left, right) finds in each pair of blocks of about BLOCK members with one value of `by`.
+
+    The rows are dealt by pair of blocks and sorted, so that a task passes through its pairs one after another; a
+    task holds the members of one pair at a time, whatever the size of the group.
+    """
+    sizes = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    here = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    here = here.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = here.select(F.col(by).alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *[c for c in members.columns if c != by])
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    names = [c for c in dealt.columns if c not in ("key", "i", "j")]
+
+    def columns(rows: pa.Table) -> dict:
+        out = {}
+        for c in names:
+            col = rows.column(c).combine_chunks()
+            if isinstance(col, pa.ChunkedArray):
+                col = col.chunk(0)
+            if c == "sig":
+                out[c] = col.flatten().to_numpy().view(np.uint64).reshape(len(col), -1)
+            elif c == "set":
+                flat, at = col.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(col.value_lengths().to_numpy())]
+                out[c] = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+            else:
+                out[c] = col.to_numpy()
+        return out
+
+    def pick(cols: dict, rows: np.ndarray) -> dict:
+        return {c: [v[i] for i in rows] if isinstance(v, list) else v[rows] for c, v in cols.items()}
+
+    def found(rows: pa.Table, i: int, j: int) -> list[tuple[int, int]]:
+        if rows.num_rows < 2:
+            return []
+        cols = columns(rows)
+        if i == j:
+            return compare(cols, cols)
+        return compare(pick(cols, np.flatnonzero(cols["block"] == i)), pick(cols, np.flatnonzero(cols["block"] == j)))
+
+    def run(batches):
+        held: list[pa.Table] = []
+        last = None
+
+        def flush():
+            got = found(pa.concat_tables(held), last[1], last[2])
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in got], pa.int64()), pa.array([max(p) for p in got], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)] if len(keys) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(keys[x].tolist())
+                if last is not None and now != last:
+                    if (out := flush()).num_rows:
+                        yield out
+                    held = []
+                last = now
+                held.append(pa.Table.from_batches([batch.slice(x, y - x)]))
+        if held and (out := flush()).num_rows:
+            yield out
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _open_buckets(named: DataFrame) -> DataFrame:
+    """Members of the buckets with several components; of buckets with the same members, one."""
+    word = F.xxhash64("id").cast("decimal(20,0)")
+    told = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(word).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    return named.join(told.groupBy("m", "h", "x").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def rest_of_links(docs: DataFrame, sigs: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between the components of `labels` that share a bucket of `buckets` (key, id).
+
+    Components are first brought together by estimates of pairs that share a bucket; within such a family, all pairs
+    of unlike components that the estimate doesn't rule out are compared on full sets.
+    """
+    names = sigs.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = saved(buckets.select("key", "id").join(names, "id"))
+    edges = saved(_in_blocks(_open_buckets(named), "key", _candidate_edges))
+    if edges.isEmpty():
+        return edges
+    family = components(edges).withColumnRenamed("component", "family")
+    members = saved(names.join(family.withColumnRenamed("id", "component"), "component"))
+    sets = shingle_sets(docs, saved(members.select("id")))
+    return saved(_in_blocks(members.join(sets, "id"), "family", _links))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,9 +344,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal shingle sets form a class, told by a 128-bit key. Representatives meet in the buckets of 32
     bands of 4 minima (a pair at 0.75 meets with probability 1 - 5e-6). Every pair is first estimated from the packed
     low bits and then confirmed on full sets. In each bucket, all members are compared with the smallest id first,
-    which joins a group of copies at linear cost. Buckets that still hold several components are compared in pairs of
-    blocks of bounded size, by bit counts: first the best pair of a member and a component, while that joins
-    components, then all that are left. So no link between components is lost, and no bucket is cut off.
+    which joins most groups of copies at linear cost. What buckets still hold several components is compared in pairs
+    of blocks of bounded size, where only pairs that aren't connected yet are looked at; a pair of blocks returns a
+    spanning forest of its links. So no link between components is lost, no bucket is cut off, and the rows made grow
+    with the documents.
 
     A null, empty or blank text has no shingles and is linked with nothing. A null id takes no part and is kept with
     a null component. Rows that share an id are one document and are to be equal. An empty table gives no rows; other
@@ -250,20 +366,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     stars = saved(stars.where(estimate(matching(F.col("x"), F.col("y"))) >= CUTOFF).select("a", "b"))
     links = confirmed(docs, stars)
-    labels = components(links)
-    members = saved(buckets.select("key", "id").join(sigs, "id"))
-    final = False
-    while True:
-        named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = saved(_near_in_blocks(_spread(named), final))
-        found = confirmed(docs, pairs) if not pairs.isEmpty() else pairs
-        more = not found.isEmpty()
-        if more:
-            links = links.unionByName(found)
-            labels = components(links)
-        if final:
-            break
-        final = not more
+    more = rest_of_links(docs, sigs, buckets, components(links))
+    labels = components(links.unionByName(more))
     of_class = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "hi", "lo").join(of_class, ["hi", "lo", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
