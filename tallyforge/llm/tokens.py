@@ -21,7 +21,7 @@ class Encoder:
     were met again. Any other white space is left to the tokenizer.
     """
 
-    def __init__(self, tokenizer: str, end_id: int = 1, most: int = 400_000):
+    def __init__(self, tokenizer: str, end_id: int = 1, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -29,7 +29,7 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.end = np.array([end_id], "<u4").tobytes()
         self.most = most
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         plain = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.drops_blanks = plain(" a\n b ") == plain("a") + plain("b")
@@ -44,14 +44,14 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         if self.drops_blanks:
-            return [w for w in text.replace("\n", " ").split(" ") if w]
+            return text.replace("\n", " ").split(" ")  # the empty word has no ids
         if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single blanks and newlines only
             return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         return _CUT.split(text)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.memory) > self.most:
-            self.memory, self.older = {}, self.memory
+            self.memory, self.older = {"": b""}, self.memory
         old = self.older
         new = []
         for w in words:
