@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +75,16 @@ def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[in
         yield start, len(texts)
 
 
+def text_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of consecutive texts of about `limit` bytes each, with their texts; only these become Python objects."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+    start = 0
+    while start < len(size):
+        end = start + max(1, int(np.searchsorted(np.cumsum(size[start : start + limit]), limit, "right")))
+        yield start, min(end, len(size)), column.slice(start, end - start).to_pylist()
+        start = end
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType) -> DataFrame:
     """mapInArrow with state made once a task."""
     ship(df.sparkSession)
@@ -103,10 +114,9 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
         one = make()
 
         def on_batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             parts: list[list] = [[] for _ in fields]
-            for i, j in steps(texts):
-                for p, x in zip(parts, one(texts[i:j]), strict=True):
+            for _, _, texts in text_steps(b.column(b.schema.get_field_index(text_col))):
+                for p, x in zip(parts, one(texts), strict=True):
                     p.extend(x.tolist() if isinstance(x, np.ndarray) else x)
             new = [pa.array(p, f.type) for p, f in zip(parts, arrow, strict=True)]
             return pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])

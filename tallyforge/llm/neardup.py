@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordIds, append_columns, lower_words, map_arrow, saved
+from .common import WordIds, append_columns, lower_words, saved, ship, text_steps
 
 WORDS, HASHES, BANDS, BITS = 5, 128, 32, 4
 #: Links need 100 * intersection >= NEAR * union.
@@ -146,16 +146,15 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, set) of the documents of a saved table of ids."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
-    def make():
+    def run(batches):
         shingler = Shingler()
+        for b in batches:
+            for i, j, texts in text_steps(b.column(1)):
+                sets = pa.array([x.view(np.int64) for x in shingler.sets(texts)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), sets], names=["id", "set"])
 
-        def on_batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingler.sets(b.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set"])
-
-        return on_batch
-
-    return map_arrow(with_ids(docs.select(F.col("id").alias("key"), "text"), "key", ids, "left_semi").dropDuplicates(["key"]), make, schema)
+    ship(docs.sparkSession)
+    return with_ids(docs.select(F.col("id").alias("key"), "text"), "key", ids, "left_semi").dropDuplicates(["key"]).mapInArrow(run, schema)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
