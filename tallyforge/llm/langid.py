@@ -10,11 +10,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import WordIds, append_columns, crc_mod, lower_words
 from .ngrams import gram_ids
 
 BUCKETS = 1 << 16
+#: Labelled texts that each language has in the training sample before any has more.
+FLOOR = 50
 SIZES = (2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -197,21 +200,28 @@ class Tagger:
         return mean, n, m, sizes
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> list[tuple[str, str]]:
-    """At most `most` labelled rows: those with the least id hashes; the scan keeps a few times as many at most."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 4) != 2))
-    n = docs.count()
-    key = F.xxhash64(F.col(id_col), F.lit("sample"))
-    if n > 4 * most:
-        rows = rows.where(F.pmod(key, F.lit(1_000_003)) < F.lit(int(1_000_003 * 4 * most / n)))
-    return [(r[0], r[1]) for r in rows.orderBy(key).limit(most).select(text_col, F.col(lang_col).cast("string")).collect()]
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int, floor: int = FLOOR) -> list[tuple[str, str]]:
+    """At most `most` different labelled texts with a word: `floor` of each language first, taken in turn, then the least hashes.
+
+    Hashes and labels of all usable rows are ranked, whatever share of the table they are; a task passes on `most` rows
+    of a language. Then the picked rows' texts are fetched by their hashes, which are broadcast.
+    """
+    key, lang = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample")), F.col(lang_col).cast("string")
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]") & (crc_mod(id_col, 4) != 2))
+    ranked = usable.select(key.alias("__key"), lang.alias("__lang")).distinct().withColumn("__rank", F.row_number().over(Window.partitionBy("__lang").orderBy("__key")))
+    picked = ranked.where(F.col("__rank") <= most).orderBy(F.least("__rank", F.lit(floor + 1)), "__key", "__lang").limit(most).collect()
+    if not picked:
+        return []
+    keys = docs.sparkSession.createDataFrame([(r["__key"], r["__lang"]) for r in picked], "__key long, __lang string")
+    found = usable.select(key.alias("__key"), lang.alias("__lang"), F.col(text_col).alias("__text")).join(F.broadcast(keys), ["__key", "__lang"])
+    return [(r["__text"], r["__lang"]) for r in sorted(found.groupBy("__key", "__lang").agg(F.first("__text").alias("__text")).collect())]
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 1500, spans: bool = False) -> DataFrame:
     """docs with lang_pred, score and held_out, and with spans also array<struct<lang, start, end>> of word ranges.
 
-    The model is fitted on a sample of at most train_rows rows whose crc32(id as text) mod 4 is not 2; it is small
-    and of fixed size, and broadcast. lang_pred is the label with the greatest mean probability over a text's words
+    The model is fitted on a sample of at most train_rows labelled rows whose crc32(id as text) mod 4 is not 2, of
+    which each language has FLOOR, or all it has, before any has more; it is small and of fixed size, and broadcast. lang_pred is the label with the greatest mean probability over a text's words
     with letters, score that mean. Null, empty and letterless texts are `und` with score 0. With no labelled row all
     are `und`. Repeated rows get equal results; columns with an output's name are replaced.
     """

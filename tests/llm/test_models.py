@@ -90,6 +90,19 @@ def test_languages_on_held_out_text(spark, hard_docs, no_docs):
     assert langid.identify_languages(no_docs).count() == 0
 
 
+def test_training_sample_does_not_shrink_with_the_table(spark):
+    """Few labels in a large table are all used, and a rare language is in the sample; ids may be null and rows repeated."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 400 == 0, "de").alias("lang"))
+    want = {(f"text {i}", "de") for i in range(0, 40_000, 400) if crc_mod(i, 4) != 2}
+    assert len(want) > 50 and set(langid.training_rows(docs, "doc_id", "text", "lang", 1500)) == want
+    full = docs.withColumn("lang", F.when(F.col("doc_id") < 8, "rare").otherwise("de"))
+    rare = {f"text {i}" for i in range(8) if crc_mod(i, 4) != 2}
+    got = langid.training_rows(full, "doc_id", "text", "lang", 1500)
+    assert len(got) == len(set(got)) == 1500 and {t for t, lang in got if lang == "rare"} == rare
+    odd = full.withColumn("doc_id", F.lit(None).cast("long")).unionAll(full.limit(1).withColumn("text", F.lit(" ")))
+    assert len(langid.training_rows(odd.unionAll(odd), "doc_id", "text", "lang", 1500)) == 1500
+
+
 def test_words_of_code_switched_text_are_labelled(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     by = {}
