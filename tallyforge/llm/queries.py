@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from . import decontam, langid, linededup, lm, neardup, packing, quality, rules, sharding, tokenfile
 
-#: A line on more than this share of a source's documents, and on as many of them, is boilerplate.
-SITE_RATIO, SITE_PAGES = 0.05, 5
+#: A line on more than this share of a source's documents, and on as many of them, is boilerplate, at every size. A
+#: template often serves one section of a site, so that a hundredth is enough; two pages may share a quotation, three
+#: seldom do. Under a hundredth, whole copies of a document begin to pass, and all of them would lose their text.
+SITE_RATIO, SITE_PAGES = 0.01, 3
 
 
 def tokenizer(name: str) -> str:

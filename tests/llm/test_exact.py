@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontam, linededup, packing, rules, sharding, tokenfile
+from tallyforge.llm import decontam, linededup, packing, queries, rules, sharding, tokenfile
 from tallyforge.llm.queries import tokenizer
 
 from .conftest import PHRASE
@@ -197,6 +197,15 @@ def test_simple8b_round_trip():
         tokenfile.decode_file(b"x" * 40)
 
 
+def test_site_lines_of_sections_and_small_sites(spark):
+    """With the query's parameters, a line on 2 % of a large site's pages goes, as does one on 3 of a small site's 4."""
+    rows = [(i, "large", f"page {i}\nsection menu" if i % 50 == 0 else f"page {i}\npair" if i in (1, 2) else f"page {i}") for i in range(400)]
+    rows += [(1000 + i, "small", f"small {i}" + ("\nfooter" if i else "")) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_site_lines(docs, ratio=queries.SITE_RATIO, min_pages=queries.SITE_PAGES).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in ("section menu", "footer")) for i, _, t in rows}
+
+
 def test_site_lines(spark):
     rows = [(i, f"own {i}\nfooter\n\nown {i}", "a" if i < 10 else None) for i in range(13)] + [(50, None, "a"), (51, "", "a"), (52, "footer\nfooter\nlast", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
