@@ -50,34 +50,42 @@ _PROFILE = T.StructType(
 )
 
 
-def guess_encoding(raw: bytes) -> str:
-    """By byte order mark, share of zero bytes, UTF-8 at three places, else the first legacy page that decodes it with the fewest control characters."""
-    if raw.startswith(b"\xef\xbb\xbf"):
+def guess_encoding(head: bytes, probes: Sequence[bytes] = (), parts: Sequence[bytes] = ()) -> str:
+    """By byte order mark, share of zero bytes, UTF-8, else the first legacy page that decodes all with the fewest control characters.
+
+    head is the file's start. Where it is ASCII only, it is UTF-8 if the probes further on are. parts are pieces of the
+    middle and the end that a legacy page must decode besides; they and the probes may start and end within a character.
+    """
+    if head.startswith(b"\xef\xbb\xbf"):
         return "utf-8-sig"
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or (raw and raw[:4096].count(0) > 0.2 * len(raw[:4096])):
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff") or (head and head[:4096].count(0) > 0.2 * len(head[:4096])):
         return "utf-16"
-    probes = [raw[int(len(raw) * f) :][:65_536] for f in (0, 0.33, 0.66)]
-    if all(_utf8(p) for p in probes):
+    if _odd(head, "utf-8") is not None and (not head.isascii() or all(_utf8(p) for p in probes)):
         return "utf-8"
     odd = {}
     for e in ("cp1250", "cp949", "cp1252", "iso-8859-2", "cp852"):
-        try:
-            t = codecs.getincrementaldecoder(e)().decode(raw[:262_144])
-        except UnicodeDecodeError:
-            continue
-        odd[e] = sum("\x80" <= c <= "\x9f" for c in t)
+        found = [_odd(head[:524_288], e)]
+        starts = (0, 1) if e == "cp949" else (0,)
+        found += [min((n for k in starts if (n := _odd(p[k:], e)) is not None), default=None) for p in (*probes, *parts)]
+        if None not in found:
+            odd[e] = sum(found)
     return min(odd, key=odd.get, default="iso-8859-2")
 
 
+def _odd(part: bytes, encoding: str) -> int | None:
+    """Control characters of a piece that may end within a character; None if it can't be decoded."""
+    try:
+        return sum("\x80" <= c <= "\x9f" for c in codecs.getincrementaldecoder(encoding)().decode(part))
+    except UnicodeDecodeError:
+        return None
+
+
 def _utf8(part: bytes) -> bool:
     """A piece that may start and end within a character."""
-    while part and part[0] & 0xC0 == 0x80:
-        part = part[1:]
-    try:
-        part.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return e.start >= len(part) - 3 and "unexpected end" in e.reason
-    return True
+    cut = 0
+    while cut < min(3, len(part)) and part[cut] & 0xC0 == 0x80:
+        cut += 1
+    return _odd(part[cut:], "utf-8") is not None
 
 
 def guess_delimiter(text: str, lines: int = 50) -> tuple[str, int]:
@@ -92,18 +100,33 @@ def guess_delimiter(text: str, lines: int = 50) -> tuple[str, int]:
     return best[2], best[3]
 
 
+def _pieces(sample_bytes: int) -> list[Column]:
+    """Probes at 33 and 66 % of files longer than the sample; pieces of the middle and the end of long ones."""
+    probe = [f"substring(content, CAST(floor({share} * length) AS INT) + 1, 65536)" for share in (0.33, 0.66)]
+    middle, end = "substring(content, CAST(length DIV 2 AS INT) + 1, 262144)", "substring(content, CAST(length AS INT) - 262143, 262144)"
+    none = "CAST(array() AS ARRAY<BINARY>)"
+    return [
+        F.expr(f"CASE WHEN length > {sample_bytes} THEN array({', '.join(probe)}) ELSE {none} END").alias("probes"),
+        F.expr(f"CASE WHEN length > 2097152 THEN array({middle}, {end}) WHEN length > 1048576 THEN array({middle}) ELSE {none} END").alias("parts"),
+    ]
+
+
 def profile_landing_files(spark: SparkSession, path: str, glob: str = "*", sample_bytes: int = 1 << 20) -> DataFrame:
-    """One row per file: size, hash, encoding, delimiter and width; hashes are of the whole content, guesses of its start."""
+    """One row per file: size, hash, encoding, delimiter and width; hashes are of the whole content.
+
+    Encodings are guessed from the start, from 64 KB at 33 and 66 % of the file, and from 256 KB of the middle of files
+    over 1 MB and of the end of those over 2 MB; delimiters from the start.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    files = files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.substring("content", 1, sample_bytes).alias("head"))
+    files = files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.substring("content", 1, sample_bytes).alias("head"), *_pieces(sample_bytes))
 
     def guess(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
             rows = []
-            for p, s, h, raw in pdf.itertuples(index=False):
-                e = guess_encoding(bytes(raw))
+            for p, s, h, raw, probes, parts in pdf.itertuples(index=False):
+                e = guess_encoding(bytes(raw), [bytes(x) for x in probes], [bytes(x) for x in parts])
                 d, n = guess_delimiter(bytes(raw).decode(e, "replace"))
                 rows.append((p, s, h, e, d, n))
             yield pd.DataFrame(rows, columns=[f.name for f in _PROFILE])

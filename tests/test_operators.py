@@ -275,6 +275,20 @@ def test_encodings_and_delimiters(spark, tmp_path):
     assert landing.header_names(["﻿a ", "", "a", None]) == ["a", "Column2", "a_1", "Column4"]
 
 
+def test_encodings_of_long_files(spark, tmp_path):
+    """Legacy letters after an ASCII start of over 1 MB, at 33 or 66 % of the file or anywhere in its first MB."""
+    plain, pl, ko = "abc;1\n" * 200_000, "zażółć;1\n" * 150_000, "갂래선;1\n" * 150_000
+    files = {"cp1250": (plain + pl).encode("cp1250"), "cp949": (plain + ko).encode("cp949"), "utf-8": (plain + pl).encode(), "early": ("abc;1\n" * 20_000 + "ś;1\n" + plain).encode("cp1250"), "ascii": plain.encode()}
+    # The start and the probes decode as cp1250; the end has bytes that it lacks.
+    files["ends"] = b"abc;1\n" * 200_000 + "가;1\n".encode("cp949") * 300_000 + "갂;1\n".encode("cp949") * 100
+    for n, raw in files.items():
+        (tmp_path / f"{n}.csv").write_bytes(raw)
+    got = {r["path"].rsplit("/", 1)[1][:-4]: r["encoding"] for r in landing.profile_landing_files(spark, str(tmp_path), "*.csv").collect()}
+    assert got == {"cp1250": "cp1250", "cp949": "cp949", "utf-8": "utf-8", "early": "cp1250", "ascii": "utf-8", "ends": "cp949"}
+    shifted = ["래선상품갂갂".encode("cp949")[1:]]
+    assert landing.guess_encoding(b"abc", shifted) == "cp949"
+
+
 def test_publishing(spark, tmp_path):
     target = str(tmp_path / "t")
     df = spark.createDataFrame([("2024-01", 1), ("2024-02", 2)], "period string, v int")
