@@ -260,6 +260,12 @@ def _(s):
     return s.numtext.where("t NOT LIKE '%e%'").select("l_orderkey", "l_linenumber", numbers.parse_number_auto(F.col("t")).cast("double").alias("v"))
 
 
+@query("parse_number_auto_all_forms")
+def _(s):
+    """The whole table, exponents and missing cells too; its plain version is in the tests."""
+    return s.numtext.select("l_orderkey", "l_linenumber", numbers.parse_number_auto(F.col("t")).cast("double").alias("v"))
+
+
 @query("validate_number_syntax", "SELECT l_orderkey, l_linenumber, t IS NULL OR trim(t) IN ('', '-') OR regexp_matches(trim(t), '^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?$') AS us FROM {numtext}")
 def _(s):
     return s.numtext.select("l_orderkey", "l_linenumber", numbers.number_syntax_ok(F.col("t"), "us").alias("us"))
@@ -282,6 +288,12 @@ def _(s):
     return s.datetext.where("o_orderkey % 10 BETWEEN 4 AND 8").select("o_orderkey", dates.normalize_period(F.col("t")).alias("period"))
 
 
+@query("normalize_period_all_forms")
+def _(s):
+    """The whole table, full dates too; its plain version is in the tests."""
+    return s.datetext.select("o_orderkey", dates.normalize_period(F.col("t")).alias("period"))
+
+
 @query("period_parts", "SELECT o_orderkey, CAST(substring(period, 1, 4) AS INTEGER) * 100 + CAST(substring(period, 6, 2) AS INTEGER) AS date_sk, CAST(substring(period, 1, 4) AS INTEGER) AS year, concat(substring(period, 1, 4), '-Q', CAST(CAST(floor((CAST(substring(period, 6, 2) AS INTEGER) + 2) / 3) AS BIGINT) AS STRING)) AS quarter, CAST(substring(period, 6, 2) AS INTEGER) AS month FROM {files}")
 def _(s):
     return s.files.select("o_orderkey", dates.period_parts(F.col("period")).alias("p")).select("o_orderkey", "p.*")
@@ -1029,12 +1041,12 @@ def _(s):
 
 @query("inspect_schema", "SELECT 'o_orderstatus' AS \"column\", 'dimension' AS candidate UNION ALL SELECT 'period_raw' AS \"column\", 'month' AS candidate UNION ALL SELECT 'amount' AS \"column\", 'measure' AS candidate FROM (SELECT count(*) FROM {files}) AS t")
 def _(s):
-    return profile.inspect_schema(s.files.select("o_orderstatus", "period_raw", "amount")).select("column", "candidate")
+    return profile.inspect_schema(s.files.select("o_orderstatus", "period_raw", "amount"), None).select("column", "candidate")
 
 
 @query("infer_precision_scale", "SELECT 't' AS \"column\", 18 AS p, 2 AS s FROM (SELECT max(cents) AS c FROM {cents}) AS x")
 def _(s):
-    got = profile.infer_precision_scale(s.numtext.where("t NOT LIKE '%e%'"), ["t"])
+    got = profile.infer_precision_scale(s.numtext, ["t"])
     return s.spark.createDataFrame([(c, p, k) for c, (p, k) in got.items()], "column string, p int, s int")
 
 

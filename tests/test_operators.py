@@ -289,6 +289,49 @@ def test_encodings_of_long_files(spark, tmp_path):
     assert landing.guess_encoding(b"abc", shifted) == "cp949"
 
 
+def test_queries_see_whole_tables(spark, monkeypatch):
+    """Number and date queries against plain versions over all forms; profiles are given all rows."""
+    import re
+    from collections import Counter
+    from decimal import Decimal, InvalidOperation
+
+    from tallyforge.operators import profile
+    from tallyforge.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    tables = queries.Source(spark, sf)
+
+    def number(t):
+        x = (t or "").strip(" ")
+        eu = re.fullmatch("[+-]?[0-9]{1,3}([ .][0-9]{3})+,[0-9]+", x) or re.fullmatch("[+-]?[0-9]+,([0-9]{1,2}|[0-9]{4,})", x)
+        try:
+            return float(Decimal(x.replace(".", "").replace(" ", "").replace(",", ".") if eu else x.replace(",", "")))
+        except InvalidOperation:
+            return None
+
+    def period(t):
+        for g in ("^([0-9]{4})[-./_]([0-9]{1,2})$", "^([0-9]{4})([0-9]{2})$", "^([0-9]{4})([0-9]{2})[0-9]{2}$", r"([0-9]{4}|[0-9]{2})[년./\s]+([0-9]{1,2})월?"):
+            m = re.search(g, (t or "").strip())
+            if m and 1 <= int(m[2]) <= 12:
+                return f"{m[1] if len(m[1]) == 4 else '20' + m[1]}-{int(m[2]):02d}"
+
+    texts = tables.numtext.collect()
+    want = Counter((r["l_orderkey"], r["l_linenumber"], number(r["t"])) for r in texts)
+    assert any("e" in (r["t"] or "") for r in texts)
+    assert Counter(tuple(r) for r in queries.QUERIES["parse_number_auto_all_forms"](spark, sf).select("l_orderkey", "l_linenumber", "v").collect()) == want
+    want = {r["o_orderkey"]: period(r["t"]) for r in tables.datetext.collect()}
+    assert {k % 10 for k in want} == set(range(10))
+    assert {r["o_orderkey"]: r["period"] for r in queries.QUERIES["normalize_period_all_forms"](spark, sf).collect()} == want
+
+    seen = {}
+    infer, inner = profile.infer_precision_scale, profile.profile_columns
+    monkeypatch.setattr(profile, "infer_precision_scale", lambda df, columns: seen.update(numbers=df.count()) or infer(df, columns))
+    monkeypatch.setattr(profile, "profile_columns", lambda df, *a, **k: seen.update(files=df.count()) or inner(df, *a, **k))
+    assert [tuple(r) for r in queries.QUERIES["infer_precision_scale"](spark, sf).collect()] == [("t", 18, 2)]
+    assert queries.QUERIES["inspect_schema"](spark, sf).count() == 3
+    assert seen == {"numbers": len(texts), "files": tables.files.count()} and seen["files"] > 1000
+
+
 def test_publishing(spark, tmp_path):
     target = str(tmp_path / "t")
     df = spark.createDataFrame([("2024-01", 1), ("2024-02", 2)], "period string, v int")
