@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +25,7 @@ ALNUM = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in
 #: White space in the sense of the word contracts.
 BLANK = " \t\n\x0b\x0c\r"
 #: Text that one step of a Python worker holds as word objects at once.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -62,38 +65,63 @@ def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about `limit` characters each; one longer text makes a range of its own."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of an array, and where each starts and the last one ends; null texts are empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at - at[0]
 
 
-def text_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
-    """Ranges of consecutive texts of about `limit` bytes each, with their texts; only these become Python objects."""
-    size = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+def byte_ranges(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about `limit` bytes each; one longer text makes a range of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))
     start = 0
-    while start < len(size):
-        end = start + max(1, int(np.searchsorted(np.cumsum(size[start : start + limit]), limit, "right")))
-        yield start, min(end, len(size)), column.slice(start, end - start).to_pylist()
+    while start < len(ends):
+        done = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield start, end
         start = end
 
 
+def text_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of consecutive texts of about `limit` bytes each, with their texts; only these become Python objects."""
+    for start, end in byte_ranges(column, limit):
+        yield start, end, column.slice(start, end - start).to_pylist()
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of texts are of `rows` rows where the session leaves Spark's default, so that a worker and its executor hold few texts at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(rows))
+
+
+@contextmanager
+def tidy() -> Iterator[None]:
+    """Gives the memory that a task freed back to the machine at its end, as its Python worker lives on."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # the C library may be another one
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType) -> DataFrame:
     """mapInArrow with state made once a task."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
-        for b in batches:
-            if b.num_rows and (out := one(b)) is not None and out.num_rows:
-                yield out
+        with tidy():
+            one = make()
+            for b in batches:
+                if b.num_rows and (out := one(b)) is not None and out.num_rows:
+                    yield out
+            del one
 
     return df.mapInArrow(run, schema)
 
@@ -126,6 +154,17 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
     return map_arrow(kept, build, schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def crc_mod(id_col: str | Column, m: int) -> Column:
     """crc32 of the id written as text, modulo m; a null id counts as remainder 0."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -138,23 +177,25 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 class WordIds:
-    """Word -> row of a growing table of per-word values, forgotten when it holds `most` words.
+    """Word -> row of a growing table of per-word values, forgotten when it takes `most` bytes.
 
     values(list of new words) gives their values as an array; lookup() returns the rows of any words.
     """
 
-    def __init__(self, values: Callable[[list[bytes]], np.ndarray], most: int = 200_000):
+    def __init__(self, values: Callable[[list[bytes]], np.ndarray], most: int = 32 << 20):
         self.values, self.most = values, most
         self.rows: dict[bytes, int] = {}
         self.table: np.ndarray | None = None
+        self.held = 0
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
-        if len(self.rows) > self.most:
-            self.rows, self.table = {}, None
+        if self.held > self.most:
+            self.rows, self.table, self.held = {}, None, 0
         new = [w for w in set(words) if w not in self.rows]
         if new:
             got = self.values(new)
             n = len(self.rows)
+            self.held += sum(map(len, new)) + 150 * len(new) + got.nbytes
             if self.table is None:
                 self.table = got
             else:

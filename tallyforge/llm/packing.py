@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_arrow, saved, ship, steps
-from .tokens import Encoder
+from .common import byte_ranges, map_arrow, saved, ship, small_batches, tidy
+from .tokens import STEP, Encoder
 
 #: Totals of the first pass' partitions (16 bytes each) are broadcast up to this count and joined by shuffle beyond.
 BROADCAST_PARTS = 2_000_000
@@ -27,16 +27,18 @@ def tokenized(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         encoder, part, total = Encoder.of_process(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in steps(texts):
-                ids = encoder.encode(texts[i:j])
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                before = total + np.cumsum(n) - n
-                total += int(n.sum())
-                small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if encoder.tok.get_vocab_size() <= 65_536 else ids
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, part, np.int64)), pa.array(before), keys.slice(i, j - i), pa.array(n), pa.array(small, pa.binary())], names=[f.name for f in _TOKENS])
-
+        with tidy():
+            for b in batches:
+                for i, j in byte_ranges(b.column(1), STEP):
+                    ids, n = encoder.encode(b.column(1).slice(i, j - i))
+                    before = total + np.cumsum(n) - n
+                    total += int(n.sum())
+                    flat = ids.astype("<u2" if encoder.small else "<u4")
+                    at = np.r_[0, np.cumsum(n)] * flat.itemsize
+                    held = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, part, np.int64)), pa.array(before), b.column(0).slice(i, j - i), pa.array(n), held], names=[f.name for f in _TOKENS])
+
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return saved(rows.mapInArrow(run, _TOKENS), "zstd")
 

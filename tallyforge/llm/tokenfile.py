@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_arrow, saved, shared_folder, ship, steps
-from .tokens import Encoder
+from .common import byte_ranges, map_arrow, saved, shared_folder, ship, small_batches, tidy
+from .tokens import STEP, Encoder
 
 #: Selector -> (ids a word, bits an id); in a word, the selector is in the top four bits, the first id lowest.
 MODES = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 #: This selector says that the next word is an id as it is, for ids of over 60 bits.
 ESCAPE = 15
 BLOCK = 65_536
+#: Text of a range that one task writes.
+PART_BYTES = 64 << 20
 #: Bits of small ids.
 _LENGTH = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
 MAGIC = b"TFS8\x01\x00\x00\x00"
@@ -153,37 +155,40 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, id_col: str =
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h")
+    if partitions is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    rows = rows.repartitionByRange(partitions, "id", "h").sortWithinPartitions("id", "h")
     ship(spark)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, made = Encoder.of_process(tokenizer, end_id), TaskContext.get().partitionId(), 0
         docs: list = []
-        counts: list[int] = []
-        held: list[bytes] = []
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal docs, counts, held, total, made
             name = f"ids-{part:08d}-{made:06d}.s8b"
-            _store(folder, name, encode_file(docs, np.array(counts, np.int64), np.frombuffer(b"".join(held), "<u4")))
+            _store(folder, name, encode_file(docs, np.concatenate(counts), np.concatenate(held)))
             out = pa.RecordBatch.from_pylist([{"file": name, "docs": len(docs), "ids": total}], pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
             docs, counts, held, total, made = [], [], [], 0, made + 1
             return out
 
-        for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in steps(texts):
-                for key, ids in zip(keys[i:j], encoder.encode(texts[i:j]), strict=True):
-                    docs.append(key)
-                    counts.append(len(ids) // 4)
-                    held.append(ids)
-                    total += len(ids) // 4
+        with tidy():
+            for b in batches:
+                for i, j in byte_ranges(b.column(1), STEP):
+                    ids, n = encoder.encode(b.column(1).slice(i, j - i))
+                    docs += b.column(0).slice(i, j - i).to_pylist()
+                    counts.append(n)
+                    held.append(ids.astype(np.uint16) if encoder.small else ids)
+                    total += len(ids)
                     if total >= file_ids:
                         yield flush()
-        if docs:
-            yield flush()
+            if docs:
+                yield flush()
 
     return saved(rows.mapInArrow(run, _LISTED))
 
