@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,16 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append_columns, crc_mod, map_arrow, saved, steps, text_steps
+from .common import LOWER, append_columns, crc_mod, saved, ship, small_batches, text_steps, tidy
 
-DEPTH = 5
-#: Contexts with at least this share of all training bytes are nodes: at most 2**19 a depth, whatever the corpus.
-SHARE = 2.0**-19
-#: Words with at least this share of all training tokens are broadcast: at most a million, whatever the corpus.
-COMMON = 1e-6
-#: Bytes of text that a worker counts or scores at once; its arrays take some fifty times as much.
-STEP = 1 << 20
+DEPTH = 4
+#: Byte sequences with at least this share of all bytes are looked up in a broadcast table, of 2**21 rows at most (25 MB); the others by a join. This chooses a way, not a result.
+FREQUENT = 2.0**-21
+#: The same for words with at least this share of all training tokens: 2**19 at most.
+COMMON = 2.0**-19
 END = b"\n"  # the end token; no word holds it
+#: Bytes that no UTF-8 text has: before a text, and its end.
+_PAD, _STOP = b"\xfe", b"\xff"
+#: Counted keys that a worker holds before it passes them on.
+_HELD = 1_000_000
 
 
 def _lower(text: str | None) -> bytes:
@@ -31,313 +34,318 @@ def _lower(text: str | None) -> bytes:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over the one text column; every text has one end token."""
 
-    def make():
-        def on_batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            c: Counter = Counter()
-            for _, _, texts in text_steps(b.column(0)):
-                for t in texts:
-                    c.update(_lower(t).split())
-            c[END] += b.num_rows
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-
-        return on_batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+            c.clear()
+            return out
+
+        with tidy():
+            for b in batches:
+                for _, _, texts in text_steps(b.column(0)):
+                    for t in texts:
+                        c.update(_lower(t).split())
+                c[END] += b.num_rows
+                if len(c) > _HELD // 4:
+                    yield flush()
+            if c:
+                yield flush()
 
     schema = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
-    return map_arrow(texts, make, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    ship(texts.sparkSession)
+    small_batches(texts.sparkSession)
+    return texts.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+
 
+def _grams(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every byte of the texts and of their ends, and where each text's keys start.
 
-def _stream(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts, each after `depth` zeros and before one; places that count; where each text's places start."""
-    raw = [_lower(t).replace(b"\0", b"\x01") for t in texts]
-    size = np.array([len(r) for r in raw], np.int64) + 1 + depth
-    buf = np.frombuffer(b"".join(b"\0" * depth + r + b"\0" for r in raw), np.uint8)
-    start = np.cumsum(size) - size
-    counts = np.ones(len(buf), bool)
-    for k in range(depth):
-        counts[start + k] = False
-    return buf, np.flatnonzero(counts), np.cumsum(size - depth) - (size - depth)
+    A key has the byte in its lowest 8 bits and above it the `depth` bytes before it, the nearest lowest.
+    """
+    raw = [_lower(t) for t in texts]
+    size = np.array([len(r) for r in raw], np.int64) + 1
+    pad = _PAD * depth
+    buf = np.frombuffer(pad + pad.join(r + _STOP for r in raw), np.uint8).astype(np.int64) if raw else np.zeros(0, np.int64)
+    first = np.cumsum(size) - size
+    at = np.arange(size.sum()) + np.repeat(depth * np.arange(1, len(raw) + 1), size)
+    key = np.zeros(len(at), np.int64)
+    for k in range(depth, -1, -1):
+        key <<= 8
+        key |= buf[at - k]
+    return key, first
 
 
 def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n): byte (lowest 8 bits) and the `depth` bytes before it, nearest lowest."""
+    """(gram, n, seen) over (text, learn): keys of all texts' bytes, how often they occur to learn from, and in all."""
 
-    def make():
-        def on_batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            keys, many, held = [], [], 0
-
-            def merge() -> None:
-                key, where = np.unique(np.concatenate(keys), return_inverse=True)
-                keys[:], many[:] = [key], [np.bincount(where, np.concatenate(many)).astype(np.int64)]
-
-            for _, _, texts in text_steps(b.column(0), STEP):
-                buf, at, _ = _stream(texts, depth)
-                key = np.zeros(len(at), np.int64)
-                for k in range(depth, -1, -1):
-                    key <<= 8
-                    key |= buf[at - k]
-                k, n = np.unique(key, return_counts=True)
-                keys.append(k)
-                many.append(n)
-                held += len(k)
-                if held > 2_000_000:
-                    merge()
-                    held = len(keys[0])
-            merge()
-            return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(many[0])], names=["gram", "n"])
-
-        return on_batch
-
-    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
-    return map_arrow(texts, make, schema).groupBy("gram").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            key, where = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+            n, seen = (np.bincount(where, np.concatenate([h[i] for h in held])).astype(np.int64) for i in (1, 2))
+            return key, n, seen
 
-@dataclass
-class ByteModel:
-    """Tables of a weighted context tree: children of nodes by symbol, and log10 of each symbol's probability at each node."""
+        with tidy():
+            for b in batches:
+                learn = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                for i, j, texts in text_steps(b.column(0)):
+                    key, first = _grams(texts, depth)
+                    counted = np.repeat(learn[i:j], np.diff(np.r_[first, len(key)]))
+                    k, where, seen = np.unique(key, return_inverse=True, return_counts=True)
+                    held.append((k, np.bincount(where, counted).astype(np.int64), seen))
+                    if sum(len(h[0]) for h in held) > _HELD:
+                        held[:] = [merged()]
+                        if len(held[0][0]) > _HELD // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["gram", "n", "seen"])
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["gram", "n", "seen"])
 
-    symbol: np.ndarray  # byte -> symbol; unseen bytes share the last one
-    child: np.ndarray  # node * symbols + symbol -> node, or the dead node
-    cost: np.ndarray  # node x symbols
-    depth: int
-    unseen: float  # log10 of one unseen byte among the unseen
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("gram", "n", "seen")])
+    ship(texts.sparkSession)
+    small_batches(texts.sparkSession)
+    return texts.mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text, A-Z lower-cased, with its end."""
-        if not texts:
-            return np.zeros(0)
-        return np.concatenate([self._score(texts[i:j]) for i, j in steps(texts, STEP)])
 
-    def _score(self, texts: list[str | None]) -> np.ndarray:
-        buf, at, start = _stream(texts, self.depth)
-        sym = self.symbol.astype(np.int32)[buf]
-        many = self.cost.shape[1]
-        dead = len(self.cost)
-        node = np.zeros(len(at), np.int32)
-        walk = node
-        for k in range(1, self.depth + 1):
-            walk = self.child[walk * np.int32(many) + sym[at - k]]
-            node = np.where(walk < dead, walk, node)
-        now = sym[at]
-        cost = self.cost[node, now].astype(np.float64)
-        cost[now == many - 1] += self.unseen
-        return np.add.reduceat(cost, start)
+def _stirling(x: np.ndarray) -> np.ndarray:
+    """log Gamma(x) for x of 16 and more."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
 
 
-def _log_gamma_half(n: np.ndarray) -> np.ndarray:
-    """log Gamma(n + 1/2) of whole numbers."""
-    x = n + 0.5
-    big = np.maximum(x, 16)
-    out = (big - 0.5) * np.log(big) - big + 0.5 * math.log(2 * math.pi) + 1 / (12 * big) - 1 / (360 * big**3)
-    return np.where(x < 16, _SMALL[np.minimum(n, 15).astype(np.int64)], out)
+_HALVES = np.array([math.lgamma(k + 0.5) for k in range(16)])
+_WHOLES = np.array([math.lgamma(k + 1.0) for k in range(16)])
 
 
-_SMALL = np.array([math.lgamma(k + 0.5) for k in range(16)])
+def _log_gamma(n: np.ndarray, small: np.ndarray, more: float) -> np.ndarray:
+    return np.where(n < 16, small[np.minimum(n, 15).astype(np.int64)], _stirling(np.maximum(n, 16) + more))
 
 
-def _log_gamma_next(n: np.ndarray) -> np.ndarray:
-    """log n!"""
-    x = n + 1.0
-    big = np.maximum(x, 16)
-    out = (big - 0.5) * np.log(big) - big + 0.5 * math.log(2 * math.pi) + 1 / (12 * big) - 1 / (360 * big**3)
-    return np.where(x < 16, _FACT[np.minimum(n, 15).astype(np.int64)], out)
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log probability that the Krichevsky-Trofimov estimator gives a zeros and b ones."""
+    return _log_gamma(a, _HALVES, 0.5) + _log_gamma(b, _HALVES, 0.5) - math.log(math.pi) - _log_gamma(a + b, _WHOLES, 1.0)
 
 
-_FACT = np.array([math.lgamma(k + 1.0) for k in range(16)])
+@dataclass
+class Level:
+    """The binary decisions at all contexts of one depth: zeros and ones seen at each (context, bits decided so far).
 
+    A byte is decided bit by bit from the highest; `keys` holds context * 256 + (the bits before, after a leading 1).
+    """
 
-def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log probability that the Krichevsky-Trofimov estimator gives a zeros and b ones."""
-    return _log_gamma_half(a) + _log_gamma_half(b) - math.log(math.pi) - _log_gamma_next(a + b)
-
-
-def _splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each inner node of the binary tree over the symbols; inner node k has the children 2k+1 and 2k+2."""
-    levels = [counts]
-    while levels[-1].shape[1] > 1:
-        levels.append(levels[-1][:, 0::2] + levels[-1][:, 1::2])
-    levels = levels[::-1]
-    a = np.concatenate([x[:, 0::2] for x in levels[1:]], axis=1)
-    b = np.concatenate([x[:, 1::2] for x in levels[1:]], axis=1)
-    return a, b
-
-
-def _symbol_costs(one: np.ndarray, bits: int) -> np.ndarray:
-    """log10 probability of every symbol from the probabilities of a one at the inner nodes."""
-    out = np.zeros((len(one), 1), np.float64)
-    zero, yes = np.log10(1 - one), np.log10(one)
-    for k in range(bits):
-        lo = 2**k - 1
-        pair = np.stack([out + zero[:, lo : 2 * lo + 1], out + yes[:, lo : 2 * lo + 1]], axis=2)
-        out = pair.reshape(len(one), -1)
+    keys: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, n: np.ndarray) -> Level:
+        """From sorted context * 256 + byte and their counts."""
+        context, byte = pairs >> 8, pairs & 255
+        keys, zeros, ones = [], [], []
+        for k in range(8):
+            key = (context << 8) | (1 << k) | (byte >> (8 - k))
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            one = n * ((byte >> (7 - k)) & 1)
+            keys.append(key[cut])
+            ones.append(np.add.reduceat(one, cut))
+            zeros.append(np.add.reduceat(n - one, cut))
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        return cls(key[order], np.concatenate(zeros)[order].astype(float), np.concatenate(ones)[order].astype(float))
+
+    def __post_init__(self):
+        self.own = log_kt(self.a, self.b)
+
+    def weigh(self, below: np.ndarray | None) -> None:
+        """Log weighted probabilities, and the share of a node's own estimate in them; below: the sum over its children."""
+        if below is None:
+            self.weight, self.share = self.own, np.ones(len(self.own))
+        else:
+            self.weight = np.logaddexp(self.own, below) - math.log(2)
+            self.share = 1 / (1 + np.exp(np.clip(below - self.own, -60, 60)))
+
+    def mix(self, so_far: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of a one, mixed over the depths down to this one, and the weight left to deeper ones."""
+        return so_far + left * self.share * (self.b + 0.5) / (self.a + self.b + 1), left * (1 - self.share)
+
+
+def _up(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the same decisions at the context that is one byte shorter; depth: of the keys given."""
+    return ((keys >> 8) & ((1 << (8 * (depth - 1))) - 1)) << 8 | (keys & 255)
+
+
+def levels(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[Level]:
+    """Weighted levels `top` to `depth` of the grams' contexts."""
+    out: list[Level] = []
+    below = None
+    for d in range(depth, top - 1, -1):
+        pairs, where = np.unique(gram & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        level = Level.of(pairs, np.bincount(where, n).astype(np.int64))
+        if out:
+            at = np.searchsorted(level.keys, _up(out[-1].keys, d + 1))
+            below = np.bincount(at, out[-1].weight, len(level.keys))
+        level.weigh(below)
+        out.append(level)
+    return out[::-1]
+
+
+def costs(gram: np.ndarray, tree: list[Level], depth: int, so_far: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's byte after its context; so_far, left: the mix above the first level's keys."""
+    top = depth - len(tree) + 1
+    for d, level in zip(range(top, depth + 1), tree, strict=True):
+        if d > top:
+            at = np.searchsorted(above.keys, _up(level.keys, d))  # noqa: F821
+            so_far, left = so_far[at], left[at]
+        so_far, left = level.mix(so_far, left)
+        above = level  # noqa: F841
+    context, byte, out = gram >> 8, gram & 255, np.zeros(len(gram))
+    for k in range(8):
+        one = so_far[np.searchsorted(above.keys, (context << 8) | (1 << k) | (byte >> (8 - k)))]
+        out += np.log10(np.where((byte >> (7 - k)) & 1, one, 1 - one))
     return out
 
 
-class _Subtree:
-    """Nodes below one nearest byte (or the root alone), by depth, with their counts."""
-
-    def __init__(self, tree: _Tree, first: int, members: list[np.ndarray]):
-        self.tree, self.first, self.members = tree, first, members
-
-    def upward(self):
-        """Log weighted probabilities and own shares of the nodes, from the deepest up."""
-        t, weighted, out = self.tree, None, {}
-        for d in range(len(t.contexts) - 1, 0, -1):
-            rows = self.members[d]
-            a, b = _splits(t.counts(d, rows))
-            own = _kt(a, b)
-            rest_a, rest_b, below = a.copy(), b.copy(), np.zeros_like(own)
-            inner = np.zeros(len(rows), bool)
-            if weighted is not None and len(self.members[d + 1]):
-                up = np.searchsorted(rows, t.parent[d + 1][self.members[d + 1]])
-                ca, cb, w = weighted
-                np.subtract.at(rest_a, up, ca)
-                np.subtract.at(rest_b, up, cb)
-                np.add.at(below, up, w)
-                inner[up] = True
-            split = below + _kt(rest_a, rest_b)
-            both = np.where(inner[:, None], np.logaddexp(own, split) - math.log(2), own)
-            share = np.where(inner[:, None], 1 / (1 + np.exp(np.clip(split - own, -60, 60))), 1.0)
-            out[d] = (a, b, rest_a, rest_b, share, inner)
-            weighted = (a, b, both)
-        return weighted, out
-
-
-class _Tree:
-    def __init__(self, depth: int, ctx: np.ndarray, level: np.ndarray, byte: np.ndarray, n: np.ndarray):
-        seen = np.unique(byte)
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        self.symbols = len(seen) + 1
-        self.bits = max(1, (self.symbols - 1).bit_length())
-        self.contexts, self.parent, self.rows = [], [None], []
-        for d in range(depth + 1):
-            here = level == d
-            keys, where = np.unique(ctx[here], return_inverse=True)
-            if d and not len(keys):
-                break
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(len(keys) + 1))
-            self.rows.append((cuts, self.symbol[byte[here]][order], n[here][order]))
-            self.contexts.append(keys)
-            if d:
-                self.parent.append(np.searchsorted(self.contexts[d - 1], keys & ((1 << (8 * (d - 1))) - 1)))
-
-    def counts(self, d: int, rows: np.ndarray) -> np.ndarray:
-        cuts, sym, n = self.rows[d]
-        many = cuts[rows + 1] - cuts[rows]
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(cuts[rows], many)
-        out = np.zeros((len(rows), 1 << self.bits))
-        out[np.repeat(np.arange(len(rows)), many), sym[at]] = n[at]
-        return out
-
-    def subtrees(self):
-        if len(self.contexts) < 2:
-            return
-        for i in range(len(self.contexts[1])):
-            members = [np.zeros(0, np.int64), np.array([i])]
-            for d in range(2, len(self.contexts)):
-                members.append(np.flatnonzero(np.isin(self.parent[d], members[-1])))
-            yield _Subtree(self, i, members)
-
-    def model(self, depth: int) -> ByteModel:
-        base = np.cumsum([0, *(len(c) for c in self.contexts)])
-        nodes = int(base[-1])
-        cost = np.zeros((nodes, self.symbols), np.float32)
-        child = np.full((nodes + 1) * self.symbols, nodes, np.int32)
-        for d in range(1, len(self.contexts)):
-            far = self.symbol[(self.contexts[d] >> (8 * (d - 1))) & 255]
-            child[(base[d - 1] + self.parent[d]) * self.symbols + far] = base[d] + np.arange(len(self.contexts[d]))
-        a, b = _splits(self.counts(0, np.array([0])))
-        rest_a, rest_b, below = a.copy(), b.copy(), np.zeros_like(a)
-        for s in self.subtrees():
-            ca, cb, w = s.upward()[0]
-            rest_a, rest_b, below = rest_a - ca, rest_b - cb, below + w
-        inner = len(self.contexts) > 1
-        gap = np.clip(below + _kt(rest_a, rest_b) - _kt(a, b), -60, 60)
-        share = 1 / (1 + np.exp(gap)) if inner else np.ones_like(a)
-        mix, left = share * (b + 0.5) / (a + b + 1), 1 - share
-        cost[0] = _symbol_costs(mix + left * (rest_b + 0.5) / (rest_a + rest_b + 1), self.bits)[0, : self.symbols]
-        for s in self.subtrees():
-            _, levels = s.upward()
-            above = (mix, left)
-            for d in sorted(levels):
-                rows = s.members[d]
-                if not len(rows):
-                    break
-                a, b, rest_a, rest_b, share, _ = levels[d]
-                up = np.zeros(len(rows), np.int64) if d == 1 else np.searchsorted(s.members[d - 1], self.parent[d][rows])
-                m, r = above[0][up], above[1][up]
-                m, r = m + r * share * (b + 0.5) / (a + b + 1), r * (1 - share)
-                cost[base[d] + rows] = _symbol_costs(m + r * (rest_b + 0.5) / (rest_a + rest_b + 1), self.bits)[:, : self.symbols]
-                above = (m, r)
-        return ByteModel(self.symbol, child, cost, depth, -math.log10(max(1, 257 - self.symbols)))
-
-
-def fit_bytes(grams: DataFrame, depth: int = DEPTH, share: float = SHARE) -> ByteModel:
-    """The weighted tree of saved gram counts. Counts of every depth are summed over the whole corpus; only nodes that
-    hold a share of the bytes reach the driver, so that the model's size has a bound that doesn't depend on the corpus."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    level = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    least = max(2, math.ceil(total * share))
-    every = grams.select(level.alias("d"), "gram", "n").select("d", F.shiftright("gram", 8).bitwiseAND(F.expr("CAST(shiftleft(1L, 8 * d) - 1 AS BIGINT)")).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "n")
-    counts = every.groupBy("d", "ctx", "byte").agg(F.sum("n").alias("n"))
-    counts = saved(counts)
-    nodes = counts.groupBy("d", "ctx").agg(F.sum("n").alias("total")).where((F.col("total") >= least) | (F.col("d") == 0)).select("d", "ctx")
-    got = counts.join(nodes, ["d", "ctx"]).select("ctx", "d", "byte", "n").toArrow()
-    ctx, d, byte, n = (got.column(k).to_numpy() for k in range(4))
-    if not len(ctx):
-        ctx, d, byte, n = (np.array([v], np.int64) for v in (0, 0, 0, 1))
-    return _Tree(depth, ctx, d, byte, n).model(depth)
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn=None, depth: int = DEPTH) -> DataFrame:
+def gram_costs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, seen, cost) of saved gram counts (gram, n, seen): log10 probability of each byte after its context.
+
+    Contexts of all counted depths are weighed, rare ones too. The contexts that share their nearest two bytes are
+    weighed by one task, at most 256**(depth - 2) of them, whatever the corpus; what they pass on is one row for each
+    nearest byte and decision, 256 * 255 at most, from which the first two depths are weighed on the driver.
+    """
+    spark = grams.sparkSession
+    nearest = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * min(2, depth))) - 1))
+    dealt = saved(grams.select("gram", "n", "seen", nearest.alias("near")).repartition("near").sortWithinPartitions("near"))
+    deep = min(2, depth)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole groups of nearest bytes, about 100,000 rows at once."""
+        held: list[pa.Table] = []
+        rows, enough = 0, 100_000
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            rows += b.num_rows
+            if rows > enough:
+                whole = pa.concat_tables(held)
+                near = whole.column(3).to_numpy()
+                if cut := int(np.searchsorted(near, near[-1])):
+                    yield whole.slice(0, cut)
+                held, rows = [whole.slice(cut)], len(near) - cut
+                enough = max(100_000, 2 * rows)
+        if held:
+            yield pa.concat_tables(held)
+
+    def numbers(t: pa.Table) -> list[np.ndarray]:
+        return [t.column(k).to_numpy() for k in range(3)]
+
+    def first(batches):
+        with tidy():
+            for t in groups(batches):
+                gram, n, _ = numbers(t)
+                level = levels(gram, n, depth, deep)[0]
+                key, where = np.unique(_up(level.keys, deep) if deep else level.keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(where, x)) for x in (level.weight, level.a, level.b))], names=["key", "w", "a", "b"])
+
+    passed = dealt.mapInArrow(first, "key long, w double, a double, b double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("w", "a", "b"))).toArrow()
+    shared = spark.sparkContext.broadcast(_top(*(passed.column(c).to_numpy() for c in ("key", "w", "a", "b")), deep))
+
+    def second(batches):
+        with tidy():
+            keys, so_far, left = shared.value
+            for t in groups(batches):
+                gram, n, seen = numbers(t)
+                tree = levels(gram, n, depth, deep)
+                at = np.searchsorted(keys, _up(tree[0].keys, deep) if deep else tree[0].keys)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(seen), pa.array(costs(gram, tree, depth, so_far[at], left[at]))], names=["gram", "seen", "cost"])
+
+    return dealt.mapInArrow(second, "gram long, seen long, cost double")
+
+
+def _top(keys: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mix of the depths above `deep` at every key there, from the sums over the keys' children."""
+    order = np.argsort(keys)
+    keys, weight, a, b = (x[order] for x in (keys, weight, a, b))
+    if not deep:
+        return keys, np.zeros(len(keys)), np.ones(len(keys))
+    so_far, left = None, None
+    chain = []
+    for d in range(deep - 1, -1, -1):
+        level = Level(keys, a, b)
+        level.weigh(weight)
+        chain.append(level)
+        if d:
+            keys, where = np.unique(_up(keys, d), return_inverse=True)
+            weight, a, b = (np.bincount(where, x) for x in (level.weight, a, b))
+    for d, level in enumerate(chain[::-1]):
+        if d:
+            at = np.searchsorted(above.keys, _up(level.keys, d))  # noqa: F821
+            so_far, left = so_far[at], left[at]
+        else:
+            so_far, left = np.zeros(len(level.keys)), np.ones(len(level.keys))
+        so_far, left = level.mix(so_far, left)
+        above = level  # noqa: F841
+    return chain[0].keys, so_far, left
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn=None, depth: int = DEPTH, frequent: float = FREQUENT, common: float = COMMON) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     Learns from the rows where `learn` (a Column; by default crc32(id as text) mod 5 <> 1) holds. score is the
     context-tree model's log10 probability of the text (A-Z lower-cased) with its end; base_score sums the unigram
-    estimates of its words and end. Common words' counts are broadcast, of which there are 1 / COMMON at most; the
-    others are looked up by a join on the word. Null texts are empty and have the end only; repeated rows are scored
-    each; with no rows to learn from, all counts are 0; an empty table gives no rows; other columns aren't read.
+    estimates of its words and end. The tree has every context of up to `depth` bytes, however rare. Frequent byte
+    sequences' costs and common words' counts are broadcast, of which there are 1 / frequent and 1 / common at most;
+    the others are looked up by joins. Null texts are empty and have the end only; repeated rows are scored each; with
+    no rows to learn from, all counts are 0; an empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    learn = crc_mod("__id", 5) != 1 if learn is None else learn
-    texts = docs.where(learn).select("text")
-    words, grams = saved(word_counts(texts)), saved(gram_counts(texts, depth))
+    learn = F.coalesce(crc_mod("__id", 5) != 1 if learn is None else learn, F.lit(False))
+    words = saved(word_counts(docs.where(learn).select("text")))
     row = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = row["n"] or 0, row["v"]
-    common = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= max(2, math.ceil(total * COMMON))).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((fit_bytes(grams, depth), common))
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("__bytes", T.LongType()), T.StructField("__rare", T.ArrayType(T.BinaryType()))]
+    known = {bytes(r["word"]): math.log10(r["n"] + 0.5) for r in words.where(F.col("n") >= max(2, math.ceil(total * common))).toLocalIterator()}
+    grams = saved(gram_costs(saved(gram_counts(docs.select("text", learn.alias("learn")), depth)), depth))
+    size = grams.agg(F.sum("seen")).first()[0] or 0
+    often = grams.where(F.col("seen") >= max(1, math.ceil(size * frequent))).select("gram", "cost").toArrow()
+    keys, cost = often.column(0).to_numpy(), often.column(1).to_numpy()
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[order], cost[order].astype(np.float32), known))
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__sum", T.DoubleType()), T.StructField("__score", T.DoubleType()), T.StructField("__bytes", T.LongType()), T.StructField("__rare", T.ArrayType(T.BinaryType())), T.StructField("__grams", T.ArrayType(T.LongType()))]
 
     def make():
-        model, common = shared.value
-        cost = {w: math.log10(n + 0.5) for w, n in common.items()}
-        get = cost.get
+        keys, cost, known = shared.value
+        get = known.get
 
         def on_texts(texts):
-            n, known, sums, rare, size = [], [], [], [], []
+            n, found, sums, rare = [], [], [], []
             for t in texts:
-                raw = _lower(t)
-                w = raw.split()
+                w = _lower(t).split()
                 w.append(END)
                 c = [get(x) for x in w]
                 rest = [x for x, y in zip(w, c, strict=True) if y is None]
                 n.append(len(w))
-                known.append(len(w) - len(rest))
+                found.append(len(w) - len(rest))
                 sums.append(math.fsum(y for y in c if y is not None) if rest else math.fsum(c))
                 rare.append(rest)
-                size.append(len(raw) + 1)
-            return [n, known, sums, model.score(texts), size, rare]
+            key, first = _grams(texts, depth)
+            distinct, where = np.unique(key, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
+            have = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+            price = np.where(have, cost[at], 0.0) if len(keys) else np.zeros(len(distinct))
+            lost = np.flatnonzero(~have[where])
+            cuts = np.searchsorted(lost, np.r_[first, len(key)]).tolist()
+            lost = key[lost]
+            return [n, found, sums, np.add.reduceat(price[where], first), np.diff(np.r_[first, len(key)]), rare, [lost[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]]
 
         return on_texts
 
     rows = saved(append_columns(docs, "text", fields, make).drop("text").withColumn("__row", F.monotonically_increasing_id()))
-    rare = rows.select("__row", F.explode("__rare").alias("word"))
-    found = rare.join(words, "word", "left").groupBy("__row").agg(F.count("n").alias("__more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("__add"))
-    out = rows.drop("__rare").join(found, "__row", "left")
+    words_found = rows.select("__row", F.explode("__rare").alias("word")).join(words, "word", "left").groupBy("__row").agg(F.count("n").alias("__more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("__add"))
+    grams_found = rows.select("__row", F.explode("__grams").alias("gram")).join(grams.select("gram", "cost"), "gram").groupBy("__row").agg(F.sum("cost").alias("__rest"))
+    out = rows.drop("__rare", "__grams").join(words_found, "__row", "left").join(grams_found, "__row", "left")
     base = F.col("__sum") + F.coalesce("__add", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total + 0.5 * (distinct + 1)))
+    score = F.col("__score") + F.coalesce("__rest", F.lit(0.0))
     return out.select(
         F.col("__id").alias(id_col), (crc_mod("__id", 5) == 1).alias("held_out"), "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.col("__bytes")).alias("bits_per_byte"),
+        base.alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.col("__bytes")).alias("bits_per_byte"),
     )
