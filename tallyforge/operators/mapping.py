@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .filters import Rule, rule_column
 
 
-def _first(rules: Sequence[Rule], columns: Sequence[str], what) -> Column:
-    return reduce(lambda rest, r: F.when(rule_column(r, columns), F.lit(what(r))).otherwise(rest), reversed(list(rules)), F.lit(None).cast("string"))
+def _first(rules: Sequence[Rule], columns: Sequence[str]) -> Column:
+    """Place of the first rule that matches, null if none does."""
+    places = reversed(list(enumerate(rules)))
+    return reduce(lambda rest, r: F.when(rule_column(r[1], columns), F.lit(r[0])).otherwise(rest), places, F.lit(None).cast("int"))
 
 
 def first_match_classify(df: DataFrame, rules: Sequence[Rule], target: str, default: str = "Unmapped", unmapped_only: bool = False) -> DataFrame:
@@ -20,7 +22,12 @@ def first_match_classify(df: DataFrame, rules: Sequence[Rule], target: str, defa
     if not rules:
         raise ValueError("no rules")
     live = [r for r in rules if r.enabled and r.conditions]
-    out = df.withColumn("rule_id", _first(live, df.columns, lambda r: r.rule_id)).withColumn(target, F.coalesce(_first(live, df.columns, lambda r: r.target), F.lit(default)))
+    (place,) = [n for n in ("__place", "___place") if n not in df.columns][:1]
+    # The conditions are evaluated once, to a place in the list of rules; ids and values are looked up by it.
+    text = lambda x: F.array(*[F.lit(v) for v in x]) if live else F.lit(None).cast("array<string>")
+    found = df.withColumn(place, _first(live, df.columns))
+    value = F.coalesce(F.get(text([r.target for r in live]), F.col(place)), F.lit(default))
+    out = found.withColumn("rule_id", F.get(text([r.rule_id for r in live]), F.col(place))).withColumn(target, value).drop(place)
     return out.where(F.col("rule_id").isNull()) if unmapped_only else out
 
 

@@ -118,8 +118,14 @@ def replace_scope(current: DataFrame, incoming: DataFrame, scope: Sequence[str])
 
 
 def load_all_scopes(incoming: DataFrame, path: str, scope: Sequence[str]) -> None:
-    """All scopes of the rows in one dynamic overwrite of their partitions."""
-    incoming.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)
+    """All scopes of the rows in one dynamic overwrite of their partitions. A scope's rows are gathered before, into one
+    file for a few million of them, so that there aren't as many files as tasks and scopes."""
+    gathered(incoming, scope).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)
+
+
+def gathered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows dealt by their partition columns; Spark splits those of large partitions over several tasks."""
+    return df.hint("rebalance", *[F.col(c) for c in by])
 
 
 def archive_replaced_rows(current: DataFrame, incoming: DataFrame, scope: Sequence[str], revision: int) -> DataFrame:
@@ -178,10 +184,9 @@ class Recipe:
     bucket: str = "other"
 
 
-def unmapped_measures(measures: Sequence[str], mapping: DataFrame) -> DataFrame:
+def unmapped_measures(measures: Sequence[str] | DataFrame, mapping: DataFrame) -> DataFrame:
     """(source_column) of measures without an entry, and of amount entries without a major category."""
-    spark = mapping.sparkSession
-    names = spark.createDataFrame([(m,) for m in measures], "source_column string")
+    names = measures if isinstance(measures, DataFrame) else mapping.sparkSession.createDataFrame([(m,) for m in measures], "source_column string")
     good = mapping.where((F.col("measure_type") != "amount") | (F.trim(F.coalesce("major_category", F.lit(""))) != "")).select("source_column")
     return names.join(good, "source_column", "left_anti")
 

@@ -62,7 +62,7 @@ def replace_rows(current: DataFrame, incoming: DataFrame, period: str = "period"
 
 def replace_periods(incoming: DataFrame, path: str, period: str = "period") -> None:
     """Overwrite the incoming rows' period partitions of a Parquet table and no other; incoming isn't to read from the table."""
-    incoming.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
+    incoming.hint("rebalance", F.col(period)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
 
 
 def new_files(files: DataFrame, history: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +19,9 @@ def estimate_daily_rows(rules: DataFrame, start: str = "start_date", end: str =
     return rules.agg(F.coalesce(F.sum(F.datediff(end, start) + 1), F.lit(0)).cast("long").alias("days"))
 
 
-def daily_preview(rules: DataFrame, n: int = 20) -> DataFrame:
-    return expand_date_ranges(rules).limit(n)
+def daily_preview(rules: DataFrame, n: int = 20, order: Sequence[str] = ("applied_date",)) -> DataFrame:
+    """The first daily rows in the given order."""
+    return expand_date_ranges(rules).orderBy(*order).limit(n)
 
 
 def interval_overlap_count(rules: DataFrame, key: str, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -48,9 +51,12 @@ def promotion_rule_validation(master: DataFrame, rules: DataFrame) -> DataFrame:
         made = F.array(*[F.when(bad, F.struct(F.lit(c).alias("column"), F.lit(m).alias("message"))) for c, m, bad in checks])
         return df.select(F.lit(sheet).alias("sheet"), F.col(key).alias("key"), F.explode(F.array_compact(made)).alias("f")).select("sheet", "key", "f.*")
 
-    twice = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) > 1
-    m = master.withColumn("__twice", twice("promotion_id") & ~blank("promotion_id"))
-    r = rules.withColumn("__twice", twice("support_rule_id") & ~blank("support_rule_id"))
+    def marked(df, key):
+        """df with whether its key occurs twice; blank keys aren't counted, so that they don't meet in one task."""
+        many = df.where(~blank(key)).groupBy(F.col(key).alias("__many")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__many")
+        return df.join(many, F.col(key) == F.col("__many"), "left").withColumn("__twice", F.col("__many").isNotNull()).drop("__many")
+
+    m, r = marked(master, "promotion_id"), marked(rules, "support_rule_id")
     known = master.select(F.col("promotion_id").alias("__id")).distinct()
     r = r.join(known, F.col("promotion_id") == F.col("__id"), "left")
     start, end = parse_date_unambiguous(F.col("start_date")), parse_date_unambiguous(F.col("end_date"))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.functions.dates import period_parts
+from tallyforge.functions.dates import expand_period_spec, period_parts
 from tallyforge.functions.money import fx_convert
 from tallyforge.functions.text import UNKNOWN, business_key, null_to_unknown
+from tallyforge.session import written
 
 UNKNOWN_KEY = -1
 STATEMENT_LINES = ("GROSS_REVENUE", "SALES_DEDUCTION", "COGS", "LOGISTICS_COST", "PROMOTION_COST", "WARRANTY_COST", "FIXED_SGNA")
@@ -18,27 +19,32 @@ STATEMENT_LINES = ("GROSS_REVENUE", "SALES_DEDUCTION", "COGS", "LOGISTICS_COST",
 
 # keys and dimensions
 
-def new_keys(keys: DataFrame, registry: DataFrame, key: str = "nk") -> DataFrame:
-    """Distinct normalised keys that the registry lacks."""
-    wanted = keys.select(business_key(F.col(key)).alias(key)).where(F.col(key) != "").distinct()
+def new_keys(keys: DataFrame, registry: DataFrame, key: str = "nk", exact: bool = False) -> DataFrame:
+    """Distinct keys that the registry lacks, normalised unless they are to be taken as they are."""
+    wanted = keys.select((F.col(key) if exact else business_key(F.col(key))).alias(key)).where(F.col(key) != "").distinct()
     return wanted.join(registry.select(key), key, "left_anti")
 
 
-def assign_surrogate_keys(registry: DataFrame, keys: DataFrame, key: str = "nk", sk: str = "sk", partitions: int | None = None) -> DataFrame:
-    """The registry with new keys appended: its highest number and on, in key order; old numbers never change.
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "row", start: int = 1, partitions: int | None = None) -> DataFrame:
+    """df with gapless numbers from `start` on in the given order; ties are numbered in any order.
 
-    The new keys are dealt by ranges and sorted within; the counts of the ranges (one number each) give each range's
-    first number, so that no task holds all keys.
+    The rows are dealt by ranges and sorted within; the counts of the ranges (one number each) give each range's first
+    number, so that no task holds all rows. They are written in between, so that numbers and counts see the same ranges,
+    also when a task runs again.
     """
-    spark = registry.sparkSession
-    top = registry.agg(F.max(sk)).first()[0]
-    start = max(top if top is not None else 0, 0)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fresh = new_keys(keys, registry, key).repartitionByRange(n, key).sortWithinPartitions(key)
-    placed = fresh.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = written(dealt.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = placed.join(F.broadcast(sizes.select("__p", before.alias("__b"))), "__p").select((F.lit(start) + 1 + F.col("__b") + F.col("__i")).cast("long").alias(sk), F.col(key))
+    firsts = sizes.select("__p", before.alias("__b"))  # one row for each of the n ranges
+    return placed.join(F.broadcast(firsts), "__p").select((F.lit(start) + F.col("__b") + F.col("__i")).cast("long").alias(name), *df.columns)
+
+
+def assign_surrogate_keys(registry: DataFrame, keys: DataFrame, key: str = "nk", sk: str = "sk", partitions: int | None = None, exact: bool = False) -> DataFrame:
+    """The registry with new keys appended: its highest number and on, in key order; old numbers never change."""
+    top = registry.agg(F.max(sk)).first()[0]
+    numbered = number_rows(new_keys(keys, registry, key, exact), [key], sk, max(top if top is not None else 0, 0) + 1, partitions)
     return registry.select(F.col(sk).cast("long").alias(sk), key).unionByName(numbered)
 
 
@@ -88,9 +94,16 @@ def discovered_dimension(staged: DataFrame, key: str, name: str, registry: DataF
     return build_dimension(found, key, [name], registry, sk)
 
 
-def expand_calendar(periods: DataFrame) -> DataFrame:
-    """Date dimension of all months from the first to the last period (YYYY-MM)."""
-    ends = periods.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a IS NOT NULL")
+def expand_calendar(periods: DataFrame, spec: str | None = None, registered: DataFrame | None = None) -> DataFrame:
+    """Date dimension of all months from the first to the last of the periods (YYYY-MM), of those of a period spec, and
+    of those registered before."""
+    months = expand_period_spec(spec) if spec else None
+    every = periods.select("period")
+    if months:
+        every = every.unionByName(periods.sparkSession.createDataFrame([(m,) for m in months], "period string"))
+    if registered is not None:
+        every = every.unionByName(registered.select("period"))
+    ends = every.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a IS NOT NULL")
     day = lambda c: F.to_date(F.concat(F.col(c), F.lit("-01")))
     months = ends.select(F.explode(F.sequence(day("a"), day("b"), F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("period"))
     return months.select(period_parts(F.col("period")).alias("p"), "period").select("p.date_sk", "period", "p.year", "p.quarter", "p.month")
@@ -111,12 +124,13 @@ def conflicting_attributes(df: DataFrame, key: str, authority: str, attributes:
 
 
 def merge_dimension_type1(dim: DataFrame, stage: DataFrame, key: str, attributes: Sequence[str], authority: str, sk: str = "sk") -> tuple[DataFrame, DataFrame]:
-    """(dimension, audit): new attributes where the staged authority is as high as the old one; keys keep their number.
+    """(dimension, audit): new attributes where the staged authority is as high as the old one; keys are exact
+    and keep their number.
 
     The audit has the old version of each changed member.
     """
     latest = latest_authority_row(stage.select(key, authority, *attributes), key, authority)
-    numbers = assign_surrogate_keys(dim.select(F.col(sk), F.col(key).alias("nk")), latest.select(F.col(key).alias("nk")), sk=sk).withColumnRenamed("nk", key)
+    numbers = assign_surrogate_keys(dim.select(F.col(sk), F.col(key).alias("nk")), latest.select(F.col(key).alias("nk")), sk=sk, exact=True).withColumnRenamed("nk", key)
     o, n = dim.alias("o"), latest.alias("n")
     both = numbers.join(o.drop(sk), key, "left").alias("o").join(n, key, "left")
     newer = F.col(f"n.{authority}").isNotNull() & (F.col(f"o.{authority}").isNull() | (F.col(f"n.{authority}") >= F.col(f"o.{authority}")))
@@ -184,6 +198,103 @@ def waterfall_rollup(long: DataFrame, grain: Sequence[str], value: str = "signed
     return long.where(F.coalesce("statement_line", F.lit("")) != "SUBTOTAL_IGNORED").groupBy(*grain).agg(*waterfall_columns(F.col(value)))
 
 
+def _line_total(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0)).cast("decimal(38,6)")
+
+
+def _entries(rules: DataFrame) -> dict[str, tuple[str, int]]:
+    """account -> (statement line, sign); one rule per account column of the wide table, so a small table by nature."""
+    return {r["account_code"]: (r["statement_line"], r["sign_multiplier"]) for r in rules.select("account_code", "statement_line", "sign_multiplier").collect()}
+
+
+def wide_lines(wide: DataFrame, accounts: Sequence[str], rules: DataFrame, rates: DataFrame, reporting: str) -> DataFrame:
+    """Wide rows with one column per statement line: the reporting amounts of its accounts, each rounded to 6, added up.
+
+    Equals long_amounts and a sum by line, without a row for each account: the rules are resolved on the driver, and
+    the rate is joined once a row. Accounts without a rule, and subtotals, are in no line.
+    """
+    by: dict[str, list[tuple[str, int]]] = {}
+    for a, (line, sign) in _entries(rules).items():
+        if a in accounts:
+            by.setdefault(line, []).append((a, sign))
+    signed = {a: f"__signed_{a}" for parts in by.values() for a, _ in parts}
+    out = wide.withColumns({signed[a]: (F.round(F.col(a).cast("decimal(18,6)"), 6) * F.lit(sign)).cast("decimal(18,6)") for parts in by.values() for a, sign in parts})
+    out = fx_convert(out, rates, list(signed.values()), reporting)
+    total = lambda parts: sum((_line_total(F.col(f"{signed[a]}_reporting")) for a, _ in parts), F.lit(0).cast("decimal(38,6)")).cast("decimal(38,6)")
+    out = out.withColumns({s.lower(): total(by.get(s, ())) for s in STATEMENT_LINES})
+    return out.drop(*signed.values(), *[f"{x}_reporting" for x in signed.values()])
+
+
+def with_results(df: DataFrame) -> DataFrame:
+    """df with the five results of its seven statement line columns."""
+    out = df
+    for name, parts in (
+        ("net_revenue", ("gross_revenue", "sales_deduction")), ("gross_margin", ("net_revenue", "cogs")), ("variable_cost", ("logistics_cost", "promotion_cost", "warranty_cost")),
+        ("contribution_margin", ("gross_margin", "variable_cost")), ("operating_profit", ("contribution_margin", "fixed_sgna")),
+    ):
+        out = out.withColumn(name, sum((F.col(p) for p in parts[1:]), F.col(parts[0])).cast("decimal(38,6)"))
+    return out
+
+
+def wide_waterfall(wide: DataFrame, accounts: Sequence[str], rules: DataFrame, rates: DataFrame, reporting: str, grain: Sequence[str]) -> DataFrame:
+    """waterfall_rollup straight from the wide table."""
+    lines = [s.lower() for s in STATEMENT_LINES]
+    return with_results(wide_lines(wide, accounts, rules, rates, reporting).groupBy(*grain).agg(*[_line_total(F.sum(c)).alias(c) for c in lines]))
+
+
+def unmapped_wide_accounts(wide: DataFrame, accounts: Sequence[str], rules: DataFrame, allow: bool = False) -> dict[str, object]:
+    """account -> sum of absolute amounts of the accounts without a rule that have money in them; raises on any unless allowed."""
+    lost = [a for a in accounts if a not in _entries(rules)]
+    if not lost:
+        return {}
+    money = wide.agg(*[F.sum(F.abs(a)).alias(a) for a in lost]).first().asDict()
+    found = {a: v for a, v in money.items() if v}
+    if found and not allow:
+        raise ValueError(f"accounts without a rule: {', '.join(found)}")
+    return found
+
+
+#: Names under which the columns of an inventory table may come, the first that is there counts.
+INVENTORY_ALIASES = {
+    "warehouse_code": ("warehouse_code", "warehouse"),
+    "currency": ("currency_code", "currency"),
+    "entity": ("entity_code", "entity"),
+    "qty": ("ending_qty", "inventory_qty", "qty", "stock_qty"),
+    "value": ("ending_inventory_val_local", "ending_inventory_val", "inventory_val_local", "inventory_val", "ending_val", "value"),
+    "dio": ("dio_days", "dio"),
+    "cost": ("warehouse_logistics_cost_local", "warehouse_logistics_cost", "logistics_cost_local", "logistics_cost", "wh_logistics_cost", "cost"),
+}
+
+
+def inventory_source(df: DataFrame) -> DataFrame:
+    """An inventory table under the names that inventory_fact reads, found among their aliases; the warehouse's code is its name where it has none."""
+    have = {c.lower(): c for c in df.columns}
+    names, lost = {}, []
+    for name, aliases in INVENTORY_ALIASES.items():
+        found = next((have[a] for a in aliases if a in have), None)
+        if found is None:
+            lost.append(name)
+        names[name] = found
+    if lost:
+        raise ValueError(f"inventory columns not found: {lost}")
+    out = df.withColumnsRenamed({old: new for new, old in names.items() if old != new})
+    return out if "warehouse_name" in out.columns else out.withColumn("warehouse_name", F.col("warehouse_code"))
+
+
+def inventory_premart(df: DataFrame, grain: Sequence[str], value: str, sums: Sequence[str], warehouse: str, dio: str = "dio") -> DataFrame:
+    """Sums, days of stock weighted by value (a plain mean where the weights aren't positive), and warehouses of a grain."""
+    w, d = F.col(value), F.col(dio).cast("decimal(12,6)")
+    weight = F.sum(w)
+    mean = F.when(weight > 0, F.sum(w.cast("decimal(24,6)") * d).cast("double") / weight.cast("double")).otherwise(F.sum(d).cast("double") / F.count(d))
+    return df.groupBy(*grain).agg(weight.alias(value), *[F.sum(s).alias(s) for s in sums], mean.alias("dio"), F.count_distinct(warehouse).alias("warehouses"))
+
+
+def price_premart(df: DataFrame, grain: Sequence[str], prices: Sequence[str], channel: str) -> DataFrame:
+    """Mean, least and greatest unit prices, and channels of a grain."""
+    parts = [x for p in prices for x in ((F.sum(p).cast("double") / F.count(p)).alias(p), F.min(p).alias(f"min_{p}"), F.max(p).alias(f"max_{p}"))]
+    return df.groupBy(*grain).agg(*parts, F.count_distinct(channel).alias("channels"))
+
+
 def inventory_fact(df: DataFrame, grain: Sequence[str]) -> DataFrame:
     """Sums of quantity, value and cost; days of stock weighted by value, a plain mean where the weights aren't positive."""
     w, d = F.col("value").cast("decimal(18,6)"), F.col("dio").cast("decimal(12,6)")

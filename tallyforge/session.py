@@ -1,6 +1,6 @@
 """Session settings that the operators rely on."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Text partitions stay text, times are UTC, and legacy code pages can be read.
 SETTINGS = {
@@ -25,3 +25,10 @@ def scratch_folder(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the shared folder and read again: cuts lineage, and is worked out once."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,6 +26,16 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = (), mode: str =
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def _exists_path(spark: SparkSession, path: str) -> bool:
+    """Whether there are files of text under a path."""
+    try:
+        return not spark.read.text(path).isEmpty()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.schema(_POINTER).json(path).isEmpty()

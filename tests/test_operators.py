@@ -324,9 +324,9 @@ def test_queries_see_whole_tables(spark, monkeypatch):
     assert {r["o_orderkey"]: r["period"] for r in queries.QUERIES["normalize_period_all_forms"](spark, sf).collect()} == want
 
     seen = {}
-    infer, inner = profile.infer_precision_scale, profile.profile_columns
+    infer, inner = profile.infer_precision_scale, profile.inspect_schema
     monkeypatch.setattr(profile, "infer_precision_scale", lambda df, columns: seen.update(numbers=df.count()) or infer(df, columns))
-    monkeypatch.setattr(profile, "profile_columns", lambda df, *a, **k: seen.update(files=df.count()) or inner(df, *a, **k))
+    monkeypatch.setattr(profile, "inspect_schema", lambda df, *a, **k: seen.update(files=df.count()) or inner(df, *a, **k))
     assert [tuple(r) for r in queries.QUERIES["infer_precision_scale"](spark, sf).collect()] == [("t", 18, 2)]
     assert queries.QUERIES["inspect_schema"](spark, sf).count() == 3
     assert seen == {"numbers": len(texts), "files": tables.files.count()} and seen["files"] > 1000
