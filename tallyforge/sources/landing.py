@@ -5,7 +5,10 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+from collections import deque
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +38,32 @@ def header_names(cells: Sequence[str | None]) -> list[str]:
     return out
 
 
+def file_headers(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """(file, names): the cells of each file's first line; only the files' first blocks are read."""
+    lines = spark.read.option("encoding", CHARSETS.get(encoding.lower(), encoding)).text(paths)
+    first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value").where("b = 0")
+    return first.groupBy("file").agg(F.min_by("value", "i").alias("value")).select("file", csv_cells(F.col("value"), delimiter).alias("names"))
+
+
 def scan_delimited_text(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", encoding: str = "utf-8", columns: Sequence[str] | None = None, multiline: bool = False) -> DataFrame:
-    """All cells as text, by the first file's header. Files are read with one schema, so they are to share their header."""
-    reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("encoding", CHARSETS.get(encoding.lower(), encoding)).option("multiLine", multiline)
-    first = [paths] if isinstance(paths, str) else list(paths)
-    names = header_names(list(reader.option("header", False).csv(first[0]).limit(1).collect()[0]))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(first)
-    return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
+    """All cells as text, by each file's own header: files with unlike headers are matched by column name, and a column
+    that a file lacks is null there. With multiline, cells may have line breaks; the files then share the first one's header."""
+    reader = lambda: spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("encoding", CHARSETS.get(encoding.lower(), encoding)).option("multiLine", multiline)
+    every = [paths] if isinstance(paths, str) else list(paths)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    if multiline:
+        groups[tuple(header_names(list(reader().option("header", False).csv(every[0]).limit(1).collect()[0])))] = every
+    else:
+        for r in file_headers(spark, every, delimiter, encoding).collect():  # one row a file
+            groups.setdefault(tuple(header_names(r["names"])), []).append(unquote(r["file"]))
+        if len(groups) == 1:
+            groups = {next(iter(groups)): every}
+    out = None
+    for names, files in sorted(groups.items(), key=lambda g: g[1][0]):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = reader().option("header", True).option("enforceSchema", True).schema(schema).csv(files)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.select(*[F.col(f"`{c}`") for c in columns]) if columns else out
 
 
 _PROFILE = T.StructType(
@@ -135,10 +156,31 @@ def profile_landing_files(spark: SparkSession, path: str, glob: str = "*", sampl
 
 
 def indexed_records(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """(file, line, cells): the records of text files without quoted line breaks, with their order in each file."""
+    """(file, line, cells): the records of text files, with their order in each file. A quoted cell may have line breaks.
+
+    line is a struct of the block of the file and the place in it. Whether a line begins within quotes follows from the
+    quotes before it: their sums by block are carried on from block to block, so that no task reads a whole file.
+    """
     lines = spark.read.option("encoding", CHARSETS.get(encoding.lower(), encoding)).text(path)
     order = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    return lines.select(F.col("_metadata.file_path").alias("file"), order.alias("line"), csv_cells(F.col("value"), delimiter).alias("cells"))
+    text = lines.select(F.col("_metadata.file_path").alias("file"), order.alias("line"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if text.where(quotes % 2 == 1).isEmpty():
+        return text.select("file", "line", csv_cells(F.col("value"), delimiter).alias("cells"))
+    odd = running_sum(text.withColumn("quotes", quotes.cast("long")), "quotes")
+    starts = odd.withColumn("starts", ((F.col("before") % 2) == 0).cast("long"))
+    placed = running_sum(starts.drop("before", "quotes"), "starts").withColumn("record", F.col("before") + F.col("starts"))
+    joined = placed.groupBy("file", "record").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return joined.select("file", "line", csv_cells(F.col("value"), delimiter).alias("cells"))
+
+
+def running_sum(rows: DataFrame, column: str) -> DataFrame:
+    """rows (file, line, ...) with `before`: the sum of the column over the file's earlier rows; by block, and from block to block."""
+    blocks = rows.groupBy("file", F.col("line.b").alias("b")).agg(F.sum(column).alias("n"))
+    carried = blocks.withColumn("carried", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    here = Window.partitionBy("file", "line.b").orderBy("line.i").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("inside", F.coalesce(F.sum(column).over(here), F.lit(0))).withColumn("b", F.col("line.b"))
+    return inside.join(carried, ["file", "b"]).withColumn("before", F.col("carried") + F.col("inside")).drop("b", "carried", "inside")
 
 
 def csv_cells(line: Column, delimiter: str) -> Column:
@@ -146,7 +188,7 @@ def csv_cells(line: Column, delimiter: str) -> Column:
     d = {"|": "[|]", "\t": "\\t"}.get(delimiter, delimiter)
     cell = f'(?:^|{d})("(?:[^"]|"")*"|[^{d.strip("[]")}]*)'
     raw = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
-    clean = F.transform(raw, lambda x: F.when(x.rlike('^".*"$'), F.regexp_replace(F.substring(x, 2, F.length(x) - 2), '""', '"')).otherwise(x))
+    clean = F.transform(raw, lambda x: F.when(x.rlike('(?s)^".*"$'), F.regexp_replace(F.substring(x, 2, F.length(x) - 2), '""', '"')).otherwise(x))
     return F.when(F.length(line) > 0, clean).otherwise(F.array().cast("array<string>"))
 
 
@@ -171,55 +213,78 @@ def reject_overwide_records(records: DataFrame, n: int, fail: bool = False) -> D
     return wide
 
 
-def repair_rows(rows: list[list[str]], n: int, pending: list[str] | None = None) -> tuple[list[list[str]], int]:
-    """Join split records of one stretch. A one-cell row after a full one belongs to its last cell; another short row
-    takes up to LOOK_AHEAD rows that follow while the joined width comes to n exactly, else it stays as it is."""
-    out: list[list[str]] = [] if pending is None else [list(pending)]
-    repaired, i = 0, 0
-    while i < len(rows):
-        row = list(rows[i])
-        i += 1
+def repaired(rows: Iterator[list[str]], n: int) -> Iterator[tuple[list[str], int]]:
+    """Records with split ones joined, each with how many joins it took. A one-cell row after a full one belongs to its
+    last cell; another short row takes up to LOOK_AHEAD rows that follow while the joined width comes to n exactly, else
+    it stays as it is. LOOK_AHEAD rows are held, however many there are."""
+    ahead: deque[list[str]] = deque()
+    last: tuple[list[str], int] | None = None
+
+    def there(k: int) -> bool:
+        while len(ahead) <= k and (row := next(rows, None)) is not None:
+            ahead.append(list(row))
+        return len(ahead) > k
+
+    while there(0):
+        row, joins = ahead.popleft(), 0
         if 0 < len(row) < n:
-            if len(row) == 1 and out and len(out[-1]) == n:
-                out[-1][-1] = f"{out[-1][-1]} {row[0]}".strip()
-                repaired += 1
+            if len(row) == 1 and last and len(last[0]) == n:
+                last[0][-1] = f"{last[0][-1]} {row[0]}".strip()
+                last = (last[0], last[1] + 1)
                 continue
-            joined, j = list(row), i
-            while len(joined) < n and j < len(rows) and j - i < LOOK_AHEAD and len(rows[j]) < n and len(joined) + max(len(rows[j]), 1) - 1 <= n:
-                if rows[j]:
-                    joined[-1] = f"{joined[-1]} {rows[j][0]}".strip()
-                    joined += rows[j][1:]
-                j += 1
-            if len(joined) == n and j > i:
-                row, i = joined, j
-                repaired += 1
-        out.append(row)
-    return out, repaired
+            joined, k = list(row), 0
+            while len(joined) < n and k < LOOK_AHEAD and there(k) and len(ahead[k]) < n and len(joined) + max(len(ahead[k]), 1) - 1 <= n:
+                if ahead[k]:
+                    joined[-1] = f"{joined[-1]} {ahead[k][0]}".strip()
+                    joined += ahead[k][1:]
+                k += 1
+            if len(joined) == n and k:
+                row, joins = joined, 1
+                for _ in range(k):
+                    ahead.popleft()
+        if last:
+            yield last
+        last = (row, joins)
+    if last:
+        yield last
+
+
+def repair_rows(rows: list[list[str]], n: int) -> tuple[list[list[str]], int]:
+    """The joined records of one stretch, and how many joins were made."""
+    got = list(repaired(iter(rows), n))
+    return [r for r, _ in got], sum(k for _, k in got)
 
 
 def repair_split_records(records: DataFrame, n: int) -> DataFrame:
     """(file, island, place, cells, repaired): records with split ones joined again.
 
     A join never crosses a record of n cells or more, so each such record and the short ones after it are an island of
-    its own. Full records without short neighbours never reach Python: only islands with a short record are grouped.
+    its own, numbered by block of the file. Full records without short neighbours never reach Python; the rows of the
+    other islands pass through it in order, of which it holds a few at a time.
     """
-    w = Window.partitionBy("file").orderBy("line")
     full = F.size("cells") >= n
-    marked = records.withColumn("island", F.sum(full.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.lead(full.cast("int"), 1, 1).over(w))
-    whole = marked.where(full & (F.col("__next") == 1)).select("file", "island", F.lit(0).cast("long").alias("place"), "cells", F.lit(0).cast("long").alias("repaired"))
-    broken = marked.where(~(full & (F.col("__next") == 1)))
+    counted = running_sum(records.withColumn("full", full.cast("long")), "full").withColumn("island", F.col("before") + F.col("full")).drop("before")
+    short = counted.where("full = 0").select("file", "island").distinct()
+    whole = counted.where("full = 1").join(short, ["file", "island"], "left_anti").select("file", "island", F.lit(0).cast("long").alias("place"), "cells", F.lit(0).cast("long").alias("repaired"))
+    broken = counted.join(short, ["file", "island"], "left_semi").select("file", "island", "line", "cells")
+    ordered = broken.repartition("file", "island").sortWithinPartitions("file", "island", "line").select("file", "island", "cells")
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("island", T.LongType()), T.StructField("place", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType())), T.StructField("repaired", T.LongType())])
 
-    def join(pdf):
+    def join(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        pdf = pdf.sort_values("at")
-        rows, k = repair_rows([list(c) for c in pdf["cells"]], n)
-        f, isl = pdf["file"].iat[0], pdf["island"].iat[0]
-        return pd.DataFrame({"file": [f] * len(rows), "island": [isl] * len(rows), "place": range(len(rows)), "cells": rows, "repaired": [k if i == 0 else 0 for i in range(len(rows))]})
-
-    ordered = broken.select("file", "island", F.row_number().over(Window.partitionBy("file", "island").orderBy("line")).alias("at"), "cells")
-    return whole.unionByName(ordered.groupBy("file", "island").applyInPandas(join, schema))
+        rows = ((f, i, list(c)) for pdf in batches for f, i, c in pdf.itertuples(index=False))
+        out: list[tuple] = []
+        for (f, i), island in groupby(rows, key=lambda r: r[:2]):
+            for place, (cells, k) in enumerate(repaired((c for _, _, c in island), n)):
+                out.append((f, i, place, cells, k))
+                if len(out) == 5000:
+                    yield pd.DataFrame(out, columns=[x.name for x in schema])
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=[x.name for x in schema])
+
+    return whole.unionByName(ordered.mapInPandas(join, schema))
 
 
 def clean_cells(df: DataFrame, columns: Sequence[str], mode: str = "Polish") -> DataFrame:
