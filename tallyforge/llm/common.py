@@ -126,7 +126,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], step: int = STEP_BYTES) -> DataFrame:
     """df with new columns worked out from its texts; a column of the same name is replaced.
 
     make() gives a function from a list of texts to one list or array per field.
@@ -143,7 +143,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
 
         def on_batch(b: pa.RecordBatch) -> pa.RecordBatch:
             parts: list[list] = [[] for _ in fields]
-            for _, _, texts in text_steps(b.column(b.schema.get_field_index(text_col))):
+            for _, _, texts in text_steps(b.column(b.schema.get_field_index(text_col)), step):
                 for p, x in zip(parts, one(texts), strict=True):
                     p.extend(x.tolist() if isinstance(x, np.ndarray) else x)
             new = [pa.array(p, f.type) for p, f in zip(parts, arrow, strict=True)]

@@ -19,6 +19,8 @@ BUCKETS = 1 << 16
 #: Labelled texts that each language has in the training sample before any has more.
 FLOOR = 50
 SIZES = (2, 3, 4)
+#: Bytes of text that are labelled at once; the recursions take a turn for each place of the longest text among them.
+STEP = 4 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -139,7 +141,9 @@ def train_crf(rows: list[tuple[str, str]], turns: int = 25, rate: float = 0.5, s
     for t in range(1, len(active)):
         np.add.at(pairs, (gold[at[t - 1] : at[t - 1] + active[t]], gold[at[t] : at[t + 1]]), 1)
     scale = {k: np.full(v.shape, 1e-8) for k, v in (("w", model.weights), ("x", model.lexical), ("m", model.moves))}
-    log_moves = np.zeros_like(model.moves)
+    scale["f"] = np.full(n_labels, 1e-8)
+    log_moves, log_first = np.zeros_like(model.moves), np.zeros(n_labels)
+    starts = np.bincount(gold[: active[0]], minlength=n_labels)
 
     def climb(key: str, weights: np.ndarray, slope: np.ndarray) -> None:
         scale[key] += slope * slope
@@ -152,7 +156,8 @@ def train_crf(rows: list[tuple[str, str]], turns: int = 25, rate: float = 0.5, s
         score[~lettered] = 0
         e = (np.exp(score - score.max(axis=1, keepdims=True)) + 1e-30).astype(np.float32)[word]
         moves = np.exp(log_moves).astype(np.float32)
-        m, a, b = forward_backward(e, shape, moves, model.first.astype(np.float32))
+        m, a, b = forward_backward(e, shape, moves, np.exp(log_first).astype(np.float32))
+        climb("f", log_first, (starts - m[: active[0]].sum(axis=0)) / len(gold))
         m[places, gold] -= 1
         slope = -np.stack([np.bincount(word, m[:, k], len(words)) for k in range(n_labels)], 1)
         del m
@@ -168,7 +173,7 @@ def train_crf(rows: list[tuple[str, str]], turns: int = 25, rate: float = 0.5, s
         climb("x", model.lexical, np.array([slope[inside[in_lexicon[inside] == k], k].sum() for k in range(n_labels)]) / n)
         climb("m", log_moves, (pairs - expected) / n)
     model.weights, model.moves = model.weights.astype(np.float32), np.exp(log_moves).astype(np.float32)
-    model.first, model.lexical = model.first.astype(np.float32), model.lexical.astype(np.float32)
+    model.first, model.lexical = np.exp(log_first).astype(np.float32), model.lexical.astype(np.float32)
     return model
 
 
@@ -180,12 +185,12 @@ class Tagger:
         self.words = WordIds(model.emissions)
 
     def mark(self, texts: list[str | None]):
-        """(mean probabilities, words with letters) of each text, and each text's word probabilities in order."""
+        """(mean probabilities, mean of the words' greatest, words with letters) of each text, and each text's word probabilities in order."""
         lists = [lower_words(t) for t in texts]
         sizes = np.array([len(x) for x in lists], np.int64)
         n_labels = len(self.model.labels)
         if not sizes.sum():
-            return np.zeros((len(texts), n_labels)), np.zeros(len(texts), np.int64), np.zeros((0, n_labels)), sizes
+            return np.zeros((len(texts), n_labels)), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros((0, n_labels)), sizes
         at = self.words.lookup([w for x in lists for w in x])
         got = self.words.table[at]
         shape = Ragged(sizes)
@@ -197,7 +202,8 @@ class Tagger:
         lettered = got[:, -1] > 0
         n = np.bincount(doc[lettered], minlength=len(texts))
         mean = np.stack([np.bincount(doc[lettered], m[lettered, k], len(texts)) for k in range(n_labels)], 1) / np.maximum(n, 1)[:, None]
-        return mean, n, m, sizes
+        sure = np.bincount(doc[lettered], m[lettered].max(axis=1), len(texts)) / np.maximum(n, 1)
+        return mean, sure, n, m, sizes
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int, floor: int = FLOOR) -> list[tuple[str, str]]:
@@ -218,17 +224,18 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 1500, spans: bool = False) -> DataFrame:
-    """docs with lang_pred, score and held_out, and with spans also array<struct<lang, start, end>> of word ranges.
+    """docs with lang_pred, score, certainty and held_out, and with spans also array<struct<lang, start, end>> of word ranges.
 
     The model is fitted on a sample of at most train_rows labelled rows whose crc32(id as text) mod 4 is not 2, of
-    which each language has FLOOR, or all it has, before any has more; it is small and of fixed size, and broadcast. lang_pred is the label with the greatest mean probability over a text's words
-    with letters, score that mean. Null, empty and letterless texts are `und` with score 0. With no labelled row all
-    are `und`. Repeated rows get equal results; columns with an output's name are replaced.
+    which each language has FLOOR, or all it has, before any has more; it is small and of fixed size, and broadcast.
+    lang_pred is the label with the greatest mean probability over a text's words with letters, score that mean, and
+    certainty the mean of each such word's greatest probability, which is high in code-switched text too. Null, empty
+    and letterless texts are `und` with score and certainty 0. With no labelled row all are `und`. Repeated rows get equal results; columns with an output's name are replaced.
     """
     spark = docs.sparkSession
     rows = training_rows(docs, id_col, text_col, lang_col, train_rows)
     shared = spark.sparkContext.broadcast(train_crf(rows) if any(lower_words(t) for t, _ in rows) else None)
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType())]
     if spans:
         one = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
         fields.append(T.StructField("spans", T.ArrayType(one)))
@@ -239,10 +246,10 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         def on_texts(texts):
             if not tagger:
-                return [["und"] * len(texts), [0.0] * len(texts), *([[[]] * len(texts)] if spans else [])]
-            mean, n, m, sizes = tagger.mark(texts)
+                return [["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts), *([[[]] * len(texts)] if spans else [])]
+            mean, sure, n, m, sizes = tagger.mark(texts)
             best = mean.argmax(axis=1)
-            out = [[model.labels[k] if c else "und" for k, c in zip(best, n, strict=True)], np.where(n > 0, np.minimum(mean.max(axis=1), 1.0), 0.0)]
+            out = [[model.labels[k] if c else "und" for k, c in zip(best, n, strict=True)], np.where(n > 0, np.minimum(mean.max(axis=1), 1.0), 0.0), np.where(n > 0, np.minimum(sure, 1.0), 0.0)]
             if spans:
                 top, all_spans, at = m.argmax(axis=1), [], 0
                 for z in sizes.tolist():
@@ -255,4 +262,4 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return on_texts
 
-    return append_columns(docs, text_col, fields, make).withColumn("held_out", crc_mod(id_col, 4) == 2)
+    return append_columns(docs, text_col, fields, make, STEP).withColumn("held_out", crc_mod(id_col, 4) == 2)
