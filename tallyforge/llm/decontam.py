@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, append_columns
+from .common import ALNUM, LOWER, append_columns, free_names, saved
 
 WINDOW = 13
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,12 +52,30 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return sa
 
 
+class Bits:
+    """A bit vector of one bit a place and one 32-bit count for each 64 of them; ranks by a count and a bit count."""
+
+    def __init__(self, b: np.ndarray):
+        whole = np.zeros((len(b) // 64 + 1) * 64, np.uint8)
+        whole[: len(b)] = b
+        self.words = np.packbits(whole, bitorder="little").view("<u8")
+        self.before = np.r_[0, np.cumsum(np.bitwise_count(self.words))].astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before each place i."""
+        word, below = i >> 6, (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below).astype(np.int64)
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+
 @dataclass
 class Wavelet:
     """Wavelet matrix of a sequence of symbols: rank and access go down one bit of the symbol at a time."""
 
     bits: int
-    ones: list[np.ndarray] = field(default_factory=list)
+    ones: list[Bits] = field(default_factory=list)
     zeros: list[int] = field(default_factory=list)
     first: np.ndarray | None = None
 
@@ -66,15 +84,15 @@ class Wavelet:
         w = cls(max(1, int(symbols - 1).bit_length()))
         for level in range(w.bits - 1, -1, -1):
             b = (s >> level) & 1
-            w.ones.append(np.r_[0, np.cumsum(b)])
-            w.zeros.append(len(s) - int(w.ones[-1][-1]))
+            w.ones.append(Bits(b))
+            w.zeros.append(int(len(b) - b.sum()))
             s = np.concatenate([s[b == 0], s[b == 1]])
         w.first = w._down(np.arange(symbols), np.zeros(symbols, np.int64))
         return w
 
     def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
-            r = ones[i]
+            r = ones.rank(i)
             i = np.where((c >> (self.bits - 1 - k)) & 1, zeros + r, i - r)
         return i
 
@@ -86,8 +104,7 @@ class Wavelet:
         """The symbols at places i, and their ranks there."""
         c = np.zeros(len(i), np.int64)
         for ones, zeros in zip(self.ones, self.zeros, strict=True):
-            r = ones[i]
-            b = ones[i + 1] - r
+            r, b = ones.rank(i), ones.at(i)
             c = c * 2 + b
             i = np.where(b == 1, zeros + r, i - r)
         return c, i - self.first[c]
@@ -136,24 +153,33 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """A benchmark's distinct windows as rows of word numbers (from 2), by length, and the items that have each."""
+    """A benchmark's distinct windows and the items that have each.
+
+    by_length: for each window length, the windows as rows of word numbers (from 2), where each one's items start, and
+    the items' places in `names`. It takes some ten times the bytes of the items' texts.
+    """
 
     vocabulary: dict[bytes, int]
-    by_length: dict[int, tuple[np.ndarray, list[tuple[str, ...]]]]
+    names: list[str]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
+    def of(cls, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
         vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        names = sorted({item for item, _ in items if item is not None})
+        place = {item: k for k, item in enumerate(names)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 2) for w in words_of(text)], np.int32)
+            if n := min(len(ids), window):
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), place.get(item, -1)))
         by_length = {}
-        for n in {len(k) for k in found}:
-            keys = [k for k in found if len(k) == n]
-            by_length[n] = (np.array(keys, np.int64), [tuple(sorted(found[k])) for k in keys])
-        return cls(vocabulary, by_length)
+        for n, parts in found.items():
+            rows, where = np.unique(np.concatenate([w for w, _ in parts]), axis=0, return_inverse=True)
+            owner = np.repeat([k for _, k in parts], [len(w) for w, _ in parts])
+            pairs = np.unique(np.stack([where.ravel()[owner >= 0], owner[owner >= 0]], 1), axis=0)  # an item without a name has windows only
+            by_length[n] = (rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1].astype(np.int32))
+        return cls(vocabulary, names, by_length)
 
 
 def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
@@ -185,8 +211,11 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray,
             place = np.arange(ends[-1]) + np.repeat(runs[:, 0] - (ends - length), length)
             index = FMIndex(ids[place], len(phrases.vocabulary) + 2)
             edge = np.zeros(len(ids) + 1, np.int64)
-            for n, (patterns, owners) in phrases.by_length.items():
-                lo, hi = index.search(patterns)
+            present = np.zeros(len(phrases.vocabulary) + 2, bool)
+            present[ids] = True
+            for n, (patterns, first, owners) in phrases.by_length.items():
+                likely = np.flatnonzero(present[patterns].all(axis=1))
+                lo, hi = index.search(patterns[likely].astype(np.int64))
                 hit = np.flatnonzero(lo < hi)
                 if not len(hit):
                     continue
@@ -196,8 +225,8 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray,
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + n, -1)
                 docs = np.searchsorted(starts, at, side="right") - 1
-                for d, p in np.unique(np.stack([docs, np.repeat(hit, many)], 1), axis=0):
-                    items[d].update(owners[p])
+                for d, p in np.unique(np.stack([docs, np.repeat(likely[hit], many)], 1), axis=0):
+                    items[d].update(phrases.names[k] for k in owners[first[p] : first[p + 1]])
             covered = np.r_[False, np.cumsum(edge)[:-1] > 0, False]
             for a, b in np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2):
                 d = int(np.searchsorted(starts, a, side="right") - 1)
@@ -218,27 +247,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 64 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_words, n_hit, n_items (long), items_sha256, contaminated, and spans (array of word ranges) and items.
 
     Contaminated: n_hit > 0 and 20 * n_hit >= n_words. There is no shuffle: each task indexes its documents in shards
     of bounded text size and searches the broadcast windows. A benchmark over block_bytes of text is dealt into
-    blocks by hash; each is broadcast and searched in a step of its own that extends the spans and items so far, so
-    what is broadcast is bounded whatever the benchmark's size.
-
-    Null, empty or wordless texts have no words and aren't contaminated; items without words match nothing; repeated
-    rows and items are each reported; an empty table gives no rows, an empty benchmark no hits; columns with an
-    output's name are replaced.
+    blocks by hash; each is broadcast and searched in a step of its own that extends the spans and items so far and is
+    written before the next one begins, so that one block is held at a time: some ten times its text, whatever the
+    benchmark's size (an item is not divided).
+
+    Null, empty or wordless texts have no words and aren't contaminated; items without words match nothing; items with
+    a null id count for hits and spans but have no name in items, n_items and items_sha256; repeated rows and items
+    are each reported; an empty table gives no rows, an empty benchmark no hits; columns with an output's name are
+    replaced.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPAN), T.StructField("items", T.ArrayType(T.StringType()))]
-    out = docs
+    out, (old_spans, old_items) = docs, free_names(docs, "spans_before", "items_before")
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        shared = spark.sparkContext.broadcast(Phrases.of([(r["item"], r["text"]) for r in block if r["item"] is not None], window))
+        shared = spark.sparkContext.broadcast(Phrases.of([(r["item"], r["text"]) for r in block], window))
 
         def make(shared=shared):
             def on_texts(texts):
@@ -247,11 +278,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
             return on_texts
 
-        before = out.withColumnsRenamed({"spans": "__spans", "items": "__items"}) if b else out
+        before = out.withColumnsRenamed({"spans": old_spans, "items": old_items}) if b else out
         out = append_columns(before, text_col, fields, make)
         if b:
-            both = lambda f: F.concat(F.col(f"__{f}"), F.col(f))
-            out = out.withColumns({"items": F.array_distinct(both("items")), "spans": _merge_column(both("spans"))}).drop("__spans", "__items")
+            both = lambda new, old: F.concat(F.col(old), F.col(new))
+            out = out.withColumns({"items": F.array_distinct(both("items", old_items)), "spans": _merge_column(both("spans", old_spans))}).drop(old_spans, old_items)
+        if b < blocks - 1:
+            out = saved(out)
+            shared.unpersist()
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     out = out.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join(F.array_sort("items"), ","), 256)})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

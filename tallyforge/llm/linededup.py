@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free_names, saved
+
 
 def _key(line: Column) -> Column:
     """96 bits of a line."""
@@ -35,13 +36,14 @@ def drop_site_lines(df: DataFrame, host_col: str = "source", text_col: str = "te
 
     All occurrences of such a line go; lines of blanks only stay and aren't counted. A null text stays null with no
     lines; a null host is a host of its own; repeated rows are pages of their own; an empty table gives no rows;
-    other columns are kept. Only hosts with boilerplate have a row in the joined table; Spark broadcasts it while its
+    other columns are kept, but for those with an output's name. Only hosts with boilerplate have a row in the joined table; Spark broadcasts it while its
     written size is under spark.sql.autoBroadcastJoinThreshold and else joins by shuffle, splitting large hosts.
     """
-    often = saved(boilerplate_lines(df, host_col, text_col, ratio, min_pages)).select(F.col("host").alias("__host"), F.col("lines").alias("__often"))
-    both = df.join(often, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("__often").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(_worded(x) & F.array_contains(F.col("__often"), _key(x)))))
-    both = both.withColumn("__lines", lines).withColumn("__kept", kept)
-    out = both.withColumn("__n_lines", F.coalesce(F.size(F.filter("__lines", _worded)), F.lit(0)).cast("long")).withColumn("__n_dropped", F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("__n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col))).drop("__host", "__often", "__lines", "__kept")
+    host, often, lines, kept = free_names(df, "host", "often", "lines", "kept")
+    lists = saved(boilerplate_lines(df, host_col, text_col, ratio, min_pages)).select(F.col("host").alias(host), F.col("lines").alias(often))
+    both = df.join(lists, F.col(host_col).cast("string").eqNullSafe(F.col(host)), "left")
+    split = F.split(F.col(text_col), "\n")
+    left = F.when(F.col(often).isNull(), split).otherwise(F.filter(split, lambda x: ~(_worded(x) & F.array_contains(F.col(often), _key(x)))))
+    both = both.withColumn(lines, split).withColumn(kept, left)
+    out = both.withColumn("__n_lines", F.coalesce(F.size(F.filter(lines, _worded)), F.lit(0)).cast("long")).withColumn("__n_dropped", F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col("__n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))).drop(host, often, lines, kept)

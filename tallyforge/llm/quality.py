@@ -13,7 +13,8 @@ from .common import WordIds, append_columns, crc_mod
 from .ngrams import gram_ids
 
 BUCKETS, DIM, SIZES = 1 << 16, 12, (3, 4)
-#: Stands for "the word before, once more"; no text has it as a word, as white space ends words.
+#: Stands for "the word before, once more"; no text has it as a word, as white space ends words. It takes the place of
+#: hashed word pairs, with which the classifier tells held-out labels far worse (see the README).
 AGAIN = b"\x02 again"
 
 
@@ -93,8 +94,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     usable = labels.where(F.col(label_col).isin(0, 1) & (crc_mod(id_col, 3) != 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     picked = usable.orderBy(F.xxhash64("__id", F.lit("sample")), "__y").limit(most)
     # At most `most` ids are broadcast.
-    found = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select("__id", text_col, "__y")
-    return [(r[1] or "", r[2]) for r in sorted(found.collect(), key=lambda r: (r[0], r[1] or "", r[2]))]
+    found = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(picked), F.col(id_col) == F.col("__id"))
+    # Of the texts that share an id, the one with the least hash, so that one text at most comes for each id and label.
+    found = found.groupBy("__id", "__y").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    return [(r["__text"] or "", r["__y"]) for r in sorted(found.collect(), key=lambda r: (r["__id"], r["__y"]))]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 3000) -> DataFrame:

@@ -173,3 +173,57 @@ def test_quality_on_held_out_labels(spark, hard_docs, no_docs):
     rows = quality.score_quality(hard_docs, labels.limit(0)).collect()
     assert all(r["score"] == 0.5 and r["predicted"] == 1 for r in rows)
     assert quality.score_quality(no_docs, labels).count() == 0
+
+
+def test_quality_scores_equal_a_plain_mean(spark, hard_docs):
+    """Of the vectors of all features of a text, under the trained weights; columns named like the outputs are replaced."""
+    labels = hard_docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    model = quality.train(quality.training_rows(hard_docs, labels, "doc_id", "text", "quality", 3000))
+    got = quality.score_quality(hard_docs.withColumns({"score": F.lit("mine"), "predicted": F.lit("x"), "held_out": F.lit(1.5)}), labels).collect()
+    assert len(got) == hard_docs.count()
+    for r in got:
+        rows = []
+        for w in quality.words_of(r["text"]):
+            t = "\x02" + w.decode() + "\x03"
+            ids, _ = quality.gram_ids([w], quality.SIZES, quality.BUCKETS, whole=True)
+            assert len(ids) == sum(max(0, len(t) - n + 1) for n in quality.SIZES) + 1
+            rows += [model.vectors[k].astype(float) for k in ids]
+        z = (np.mean(rows, axis=0) @ model.output if rows else np.zeros(2)) + model.bias
+        p = np.exp(z - z.max())
+        assert r["score"] == pytest.approx(p[1] / p.sum(), abs=1e-5)
+        assert r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (crc_mod(r["doc_id"], 3) == 1)
+
+
+def test_shared_ids_do_not_fill_the_driver(spark):
+    """A labelled id that many documents share gives one text."""
+    one = next(i for i in range(9) if crc_mod(i, 3) != 1)
+    docs = spark.range(5000).select(F.lit(one).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(one, 1)], "doc_id long, quality int")
+    assert len(quality.training_rows(docs, labels, "doc_id", "text", "quality", 3000)) == 1
+
+
+def test_language_of_documents_is_the_greatest_mean_of_marginals(spark, hard_docs):
+    """By plain recursions over each text's words under the model of the same rows; clashing columns are replaced."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train_crf(langid.training_rows(docs, "doc_id", "text", "lang", 1500))
+    some = hard_docs.where("length(text) < 2000 OR text IS NULL").unionByName(docs.where("n_chars < 1500").limit(40))
+    some = some.withColumns({"score": F.lit("mine"), "certainty": F.lit("mine"), "lang_pred": F.lit(7), "train": F.lit(1)})
+    every = docs.withColumns({"score": F.lit("mine"), "certainty": F.lit("mine"), "lang_pred": F.lit(7), "train": F.lit(0)}).unionByName(some.withColumn("lang", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10**6))
+    got = [r for r in langid.identify_languages(every).collect() if r["train"] == 1]
+    assert len(got) == some.count()
+    for r in got:
+        words = lower_words(r["text"])
+        e = model.emissions(words).astype(float) if words else np.zeros((0, len(model.labels) + 1))
+        lettered, x = e[:, -1] > 0, np.exp(e[:, :-1])
+        if not lettered.any():
+            assert (r["lang_pred"], r["score"], r["certainty"]) == ("und", 0, 0)
+            continue
+        ahead, behind = [model.first * x[0]], [np.ones(len(model.labels))]
+        for t in range(1, len(x)):
+            ahead.append(ahead[-1] / ahead[-1].sum() @ model.moves * x[t])
+            behind.append(model.moves @ (x[-t] * behind[-1] / behind[-1].sum()))
+        m = np.array(ahead) * np.array(behind[::-1])
+        m = (m / m.sum(axis=1, keepdims=True))[lettered]
+        mean = m.mean(axis=0)
+        assert mean[model.labels.index(r["lang_pred"])] == pytest.approx(mean.max(), abs=1e-4)
+        assert r["score"] == pytest.approx(mean.max(), abs=1e-3) and r["certainty"] == pytest.approx(m.max(axis=1).mean(), abs=1e-3)
