@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordIds, append_columns, lower_words, saved, ship, text_steps
+from .common import WordIds, append_columns, free_names, lower_words, saved, ship, small_batches, text_steps, tidy
 
 WORDS, HASHES, BANDS, BITS = 5, 128, 32, 4
 #: Links need 100 * intersection >= NEAR * union.
 NEAR = 75
 #: Estimates this far below are still confirmed: five standard deviations of an estimate from 128 hashes at 0.75.
 CUTOFF = 0.55
-#: Members of a group that a task compares with as many others at a time.
-BLOCK = 512
+#: Members of a group, and shingles of theirs, that a task compares with as many others at a time.
+BLOCK, BLOCK_SHINGLES = 8192, 2_000_000
+#: Rows of a join that share a key go to as many tasks as they hold this number.
+HEAVY = 2000
 #: Ids are broadcast up to this count (8 bytes each) and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
 _rng = np.random.default_rng(20_240)
@@ -69,6 +71,11 @@ class Shingler:
         return out
 
 
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """A sorted set's own 128 bits, as two signed words."""
+    return tuple(int(x) for x in np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
+
+
 def minima(s: np.ndarray) -> np.ndarray:
     """The 128 minima of a set's hashes."""
     x = (s >> np.uint64(32)).astype(np.uint32)
@@ -126,9 +133,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sets = shingler.sets(list(seen))
             m = np.stack([minima(s) for s in sets])
             bits, bands = low_bits(m).tolist(), band_keys(m).tolist()
-            keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            signed = lambda v: v - 2**64 if v >= 2**63 else v
-            rows = [(len(s), signed(k >> 64), signed(k & (2**64 - 1)), b if len(s) else None, d if len(s) else None) for s, k, b, d in zip(sets, keys, bits, bands, strict=True)]
+            rows = [(len(s), *set_key(s), b if len(s) else None, d if len(s) else None) for s, b, d in zip(sets, bits, bands, strict=True)]
             return [list(x) for x in zip(*(rows[k] for k in which), strict=True)]
 
         return on_texts
@@ -136,31 +141,57 @@ def signatures(docs: DataFrame) -> DataFrame:
     return append_columns(docs, "text", _SIGNED, make).drop("text")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A saved narrow table for a join: broadcast only while it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def with_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on a saved table of ids (column "id"), broadcast only while it is small."""
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("id"), how)
+    return df.join(_small(ids), F.col(id_col) == F.col("id"), how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key; the rows of a key with over HEAVY of them are dealt out by the
+    hash of `by`, and right's row is copied for each part. counts: (key, m) of left, or of its keys with many rows."""
+    heavy = _small(saved(counts.where(F.col("m") > HEAVY).select(key, F.ceil(F.col("m") / HEAVY).alias("parts"))))
+    many = F.coalesce("parts", F.lit(1).cast("long"))
+    one = left.join(heavy, key, "left").withColumn("part", F.pmod(F.xxhash64(by), many)).drop("parts")
+    other = right.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("parts")
+    return one.join(other, [key, "part"], how).drop("part")
+
 
+def _rows_of(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("m"))
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents of a saved table of ids."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
+
+def shingle_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set) of a saved table of nodes (column "node"): the texts of their representatives' ids are shingled
+    again, and the sets with the nodes' keys are kept, so that it doesn't matter which texts share an id."""
+    schema = T.StructType([T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches):
         shingler = Shingler()
-        for b in batches:
-            for i, j, texts in text_steps(b.column(1)):
-                sets = pa.array([x.view(np.int64) for x in shingler.sets(texts)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), sets], names=["id", "set"])
+        with tidy():
+            for b in batches:
+                for _, _, texts in text_steps(b.column(0)):
+                    sets = shingler.sets(texts)
+                    keys = [set_key(x) for x in sets]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["hi", "lo", "set"])
 
     ship(docs.sparkSession)
-    return with_ids(docs.select(F.col("id").alias("key"), "text"), "key", ids, "left_semi").dropDuplicates(["key"]).mapInArrow(run, schema)
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are near."""
-    sets = shingle_sets(docs, saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    small_batches(docs.sparkSession)
+    needed = saved(reps.select("node", "rep", "hi", "lo").join(_small(nodes), "node", "left_semi"))
+    ids = saved(needed.select(F.col("rep").alias("id")).distinct())
+    texts = with_ids(docs.select(F.col("id").alias("key"), "text"), "key", ids, "left_semi").select("text")
+    return texts.mapInArrow(run, schema).dropDuplicates(["hi", "lo"]).join(needed, ["hi", "lo"]).select("node", "set")
+
+
+def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The saved pairs (a, b) whose full shingle sets are near."""
+    sets = saved(shingle_sets(docs, reps, saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    both = spread_join(both, sets.select(F.col("node").alias("a"), F.col("set").alias("x")).join(_small(saved(pairs.select("a").distinct())), "a", "left_semi"), "a", "b", _rows_of(pairs, "a"))
     common = F.size(F.array_intersect("x", "y"))
     return saved(both.withColumn("k", common).where(100 * F.col("k") >= NEAR * (F.size("x") + F.size("y") - F.col("k"))).select("a", "b"))
 
@@ -249,17 +280,22 @@ def _links(left: dict, right: dict) -> list[tuple[int, int]]:
     return out
 
 
+def dealt_blocks(members: DataFrame, by: str) -> DataFrame:
+    """Members dealt to pairs of blocks (i, j) of their group. A group's blocks hold about BLOCK members each, or
+    BLOCK_SHINGLES if that is less, so that a group of G members makes G * (1 + G / BLOCK) rows; groups of fewer are one block."""
+    sizes = saved(members.groupBy(by).agg(F.count(F.lit(1)).alias("m"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")).where("m > 1"))
+    here = spread_join(members, sizes.select(by, "blocks"), by, "id", sizes).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    here = here.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return here.select(F.col(by).alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *[c for c in members.columns if c != by])
+
+
 def _in_blocks(members: DataFrame, by: str, compare) -> DataFrame:
-    """Pairs (a, b) that compare(left, right) finds in each pair of blocks of about BLOCK members with one value of `by`.
+    """Pairs (a, b) that compare(left, right) finds in each pair of blocks of members with one value of `by`.
 
     The rows are dealt by pair of blocks and sorted, so that a task passes through its pairs one after another; a
     task holds the members of one pair at a time, whatever the size of the group.
     """
-    sizes = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    here = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    here = here.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = here.select(F.col(by).alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *[c for c in members.columns if c != by])
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt_blocks(members, by).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     names = [c for c in dealt.columns if c not in ("key", "i", "j")]
 
     def columns(rows: pa.Table) -> dict:
@@ -317,66 +353,70 @@ def _open_buckets(named: DataFrame) -> DataFrame:
     """Members of the buckets with several components; of buckets with the same members, one."""
     word = F.xxhash64("id").cast("decimal(20,0)")
     told = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(word).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    return named.join(told.groupBy("m", "h", "x").agg(F.min("key").alias("key")).select("key"), "key")
+    told = saved(told.groupBy("m", "h", "x").agg(F.min("key").alias("key")))
+    return spread_join(named, told.select("key"), "key", "id", told)
 
 
-def rest_of_links(docs: DataFrame, sigs: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between the components of `labels` that share a bucket of `buckets` (key, id).
+def rest_of_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between the components of `labels` that share a bucket of `buckets` (key, node).
 
     Components are first brought together by estimates of pairs that share a bucket; within such a family, all pairs
     of unlike components that the estimate doesn't rule out are compared on full sets.
     """
-    names = sigs.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = saved(buckets.select("key", "id").join(names, "id"))
+    names = reps.select(F.col("node").alias("id"), "n", "sig").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = saved(buckets.select("key", F.col("node").alias("id")).join(names, "id"))
     edges = saved(_in_blocks(_open_buckets(named), "key", _candidate_edges))
     if edges.isEmpty():
         return edges
     family = components(edges).withColumnRenamed("component", "family")
     members = saved(names.join(family.withColumnRenamed("id", "component"), "component"))
-    sets = shingle_sets(docs, saved(members.select("id")))
+    sets = shingle_sets(docs, reps, saved(members.select(F.col("id").alias("node")))).withColumnRenamed("node", "id")
     return saved(_in_blocks(members.join(sets, "id"), "family", _links))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
-    Documents with equal shingle sets form a class, told by a 128-bit key. Representatives meet in the buckets of 32
-    bands of 4 minima (a pair at 0.75 meets with probability 1 - 5e-6). Every pair is first estimated from the packed
-    low bits and then confirmed on full sets. In each bucket, all members are compared with the smallest id first,
-    which joins most groups of copies at linear cost. What buckets still hold several components is compared in pairs
-    of blocks of bounded size, where only pairs that aren't connected yet are looked at; a pair of blocks returns a
-    spanning forest of its links. So no link between components is lost, no bucket is cut off, and the rows made grow
-    with the documents.
+    Documents with equal shingle sets form a class, told by a 128-bit key, which is a node of the graph. Nodes meet in
+    the buckets of 32 bands of 4 minima (a pair at 0.75 meets with probability 1 - 5e-6). Every pair is first estimated
+    from the packed low bits and then confirmed on full sets. In each bucket, all members are compared with the one of
+    the smallest number first, which joins most groups of copies at linear cost. What buckets still hold several
+    components is compared in pairs of blocks of bounded size, where only pairs that aren't connected yet are looked
+    at; a pair of blocks returns a spanning forest of its links. So no link between components is lost and no bucket
+    is cut off. Rows grow with the documents, but for groups of over BLOCK members that share a bucket and are
+    not linked with one another: of G such, G * G / BLOCK rows are dealt out, and all pairs are estimated.
 
     A null, empty or blank text has no shingles and is linked with nothing. A null id takes no part and is kept with
-    a null component. Rows that share an id are one document and are to be equal. An empty table gives no rows; other
-    columns aren't read.
+    a null component. Rows that share an id are linked by their own texts each, and repeated rows get equal results.
+    An empty table gives no rows; other columns aren't read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = saved(signatures(docs))
     worded = signed.where("n > 0 AND id IS NOT NULL")
-    classes = saved(worded.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep")))
-    reps = saved(worded.join(classes.select("hi", "lo", "n", F.col("rep").alias("id")), ["hi", "lo", "n", "id"], "left_semi").dropDuplicates(["id"]))
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    met = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1").select("key", "pivot")
-    buckets = saved(banded.join(met, "key"))
-    sigs = reps.select("id", "n", "sig")
-    stars = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-    stars = saved(stars.where(estimate(matching(F.col("x"), F.col("y"))) >= CUTOFF).select("a", "b"))
-    links = confirmed(docs, stars)
-    more = rest_of_links(docs, sigs, buckets, components(links))
-    labels = components(links.unionByName(more))
-    of_class = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "hi", "lo").join(of_class, ["hi", "lo", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
+    reps = saved(worded.withColumnRenamed("id", "rep").dropDuplicates(["hi", "lo", "n"]).withColumn("node", F.monotonically_increasing_id()))
+    banded = reps.select("node", F.explode("bands").alias("key"))
+    met = saved(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1"))
+    buckets = saved(spread_join(banded, met.select("key", "pivot"), "key", "node", met))
+    sigs = reps.select("node", "sig")
+    stars = saved(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    near = stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    near = spread_join(near, sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a", "b", _rows_of(stars, "a"))
+    near = saved(near.where(estimate(matching(F.col("x"), F.col("y"))) >= CUTOFF).select("a", "b"))
+    links = confirmed(docs, reps, near)
+    more = rest_of_links(docs, reps, buckets, components(links))
+    labels = components(links.unionByName(more)).withColumnRenamed("id", "node")
+    of_class = reps.select("node", "hi", "lo", "n").join(labels, "node", "left").select("hi", "lo", "n", F.coalesce("component", "node").alias("component"))
+    out = saved(signed.select("id", "n", "hi", "lo").join(of_class, ["hi", "lo", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))).select("id", "n", "component"))
+    # Components of one document have no row in `least`; that document is their first.
+    least = saved(out.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    out = spread_join(out, least.select("component", "first"), "component", "id", least, "left")
+    component = F.coalesce("first", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are not the first of their group."""
-    gone = saved(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).cast("long").alias("__gone")).distinct()).withColumnRenamed("__gone", "id")
-    small = gone.count() <= BROADCAST_IDS
-    key = gone.select(F.col("id").alias("__gone"))
-    return docs.join(F.broadcast(key) if small else key, F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs without the documents that are not the first of their group. Of rows that share an id, one that goes takes the others along."""
+    gone = saved(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).cast("long").alias("id")).distinct())
+    (mark,) = free_names(docs, "gone")
+    key = _small(gone.select(F.col("id").alias(mark)))
+    return docs.join(key, F.col(id_col).cast("long") == F.col(mark), "left_anti")

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import neardup
 
@@ -62,6 +63,34 @@ def test_empty_and_null_ids(spark, no_docs):
     assert got == {None: (None, True), 2: (2, True), 3: (3, True)}
 
 
+@pytest.mark.parametrize("heavy", [2000, 3])
+def test_rows_that_share_an_id(spark, monkeypatch, heavy):
+    """Texts under one id are linked by themselves, and repeated rows alike, also where the rows of a key are dealt out."""
+    monkeypatch.setattr(neardup, "HEAVY", heavy)
+    texts = [" ".join(f"{c}{k}" for k in range(100)) for c in "xyz"]
+    near = [t + " tail" for t in texts]
+    rows = [(5, texts[0]), (5, texts[1]), (6, near[0]), (7, near[1]), (8, texts[2]), *[(9, near[2])] * 20, (3, near[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 3, False), *[(9, 3, False)] * 20]
+    assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs.withColumn("gone", F.lit(1))).collect()) == [3, 5, 5]
+
+
+def test_rows_dealt_to_blocks(spark):
+    """20,000 unlike members of one family go to few blocks."""
+    members = spark.range(20_000).select("id", F.lit(1).alias("family"), F.lit(100).alias("n"), F.col("id").alias("component"))
+    assert neardup.dealt_blocks(members, "family").count() <= 3 * 20_000
+
+
+def test_blocks_of_every_size_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "HEAVY", 5)
+    texts = chain(30) + [" ".join([f"s{k}" for k in range(90)] + [f"u{i}_{k}" for k in range(35)]) for i in range(40)]
+    docs = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == brute([(k + 1, t) for k, t in enumerate(texts)])
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 800, dtype=np.uint64)
