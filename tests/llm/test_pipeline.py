@@ -16,7 +16,7 @@ def test_stages_against_plain_versions(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     want = [r.asDict() for r in docs.collect()]
-    labels = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_languages(docs).collect()}
+    labels = {r["doc_id"]: (r["lang_pred"], r["certainty"]) for r in langid.identify_languages(docs).collect()}
     want = [r for r in want if labels[r["doc_id"]][0] != "und" and labels[r["doc_id"]][1] >= 0.5]
 
     def check(k, got):
@@ -68,3 +68,29 @@ def test_run_equals_its_stages(spark):
     sf = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, sf)
     assert got.agg(F.count_distinct("doc_id")).first()[0] > 100 and set(got.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
+
+
+def test_awkward_documents_and_columns(spark, hard_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows, an empty table, and columns named like the operators' own."""
+    sf = "/root/testdata/sf0.001"
+    mine = {c: F.lit(f"my {c}") for c in ("score", "lang_pred", "certainty", "held_out", "n_words", "spans", "items", "contaminated", "__n_lines", "__n_dropped", "host", "id", "component_id", "kept")}
+    docs = hard_docs.withColumns(mine)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, no_docs.withColumns(mine), sf).count() == 0, name
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"my {c}" for r in rows for c in mine), name
+    assert corpus_pipeline.STAGES[-1][1](spark, no_docs, sf).count() == 0
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, sf).collect()}
+    assert 1 not in kept and 4 not in kept and 10 in kept  # a null and an empty text have no language
+
+
+def test_code_switched_text_is_kept(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    parts = [r["text"].split() for lang in ("de", "en", "fr") for r in docs.where((F.col("lang") == lang) & (F.col("n_chars") > 1500)).orderBy("doc_id").limit(1).collect()]
+    assert len(parts) == 3
+    mixed = " ".join(w for p in parts for w in p[:60])
+    more = docs.unionByName(spark.createDataFrame([(10**9, mixed, None, "s", len(mixed))], docs.schema))
+    assert corpus_pipeline.STAGES[0][1](spark, more, sf).where("doc_id = 1000000000").count() == 1
