@@ -622,9 +622,13 @@ def _(s):
     return mapping.unmapped_top_values(mapping.first_match_classify(s.part, RULES, "label", unmapped_only=True), ["p_type", "p_brand"], 3)
 
 
-@query("classify_dataset", TOP)
+@query("classify_dataset", f"""SELECT 'unmapped ' || "column" AS kind, value AS name, n FROM ({TOP}) AS t UNION ALL SELECT 'rule' AS kind, r.rule_id AS name, CAST((SELECT count(*) FROM {CLASSED} AS c WHERE c.rule_id IS NOT DISTINCT FROM r.rule_id) AS BIGINT) AS n FROM (VALUES ('r1'), ('r2'), ('r3'), ('r4'), ('r5'), (NULL)) AS r(rule_id)
+    UNION ALL SELECT 'label' AS kind, {LABEL} AS name, CAST(count(*) AS BIGINT) AS n FROM {CLASSED} AS d GROUP BY {LABEL}""")
 def _(s):
-    return mapping.classify_dataset(s.part, RULES, "label", "other", ["p_type", "p_brand"], 3)[2]
+    rows, stats, top = mapping.classify_dataset(s.part, RULES, "label", "other", ["p_type", "p_brand"], 3)
+    top = top.select(F.concat(F.lit("unmapped "), "column").alias("kind"), F.col("value").alias("name"), "n")
+    labels = rows.groupBy(F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("label").alias("kind"), "name", "n")
+    return top.unionByName(stats.select(F.lit("rule").alias("kind"), F.col("rule_id").alias("name"), F.col("matched").alias("n"))).unionByName(labels)
 
 
 @query("distinct_pairs", "SELECT DISTINCT period, currency FROM {base}")
@@ -820,9 +824,18 @@ def _(s):
     return ranges.promotion_rule_validation(*promo_tables(s))
 
 
-@query("normalize_promotions", f"SELECT support_rule_id, CAST(CAST(d AS DATE) AS STRING) AS day FROM (SELECT support_rule_id, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS d FROM {PROMO_RULES} AS r WHERE s <> 'x' AND promotion_id <> 'P0' AND end_date >= start_date AND amount <> '-1') AS t")
+GOOD_RULES = f"(SELECT * FROM {PROMO_RULES} AS r WHERE s <> 'x' AND promotion_id <> 'P0' AND end_date >= start_date AND amount <> '-1')"
+
+
+@query("normalize_promotions", f"""SELECT 'day' AS kind, support_rule_id AS key, CAST(CAST(d AS DATE) AS STRING) AS value FROM (SELECT support_rule_id, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS d FROM {GOOD_RULES} AS g) AS t
+    UNION ALL SELECT 'issue' AS kind, key, concat("column", ' ', message) AS value FROM ({ISSUES}) AS i UNION ALL SELECT 'days' AS kind, NULL AS key, CAST(CAST(sum(end_date - start_date + 1) AS BIGINT) AS STRING) AS value FROM {GOOD_RULES} AS h
+    UNION ALL SELECT 'pairs' AS kind, NULL AS key, CAST(CAST(count(*) AS BIGINT) AS STRING) AS value FROM {GOOD_RULES} AS a JOIN {GOOD_RULES} AS b ON a.model_code = b.model_code AND a.o_orderkey < b.o_orderkey AND a.start_date <= b.end_date AND b.start_date <= a.end_date""")
 def _(s):
-    return ranges.normalize_promotions(*promo_tables(s))[0].select("support_rule_id", F.col("applied_date").cast("string").alias("day"))
+    days, issues, counts = ranges.normalize_promotions(*promo_tables(s))
+    made = days.select(F.lit("day").alias("kind"), F.col("support_rule_id").alias("key"), F.col("applied_date").cast("string").alias("value"))
+    made = made.unionByName(issues.select(F.lit("issue").alias("kind"), "key", F.concat_ws(" ", "column", "message").alias("value")))
+    one = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.lit(None).cast("string").alias("key"), F.col(c).cast("long").cast("string").alias("value")) for c in ("days", "pairs")])).alias("r"))
+    return made.unionByName(one.select("r.*"))
 
 
 @query("wide_long_reconcile", f"SELECT CAST(sum(REV_GROSS + DED_REBATE + COGS_MAT + COST_LOG + COST_PROMO + COST_WARRANTY + COST_FIXED) AS DOUBLE) AS left_total, CAST((SELECT sum(amount) FROM {LONG} AS u) AS DOUBLE) AS right_total, true AS ok FROM {{wide}}")
@@ -854,7 +867,10 @@ def _(s):
 
 @query("unmapped_code_log", UNMAPPED)
 def _(s):
-    return reread(s, unmapped(s))
+    path, report = scratch_folder(s.spark), unmapped(s)
+    sinks.write_result_csv(report, path)  # the audit file
+    log = landing.scan_delimited_text(s.spark, path)
+    return log.select(*[F.col(c).cast(t).alias(c) for c, t in report.dtypes])
 
 
 @query("unmapped_account_guard", "SELECT 'COST_LOG' AS account_code, CAST(count(*) AS BIGINT) AS rows, CAST(sum(COST_LOG) AS DOUBLE) AS impact FROM {wide}")
