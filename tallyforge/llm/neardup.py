@@ -390,8 +390,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null component. Rows that share an id are linked by their own texts each, and repeated rows get equal results.
     An empty table gives no rows; other columns aren't read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = saved(signatures(docs))
+    out = _groups(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """(id, word, n, component_id, kept) of every row (id, text); word is a hash of the text."""
+    signed = saved(signatures(docs.withColumn("word", F.xxhash64("text"))))
     worded = signed.where("n > 0 AND id IS NOT NULL")
     reps = saved(worded.withColumnRenamed("id", "rep").dropDuplicates(["hi", "lo", "n"]).withColumn("node", F.monotonically_increasing_id()))
     banded = reps.select("node", F.explode("bands").alias("key"))
@@ -406,17 +411,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = rest_of_links(docs, reps, buckets, components(links))
     labels = components(links.unionByName(more)).withColumnRenamed("id", "node")
     of_class = reps.select("node", "hi", "lo", "n").join(labels, "node", "left").select("hi", "lo", "n", F.coalesce("component", "node").alias("component"))
-    out = saved(signed.select("id", "n", "hi", "lo").join(of_class, ["hi", "lo", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))).select("id", "n", "component"))
+    out = saved(signed.select("id", "word", "n", "hi", "lo").join(of_class, ["hi", "lo", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))).select("id", "word", "n", "component"))
     # Components of one document have no row in `least`; that document is their first.
     least = saved(out.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     out = spread_join(out, least.select("component", "first"), "component", "id", least, "left")
     component = F.coalesce("first", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "word", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are not the first of their group. Of rows that share an id, one that goes takes the others along."""
-    gone = saved(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).cast("long").alias("id")).distinct())
-    (mark,) = free_names(docs, "gone")
-    key = _small(gone.select(F.col("id").alias(mark)))
-    return docs.join(key, F.col(id_col).cast("long") == F.col(mark), "left_anti")
+    """docs without the documents that are not the first of their group; rows that share an id go by their own texts."""
+    gone = saved(_groups(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).where(~F.col("kept")).select("id", "word").distinct())
+    mark, word = free_names(docs, "gone", "word_gone")
+    key = _small(gone.select(F.col("id").alias(mark), F.col("word").alias(word)))
+    return docs.join(key, (F.col(id_col).cast("long") == F.col(mark)) & (F.xxhash64(text_col) == F.col(word)), "left_anti")

@@ -74,6 +74,9 @@ def test_rows_that_share_an_id(spark, monkeypatch, heavy):
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
     assert got == [(3, 3, True), (5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 3, False), *[(9, 3, False)] * 20]
     assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs.withColumn("gone", F.lit(1))).collect()) == [3, 5, 5]
+    other = docs.unionByName(spark.createDataFrame([(4, texts[0] + " more"), (10, texts[2])], docs.schema))
+    left = sorted((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(other).collect())
+    assert left == [(3, near[2]), (4, texts[0] + " more"), (5, texts[1])]  # of the two texts under 5, one is a copy
 
 
 def test_rows_dealt_to_blocks(spark):
