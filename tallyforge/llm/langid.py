@@ -20,7 +20,7 @@ BUCKETS = 1 << 16
 FLOOR = 50
 SIZES = (2, 3, 4)
 #: Bytes of text that are labelled at once; the recursions take a turn for each place of the longest text among them.
-STEP = 4 << 20
+STEP = 2 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
