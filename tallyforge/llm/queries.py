@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, lm, neardup, packing, quality, rules, sharding, tokenfile
+from . import audit, decontam, infill, langid, linededup, lm, neardup, packing, quality, rules, sharding, tokencount, tokenfile
 
 #: A line on more than this share of a source's documents, and on as many of them, is boilerplate, at every size. A
 #: template often serves one section of a site, so that a hundredth is enough; two pages may share a quotation, three
@@ -71,10 +71,31 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ring_sharding, op2_decontamination, op3_quality_rules, op4_language_crf, op5_quality_embeddings, op6_context_tree_scores, op7_concat_and_cut, op8_near_duplicates, op9_simple8b_files, op10_site_lines)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokencount.count_tokens(_docs(spark, sf_dir).select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(_docs(spark, sf_dir).select("doc_id", "text"))
+    sha = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ring_sharding, op2_decontamination, op3_quality_rules, op4_language_crf, op5_quality_embeddings, op6_context_tree_scores, op7_concat_and_cut, op8_near_duplicates,
+        op9_simple8b_files, op10_site_lines, op11_filter_audit, op12_token_counts, op13_fill_in_middle,
+    )
+}
 _WORDED = r"regexp_matches(x, '[^\x20\x09-\x0D]')"
 
-#: The quality rules and the site lines in SQL; the other operators are held to plain versions in the tests.
+#: The quality rules, the site lines, the filter audit and the cuts in SQL; the other operators are held to plain versions in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_WORDED}) AS lines FROM documents),
         g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w) AS p),
@@ -92,4 +113,26 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT p.source, list(line) AS often FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source WHERE n >= {SITE_PAGES} AND n > CAST({SITE_RATIO} AS DOUBLE) * total GROUP BY p.source),
         k AS (SELECT doc_id, text, ls, list_filter(ls, lambda x: NOT ({_WORDED} AND list_contains(coalesce(often, []), x))) AS kept FROM l LEFT JOIN o ON l.source IS NOT DISTINCT FROM o.source)
         SELECT doc_id, CAST(len(list_filter(ls, lambda x: {_WORDED})) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped, CASE WHEN len(ls) > len(kept) THEN array_to_string(kept, chr(10)) ELSE text END AS text FROM k""",
+    "op11_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS lo FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+            + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+            + CASE WHEN coalesce(w.doc_id > lo, false) THEN 16 ELSE 0 END AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(name, b)),
+        o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f AS a, f AS b, f AS c, f AS d, f AS e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+        s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS done FROM o CROSS JOIN range(1, 6) AS r(step)),
+        t AS (SELECT part, filter_order, step, bit, sum(CASE WHEN (mask & (bit | done)) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN (mask & bit) <> 0 AND (mask & done) = 0 THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN (mask & bit) <> 0 AND (mask & done) <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN (mask & bit) <> 0 AND (mask & done) = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN (mask & bit) <> 0 AND (mask & done) = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c CROSS JOIN s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+            CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM t""",
+    "op13_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units FROM d),
+        k AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(units[greatest(a, b) + 1:], '') AS suffix FROM k),
+        o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END AS output FROM p)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars, sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o""",
 }
