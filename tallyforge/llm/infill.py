@@ -76,14 +76,14 @@ def restore(output: Column, form: Column) -> Column:
     return F.when(form == "psm", F.concat(part[1], part[3], part[2])).when(form == "spm", F.concat(part[2], part[3], part[1])).otherwise(output)
 
 
-def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "lines", rate: int = 100, spm_rate: int = 50, seed: int = 7) -> DataFrame:
+def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "lines", rate: int = 100, spm_rate: int = 50, seed: int = 7, keep_text: bool = True) -> DataFrame:
     """df with n (units of the text), form (plain, psm or spm), prefix_chars, middle_chars and output.
 
     The first four 8-digit groups of the hex sha256 of `seed:id` are h1 to h4. The prefix ends after the smaller of
     h1 % (n + 1) and h2 % (n + 1) units, the middle after the larger; rate per cent of texts (by h3) are cut, spm_rate
     per cent of those (by h4) have the suffix first. Units are lines, sentences or words, each with what follows it up
     to the next one's start. A null or empty text and one that holds a mark are plain, with null counts; a null text's
-    output is empty. A null id counts as the empty string. Equal rows are cut alike, rows of any table by themselves;
+    output is empty. Without keep_text the text itself isn't given back. A null id counts as the empty string. Equal rows are cut alike, rows of any table by themselves;
     an empty table stays empty; columns with an output's name are replaced. No shuffle; a task holds about 1 MB of
     texts, or one longer text, at once.
     """
@@ -130,5 +130,5 @@ def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return on_batch
 
-    kept_names = kept.columns
-    return map_arrow(made, make, T.StructType([*kept.schema.fields, *_FIELDS]))
+    kept_names = [c for c in kept.columns if keep_text or c != text_col]
+    return map_arrow(made, make, T.StructType([*(f for f in kept.schema.fields if f.name in kept_names), *_FIELDS]))

@@ -81,7 +81,7 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = infill.fill_in_middle(_docs(spark, sf_dir).select("doc_id", "text"))
+    out = infill.fill_in_middle(_docs(spark, sf_dir).select("doc_id", "text"), keep_text=False)
     sha = lambda c: F.sha2(c, 256)
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
 

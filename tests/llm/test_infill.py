@@ -87,6 +87,7 @@ def test_other_columns_stay_and_clashing_ones_go(spark, no_docs):
     out = infill.fill_in_middle(docs)
     assert out.columns == ["doc_id", "text", "h1", "n", "form", "prefix_chars", "middle_chars", "output"]
     assert (out.first()["n"], out.first()["h1"]) == (2, 9)
+    assert "text" not in infill.fill_in_middle(docs, keep_text=False).columns
     with pytest.raises(ValueError, match="unit"):
         infill.fill_in_middle(docs, unit="pages")
     with pytest.raises(ValueError, match="output's name"):
