@@ -17,7 +17,7 @@ STRICT = {
 
 def trimmed(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c.cast("string"), "^[\\s\u00a0\u202f]+|[\\s\u00a0\u202f]+$", "")
+    return F.btrim(c.cast("string"), F.lit(" \t\n\x0b\f\r\u00a0\u202f"))
 
 
 def _plain_spaces(c: Column) -> Column:
@@ -107,8 +107,9 @@ def decimal_lossless(c: Column, precision: int, scale: int) -> Column:
     wide = t.try_cast("decimal(38,18)")
     exact = t.try_cast(f"decimal({precision},{scale})")
     digits = F.length(F.regexp_extract(F.regexp_replace(t, "0+$", ""), "[.]([0-9]+)$", 1))
-    plain = ~t.rlike("[eE]")
-    fits = exact.isNotNull() & wide.isNotNull() & (exact.cast("decimal(38,18)") == wide) & (~plain | (digits <= scale))
+    # Only text of over 19 characters can have more digits after its point than `wide` holds.
+    short = F.length(t) <= 19
+    fits = exact.isNotNull() & wide.isNotNull() & (exact.cast("decimal(38,18)") == wide) & (short | t.rlike("[eE]") | (digits <= scale))
     return c.isNull() | (t == "") | F.coalesce(fits, F.lit(False))
 
 

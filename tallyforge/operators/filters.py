@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -55,7 +55,11 @@ def filter_spec(df: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, parts)) if parts else df
 
 
-def condition_column(cond: Condition) -> Column:
+#: Types that are compared with numbers as they are; others as text that may be a number.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def condition_column(cond: Condition, type_: str = "string") -> Column:
     """One of the 15 rule operators; never null. A missing value matches only is_null, != , not_contains and not_in."""
     raw = F.col(cond.column).cast("string")
     op, value = cond.operator, cond.value
@@ -85,20 +89,21 @@ def condition_column(cond: Condition) -> Column:
             limit = F.lit(float(value))
         except (TypeError, ValueError):
             raise ValueError(f"not a number to compare with: {value!r}") from None
-        num = trimmed(raw).try_cast("double")
+        num = F.col(cond.column).cast("double") if type_.startswith(_NUMBERS) else trimmed(raw).try_cast("double")
         return no({">": num > limit, ">=": num >= limit, "<": num < limit, "<=": num <= limit}[op])
     if op == "regex":
         return no(raw.rlike(str(value) if cond.case_sensitive else f"(?i){value}"))
     raise ValueError(f"unknown rule operator: {op!r}")
 
 
-def rule_column(rule: Rule, columns: Sequence[str]) -> Column:
-    """AND or OR of the conditions; a disabled or empty rule never matches."""
+def rule_column(rule: Rule, columns: Sequence[str] | Mapping[str, str]) -> Column:
+    """AND or OR of the conditions over a table's columns, or its columns and their types; a disabled or empty rule never matches."""
     if not rule.enabled or not rule.conditions:
         return F.lit(False)
     if lost := [c.column for c in rule.conditions if c.column not in columns]:
         raise MissingColumnError(f"missing columns: {lost}")
-    parts = [condition_column(c) for c in rule.conditions]
+    types = columns if isinstance(columns, Mapping) else {}
+    parts = [condition_column(c, types.get(c.column, "string")) for c in rule.conditions]
     return reduce((lambda a, b: a & b) if rule.combine == "AND" else (lambda a, b: a | b), parts)
 
 

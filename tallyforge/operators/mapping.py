@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .filters import Rule, rule_column
 
 
-def _first(rules: Sequence[Rule], columns: Sequence[str]) -> Column:
+def _first(rules: Sequence[Rule], columns: Mapping[str, str]) -> Column:
     """Place of the first rule that matches, null if none does."""
     places = reversed(list(enumerate(rules)))
     return reduce(lambda rest, r: F.when(rule_column(r[1], columns), F.lit(r[0])).otherwise(rest), places, F.lit(None).cast("int"))
@@ -25,7 +25,7 @@ def first_match_classify(df: DataFrame, rules: Sequence[Rule], target: str, defa
     (place,) = [n for n in ("__place", "___place") if n not in df.columns][:1]
     # The conditions are evaluated once, to a place in the list of rules; ids and values are looked up by it.
     text = lambda x: F.array(*[F.lit(v) for v in x]) if live else F.lit(None).cast("array<string>")
-    found = df.withColumn(place, _first(live, df.columns))
+    found = df.withColumn(place, _first(live, dict(df.dtypes)))
     value = F.coalesce(F.get(text([r.target for r in live]), F.col(place)), F.lit(default))
     out = found.withColumn("rule_id", F.get(text([r.rule_id for r in live]), F.col(place))).withColumn(target, value).drop(place)
     return out.where(F.col("rule_id").isNull()) if unmapped_only else out

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,20 +64,45 @@ class MartModel:
         return [self.period, *self.partitions]
 
 
+def _forms_differ(column: str) -> Column:
+    n = F.length(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return F.when(F.min(n) < F.max(n), 1).otherwise(0)
+
+
 def scope_row_validation(df: DataFrame, model: MartModel, scopes: DataFrame | None = None) -> DataFrame:
-    """One row of fault counts: blank scope and row keys, inexact measures, repeated row keys, rows outside the scopes."""
+    """One row of fault counts: blank scope and row keys, inexact measures, odd periods, dimensions with authorities of
+    unlike lengths, repeated row keys, rows outside the scopes."""
     blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
     any_ = lambda parts: reduce(lambda a, b: a | b, parts, F.lit(False))
-    counts = df.agg(F.count_if(any_([blank(c) for c in model.scope])).alias("blank_scope"), F.count_if(any_([blank(c) for c in model.row_key])).alias("blank_key"), F.count_if(any_([~decimal_lossless(F.col(m.column), m.precision, m.scale) for m in model.measures])).alias("inexact"))
+    counts = df.agg(F.count_if(any_([blank(c) for c in model.scope])).alias("blank_scope"), F.count_if(any_([blank(c) for c in model.row_key])).alias("blank_key"), F.count_if(any_([~decimal_lossless(F.col(m.column), m.precision, m.scale) for m in model.measures])).alias("inexact"),
+        F.count_if(~blank(model.period) & period_form(F.col(model.period)).isNull()).alias("odd_periods"), sum((_forms_differ(d.authority) for d in model.dimensions if d.authority), F.lit(0)).cast("long").alias("mixed_authorities"))
     repeats = df.groupBy(*model.scope, *model.row_key).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_keys"))
     outside = df.join(scopes, model.scope, "left_anti").agg(F.count(F.lit(1)).alias("outside")) if scopes is not None else df.sparkSession.range(1).select(F.lit(0).cast("long").alias("outside"))
     return counts.crossJoin(repeats).crossJoin(outside)
 
 
+def model_text(model: MartModel) -> str:
+    """The model as text, to compare it with the one a mart was made for."""
+    return json.dumps(asdict(model), sort_keys=True, ensure_ascii=False)
+
+
+def period_form(c: Column) -> Column:
+    """Length of a valid period: 6 (YYYYMM), 7 (YYYY-MM) or 10 (a date); null for any other text."""
+    t = c.cast("string")
+    day = F.when(t.rlike("^[0-9]{6}$"), F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2), F.lit("-01"))).when(t.rlike("^[0-9]{4}-[0-9]{2}$"), F.concat(t, F.lit("-01"))).when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), t)
+    return F.when(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).isNotNull(), F.length(t))
+
+
+def exact_measure(m: Measure) -> Column:
+    """A measure's text as its declared decimal; null where it is blank or inexact."""
+    value = F.nullif(trimmed(F.col(m.column)), F.lit("")).try_cast("decimal(38,18)" if m.scale <= 18 else m.type)
+    return value.try_cast(m.type)
+
+
 def typed_stage(df: DataFrame, model: MartModel) -> DataFrame:
     """Measures as their declared decimals; an inexact one raises when it is read."""
     bad = lambda m: F.raise_error(F.lit(f"{m.column} isn't exact as {m.type}")).cast(m.type)
-    return df.withColumns({m.column: F.when(decimal_lossless(F.col(m.column), m.precision, m.scale), F.nullif(trimmed(F.col(m.column)), F.lit("")).try_cast("decimal(38,18)" if m.scale <= 18 else m.type).cast(m.type)).otherwise(bad(m)) for m in model.measures})
+    return df.withColumns({m.column: F.when(decimal_lossless(F.col(m.column), m.precision, m.scale), exact_measure(m)).otherwise(bad(m)) for m in model.measures})
 
 
 def collapse_duplicate_grain(df: DataFrame, keys: Sequence[str], measures: Sequence[str], seq: str) -> DataFrame:
@@ -144,6 +170,13 @@ def star_rejoin(fact: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda f, d: f.join(d[1], d[0], "inner"), dims.items(), fact)
 
 
+def member_keys(stage: DataFrame, dim: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """stage with each row's member number from a dimension (sk, keys...); null key parts match null ones."""
+    d = dim.select(F.col("sk").alias(out), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return stage.join(d, on).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def natural_key_join(stage: DataFrame, registry: DataFrame, dimension: str, keys: Sequence[str], out: str) -> DataFrame:
     """stage with the surrogate key of (dimension, natural key); the key's parts stay real columns of the registry."""
     reg = registry.where(F.col("dimension") == dimension).select(*[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))], F.col("sk").alias(out))

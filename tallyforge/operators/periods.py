@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import normalize_period
 from tallyforge.functions.numbers import parse_number_auto
+from tallyforge.session import written
+from tallyforge.sources.revisions import Revision, Revisions, replaced
 
 
 def union_files_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -29,8 +31,7 @@ def target_period_closure(now: DataFrame, history: DataFrame, changed: DataFrame
     now and history are (file, period), changed (file). Each turn adds the periods of the files of the periods so
     far; the set only grows, so it ends. The set is small against the data and is cut off from its lineage each turn.
     """
-    pairs = now.unionByName(history).distinct()
-    pairs = pairs.cache()
+    pairs = written(now.unionByName(history).distinct())
     periods = pairs.join(changed, "file", "left_semi").select("period").distinct()
     n = periods.count()
     while True:
@@ -54,15 +55,24 @@ def half_period_guard(now: DataFrame, history: DataFrame, targets: DataFrame) ->
     return gone.groupBy("period").agg(F.count(F.lit(1)).alias("missing"))
 
 
-def replace_rows(current: DataFrame, incoming: DataFrame, period: str = "period") -> DataFrame:
-    """The dataset after a load: rows of the incoming periods are the incoming ones, other periods are untouched."""
-    targets = incoming.select(period).distinct()
-    return current.join(targets, period, "left_anti").unionByName(incoming, allowMissingColumns=True)
+def replace_rows(current: DataFrame, incoming: DataFrame, period: str = "period", targets: DataFrame | None = None) -> DataFrame:
+    """The dataset after a load: rows of the target periods and of the incoming ones are the incoming rows, which may be
+    none; other periods are untouched."""
+    gone = incoming.select(period)
+    if targets is not None:
+        gone = gone.unionByName(targets.select(period))
+    return current.join(gone.distinct(), period, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
-def replace_periods(incoming: DataFrame, path: str, period: str = "period") -> None:
-    """Overwrite the incoming rows' period partitions of a Parquet table and no other; incoming isn't to read from the table."""
-    incoming.hint("rebalance", F.col(period)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
+def replace_periods(store: Revisions, incoming: DataFrame, targets: Sequence[str] = (), period: str = "period", details: Mapping[str, object] | None = None) -> Revision:
+    """A revision of the store's rows in which the target periods and the incoming ones hold the incoming rows and no others.
+
+    A target period without incoming rows is gone afterwards. Rows without a period keep a partition of their own.
+    incoming may read from the store. Fails if the store changes meanwhile.
+    """
+    base = store.current()
+    part = replaced(base.parts.get("rows"), store.write("rows", incoming, [period]), [f"{period}={t}" for t in targets])
+    return store.commit(base, {"rows": part}, details)
 
 
 def new_files(files: DataFrame, history: DataFrame) -> DataFrame:
@@ -134,11 +144,26 @@ def approval_gate(current: DataFrame, snapshot: DataFrame, columns: Sequence[str
     return both.select(F.coalesce(ok, F.lit(False)).alias("approved"))
 
 
-def content_fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., rows, h1, h2): a hash of the rows as a multiset, whatever their order and partitions.
+def load_metrics(df: DataFrame, period: str, columns: Sequence[str], fmt: str = "auto") -> DataFrame:
+    """(period, rows, total_<column>..., h1, h2) of each period, from one scan; such rows of unlike periods add up."""
+    totals = [F.coalesce(F.sum(numeric(c, fmt)), F.lit(0)).cast("decimal(38,6)").alias(f"total_{c}") for c in columns]
+    return df.groupBy(F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("rows"), *totals, *fingerprint_sums([c for c in df.columns if c != period]))
 
-    Two 64-bit sums of independent row hashes: equal rows add up, which an exclusive or would cancel.
-    """
-    cols = sorted(c for c in df.columns if c not in by)
-    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols]).cast("decimal(38,0)")).alias(f"h{seed}")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), part(1), part(2))
+
+def snapshot_of_metrics(metrics: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row of a dataset's controls: rows, periods, totals, and a fingerprint of which rows are in which period."""
+    one = lambda seed: F.sum(F.xxhash64(F.lit(seed), "period", "rows", "h1", "h2").cast("decimal(38,0)"))
+    totals = [F.coalesce(F.sum(f"total_{c}"), F.lit(0)).alias(f"total_{c}") for c in columns]
+    both = F.coalesce(F.concat_ws("/", one(1), one(2)), F.lit(""))
+    return metrics.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count(F.lit(1)).alias("periods"), *totals, both.alias("fingerprint"))
+
+
+def fingerprint_sums(columns: Sequence[str]) -> list[Column]:
+    """h1 and h2: two 64-bit sums of independent row hashes: equal rows add up, which an exclusive or would cancel."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(columns)]
+    return [F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+
+
+def content_fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., rows, h1, h2): a hash of the rows as a multiset, whatever their order and partitions."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *fingerprint_sums([c for c in df.columns if c not in by]))

@@ -124,16 +124,17 @@ def conflicting_attributes(df: DataFrame, key: str, authority: str, attributes:
 
 
 def merge_dimension_type1(dim: DataFrame, stage: DataFrame, key: str, attributes: Sequence[str], authority: str, sk: str = "sk") -> tuple[DataFrame, DataFrame]:
-    """(dimension, audit): new attributes where the staged authority is as high as the old one; keys are exact
-    and keep their number.
+    """(dimension, audit): new attributes where the staged authority is strictly higher than the old one; keys are exact
+    and keep their number. Of several staged rows of one authority the one with the greatest attributes counts.
 
     The audit has the old version of each changed member.
     """
-    latest = latest_authority_row(stage.select(key, authority, *attributes), key, authority)
+    rank = F.struct(F.col(authority), F.to_json(F.struct(*attributes)))
+    latest = stage.groupBy(key).agg(F.max_by(F.struct(authority, *attributes), rank).alias("__r")).select(key, "__r.*")
     numbers = assign_surrogate_keys(dim.select(F.col(sk), F.col(key).alias("nk")), latest.select(F.col(key).alias("nk")), sk=sk, exact=True).withColumnRenamed("nk", key)
     o, n = dim.alias("o"), latest.alias("n")
     both = numbers.join(o.drop(sk), key, "left").alias("o").join(n, key, "left")
-    newer = F.col(f"n.{authority}").isNotNull() & (F.col(f"o.{authority}").isNull() | (F.col(f"n.{authority}") >= F.col(f"o.{authority}")))
+    newer = F.col(f"n.{authority}").isNotNull() & (F.col(f"o.{authority}").isNull() | (F.col(f"n.{authority}") > F.col(f"o.{authority}")))
     out = both.select(F.col(sk), F.col(key), *[F.when(newer, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in (authority, *attributes)])
     changed = newer & F.col(f"o.{authority}").isNotNull() & (F.to_json(F.struct(*[F.col(f"n.{a}") for a in attributes])) != F.to_json(F.struct(*[F.col(f"o.{a}") for a in attributes])))
     audit = both.where(changed).select(F.col(sk), F.col(key), *[F.col(f"o.{c}").alias(c) for c in (authority, *attributes)])

@@ -17,6 +17,7 @@ from tallyforge.operators.filters import Condition as C
 from tallyforge.operators.filters import Rule
 from tallyforge.session import scratch_folder
 from tallyforge.sources import landing, sinks
+from tallyforge.sources.revisions import Revisions, StaleRevision
 
 from .inputs import Source, oracle
 
@@ -87,14 +88,21 @@ def _(s):
     return landing.reject_overwide_records(landing.indexed_records(s.spark, path, ","), 2).select(F.get("cells", F.lit(0)).alias("c_custkey"))
 
 
-@query("scan_incoming_folder", """SELECT f.file, f.period, CASE WHEN f.period < '1996-01' THEN 'conflict' WHEN f.period IN (SELECT period FROM {files} WHERE o_orderkey % 5 = 0) THEN 'modified_period' ELSE 'new_period' END AS status
-    FROM (SELECT DISTINCT file, period FROM {files} WHERE period < '1996-01' OR file = 'sales_1-URGENT.csv') AS f""")
+#: A file for each period, and one for each priority in June and December. Those of 1995 are known; for 1994 others were.
+INBOX = "(SELECT DISTINCT CASE WHEN CAST(substring(period, 6, 2) AS INTEGER) % 6 = 0 THEN concat(period, '_', file) ELSE concat('sales_', period, '.csv') END AS file, period FROM {files})"
+
+
+@query("scan_incoming_folder", f"""SELECT f.file, f.period, CASE WHEN substring(f.period, 6, 2) = '11' THEN 'missing_columns' WHEN substring(f.period, 6, 2) = '10' THEN 'order_mismatch' ELSE 'ok' END AS header_state,
+    CASE WHEN substring(f.period, 1, 4) = '1995' THEN 'unchanged' WHEN n > 1 THEN 'conflict' WHEN substring(f.period, 1, 4) = '1994' THEN 'modified_period' ELSE 'new_period' END AS status
+    FROM {INBOX} AS f JOIN (SELECT period, count(*) AS n FROM {INBOX} AS g GROUP BY period) AS h ON f.period = h.period""")
 def _(s):
-    one = s.files.where("period < '1996-01' OR file = 'sales_1-URGENT.csv'").groupBy("file", "period").agg(F.max("o_orderkey").cast("string").alias("hash"))
-    incoming = one.withColumn("header", F.array(F.lit("a")))
-    history = s.files.where("o_orderkey % 5 = 0").select("file", F.lit("old").alias("hash"), "period").distinct()
-    out = landing.scan_incoming_folder(incoming, history)
-    return out.select("file", "period", "status")
+    once = s.files.select(F.when(F.substring("period", 6, 2).cast("int") % 6 == 0, F.concat("period", F.lit("_"), "file")).otherwise(F.concat(F.lit("sales_"), "period", F.lit(".csv"))).alias("file"), "period").distinct()
+    month = F.substring("period", 6, 2)
+    header = F.when(month == "11", F.array(F.lit("period"))).when(month == "10", F.array(F.lit("amount"), F.lit("period"))).otherwise(F.array(F.lit("period"), F.lit("amount")))
+    incoming = once.withColumns({"hash": F.sha2("file", 256), "header": header})
+    year = F.substring("period", 1, 4)
+    history = incoming.where(year == "1995").select("file", "hash", "period").unionByName(incoming.where(year == "1994").select("file", F.lit("old").alias("hash"), "period"))
+    return landing.scan_incoming_folder(incoming, history, baseline=["period", "amount"]).select("file", "period", "header_state", "status")
 
 
 @query("distinct_periods_per_file", "SELECT DISTINCT file, period FROM {files}")
@@ -142,7 +150,12 @@ def _(s):
 @query("publish_versioned_snapshot", "SELECT period, o_orderkey FROM {files} WHERE o_orderkey % 2 = 1")
 def _(s):
     target = scratch_folder(s.spark)
-    sinks.publish_versioned_snapshot(s.files.select("period", "o_orderkey"), target, "period", True)
+    sinks.publish_versioned_snapshot(s.files.select("period", "o_orderkey"), target, "period", True, seen=0)
+    try:
+        sinks.publish_versioned_snapshot(s.files.select("period", "o_orderkey"), target, "period", True, seen=0)
+        raise AssertionError("a publisher that had seen no version wasn't refused")
+    except StaleRevision:
+        pass
     now = sinks.publish_versioned_snapshot(s.files.where("o_orderkey % 2 = 1").select("period", "o_orderkey"), target, "period", True)
     return s.spark.read.parquet(now["path"])
 
@@ -150,7 +163,7 @@ def _(s):
 @query("export_bundle", "SELECT 'nation' AS name, CAST(count(*) AS BIGINT) AS n FROM {nation} UNION ALL SELECT 'region' AS name, CAST(count(*) AS BIGINT) AS n FROM {region}")
 def _(s):
     now = sinks.export_bundle({"nation": s.nation, "region": s.region}, scratch_folder(s.spark))
-    read = lambda n: s.spark.read.parquet(f"{now['path']}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n")
+    read = lambda n: s.spark.read.parquet(now["paths"][n]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n")
     return read("nation").unionByName(read("region"))
 
 
@@ -267,14 +280,13 @@ def _(s):
 AUTO = """CASE WHEN regexp_matches(trim(t), '^[+-]?[0-9]{1,3}([ .][0-9]{3})+(,[0-9]+)$') OR regexp_matches(trim(t), '^[+-]?[0-9]+,([0-9]{1,2}|[0-9]{4,})$') THEN replace(replace(replace(trim(t), '.', ''), ' ', ''), ',', '.') ELSE replace(trim(t), ',', '') END"""
 
 
-@query("parse_number_auto", f"SELECT l_orderkey, l_linenumber, CAST(TRY_CAST({AUTO} AS DECIMAL(38,6)) AS DOUBLE) AS v FROM {{numtext}} WHERE t NOT LIKE '%e%'")
-def _(s):
-    return s.numtext.where("t NOT LIKE '%e%'").select("l_orderkey", "l_linenumber", numbers.parse_number_auto(F.col("t")).cast("double").alias("v"))
+AUTO_VALUES = f"SELECT l_orderkey, l_linenumber, CASE WHEN t LIKE '%e%' THEN CAST(t AS DOUBLE) ELSE CAST(TRY_CAST({AUTO} AS DECIMAL(38,6)) AS DOUBLE) END AS v FROM {{numtext}}"
 
 
-@query("parse_number_auto_all_forms")
+@query("parse_number_auto_all_forms", AUTO_VALUES)
+@query("parse_number_auto", AUTO_VALUES)
 def _(s):
-    """The whole table, exponents and missing cells too; its plain version is in the tests."""
+    """The whole table, exponents and missing cells too."""
     return s.numtext.select("l_orderkey", "l_linenumber", numbers.parse_number_auto(F.col("t")).cast("double").alias("v"))
 
 
@@ -295,14 +307,14 @@ def _(s):
     return s.datetext.select("o_orderkey", dates.parse_date_unambiguous(F.col("t")).cast("string").alias("v"))
 
 
-@query("normalize_period", """SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (4, 5, 6, 7) THEN concat(CAST(y AS STRING), '-', lpad(CAST(m AS STRING), 2, '0')) END AS period FROM {datetext} WHERE o_orderkey % 10 BETWEEN 4 AND 8""")
-def _(s):
-    return s.datetext.where("o_orderkey % 10 BETWEEN 4 AND 8").select("o_orderkey", dates.normalize_period(F.col("t")).alias("period"))
+#: A day and a month with a point or slash between them read as a year of two digits and a month.
+PERIODS = """SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (4, 5, 6, 7, 9) THEN concat(CAST(y AS STRING), '-', lpad(CAST(m AS STRING), 2, '0')) WHEN o_orderkey % 10 IN (1, 2) AND d >= 10 THEN concat('20', CAST(d AS STRING), '-', lpad(CAST(m AS STRING), 2, '0')) END AS period FROM {datetext}"""
 
 
-@query("normalize_period_all_forms")
+@query("normalize_period_all_forms", PERIODS)
+@query("normalize_period", PERIODS)
 def _(s):
-    """The whole table, full dates too; its plain version is in the tests."""
+    """The whole table, full dates too."""
     return s.datetext.select("o_orderkey", dates.normalize_period(F.col("t")).alias("period"))
 
 
@@ -647,6 +659,21 @@ def _(s):
     return landing.repair_statistics(s.numtext, ["t"], "Polish")
 
 
+@query("clean_table_statistics", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(2 * count(*) AS BIGINT) AS numbers, CAST(count(*) AS BIGINT) AS dates, CAST(0 AS BIGINT) AS flattened, CAST(0 AS BIGINT) AS large_numbers, CAST(sum(CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS repaired, CAST(8 AS BIGINT) AS skipped FROM {customer}")
+def _(s):
+    """The counters of a cleaned table's one pass, over four files with split records."""
+    path = scratch_folder(s.spark)
+    k = F.col("c_custkey")
+    name = F.when(k % 7 == 0, F.concat("c_name", F.lit("\nmore"))).otherwise(F.col("c_name"))
+    value = F.concat_ws(";", k.cast("string"), name, F.translate(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), ".", ","), F.lit("2024-05-31"))
+    junk = s.spark.createDataFrame([("report", -3), ("", -2), ("id;name;balance;day", -1)], "value string, i long")
+    body = s.customer.select(value.alias("value"), k.alias("i"), (k % 4).alias("file"))
+    every = body.unionByName(junk.withColumn("file", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))))
+    every.repartition(4, "file").sortWithinPartitions("file", "i").select("value", "file").write.partitionBy("file").text(f"{path}/files")
+    done = landing.write_clean_table(s.spark, f"{path}/files/*/*", f"{path}/clean", ";")
+    return s.spark.createDataFrame([done], ", ".join(f"{n} long" for n in done))
+
+
 # --- ordered analytics, sorting, samples
 
 @query("latest_authority_row", "SELECT customer, arg_max(entity, seq) AS entity, max(seq) AS seq FROM {mart} GROUP BY customer")
@@ -929,11 +956,13 @@ def _(s):
     return periods.approval_gate(a, a, ["amount"]).withColumn("same", F.lit(True)).unionByName(periods.approval_gate(a, changed, ["amount"]).withColumn("same", F.lit(False)))
 
 
-@query("scope_row_validation", "SELECT CAST(0 AS BIGINT) AS blank_scope, CAST(0 AS BIGINT) AS blank_key, CAST((SELECT count(*) FROM {mart} WHERE amount <> round(amount, 1)) AS BIGINT) AS inexact, CAST((SELECT count(*) FROM (SELECT 1 AS one FROM {mart} GROUP BY period, entity, customer HAVING count(*) > 1) AS g) AS BIGINT) AS repeated_keys, CAST((SELECT count(*) FROM {mart} WHERE period < '1997-01') AS BIGINT) AS outside")
+@query("scope_row_validation", "SELECT CAST(0 AS BIGINT) AS blank_scope, CAST(0 AS BIGINT) AS blank_key, CAST((SELECT count(*) FROM {mart} WHERE amount <> round(amount, 1)) AS BIGINT) AS inexact, CAST((SELECT count(*) FROM {mart} WHERE period = '1995-07') AS BIGINT) AS odd_periods, CAST((SELECT CASE WHEN min(length(customer)) < max(length(customer)) THEN 1 ELSE 0 END FROM {mart}) AS BIGINT) AS mixed_authorities, CAST((SELECT count(*) FROM (SELECT 1 AS one FROM {mart} GROUP BY period, entity, customer HAVING count(*) > 1) AS g) AS BIGINT) AS repeated_keys, CAST((SELECT count(*) FROM {mart} WHERE period < '1997-01') AS BIGINT) AS outside")
 def _(s):
-    model = mt.MartModel("period", ["customer"], [mt.Measure("amount", 18, 1)], partitions=["entity"])
+    dims = [mt.Dimension("a", ["labor"], ["quantity"], "customer"), mt.Dimension("b", ["labor"], ["quantity"], "period")]
+    model = mt.MartModel("period", ["customer"], [mt.Measure("amount", 18, 1)], dims, ["entity"])
     scopes = s.mart.where("period >= '1997-01'").select("period", "entity").distinct()
-    return mt.scope_row_validation(s.mart.withColumn("amount", F.col("amount").cast("string")), model, scopes)
+    odd = s.mart.withColumn("period", F.when(F.col("period") == "1995-07", "1995-17").otherwise(F.col("period")))
+    return mt.scope_row_validation(odd.withColumn("amount", F.col("amount").cast("string")), model, scopes)
 
 
 @query("unmapped_measures", "SELECT source_column FROM {accounts} WHERE source_column LIKE '% misc %' OR source_column LIKE '% admin %'")
@@ -948,12 +977,13 @@ def _(s):
 REPLACED = "SELECT period, o_orderkey FROM {files} WHERE o_orderkey % 2 = 0 AND period NOT IN (SELECT period FROM {files} WHERE o_orderkey % 2 = 1 AND period >= '1998-01') UNION ALL SELECT period, o_orderkey FROM {files} WHERE o_orderkey % 2 = 1 AND period >= '1998-01'"
 
 
-@query("replace_periods", REPLACED)
+@query("replace_periods", f"SELECT * FROM ({REPLACED}) AS r WHERE period NOT BETWEEN '1996-05' AND '1996-08'")
 def _(s):
-    path = scratch_folder(s.spark)
-    periods.replace_periods(s.files.where("o_orderkey % 2 = 0").select("period", "o_orderkey"), path)
-    periods.replace_periods(s.files.where("o_orderkey % 2 = 1 AND period >= '1998-01'").select("period", "o_orderkey"), path)
-    return s.spark.read.schema("o_orderkey long, period string").parquet(path).select("period", "o_orderkey")
+    """New rows for the periods from 1998 on, and none for four target periods of 1996, which are gone then."""
+    store = Revisions(s.spark, scratch_folder(s.spark))
+    periods.replace_periods(store, s.files.where("o_orderkey % 2 = 0").select("period", "o_orderkey"))
+    now = periods.replace_periods(store, s.files.where("o_orderkey % 2 = 1 AND period >= '1998-01'").select("period", "o_orderkey"), [f"1996-0{k}" for k in range(5, 9)])
+    return store.read("rows", now).select("period", "o_orderkey")
 
 
 @query("target_period_closure", "SELECT DISTINCT period FROM {files} WHERE substring(period, 1, 4) = '1997'")
@@ -1017,15 +1047,26 @@ def _(s):
     return periods.new_files(f, f.where("file = 'sales_5-LOW.csv'")).select("file", "period")
 
 
-@query("accumulate_inspect_publish", REPLACED)
+@query("accumulate_inspect_publish", """SELECT period, o_orderkey FROM {files} WHERE (o_orderkey % 2 = 0 AND substring(period, 1, 4) <> '1997') OR (o_orderkey % 2 = 1 AND period BETWEEN '1997-01' AND '1997-06')""")
 def _(s):
-    landed_rows = s.files.select(F.concat(F.lit("sales_"), F.substring("period", 1, 4), F.lit(".csv")).alias("file"), "period", "o_orderkey", "o_custkey", "amount")
-    current = landed_rows.where("o_orderkey % 2 = 0")
-    history = current.select("file", F.lit("old").alias("hash"), "period").distinct()
-    incoming = landed_rows.where("o_orderkey % 2 = 1 AND period >= '1998-01'").withColumn("hash", F.lit("new"))
-    load = flows.inspect_load(incoming, current.drop("file"), history, ["o_orderkey"], ["amount"], ["period", "o_orderkey", "o_custkey", "amount"])
-    done = flows.publish_load(load, load.snapshot, scratch_folder(s.spark), ["amount"])
-    return s.spark.read.parquet(done["path"]).select("period", "o_orderkey")
+    """Files of a year each, with periods in three forms. That of 1997 comes again with other rows, of six months only; two new files of one period are refused."""
+    landed_rows = s.files.select(F.concat(F.lit("sales_"), F.substring("period", 1, 4), F.lit(".csv")).alias("file"), F.col("period_raw").alias("period"), "o_orderkey", "o_custkey", "amount", F.col("period").alias("month"))
+    store, wanted = Revisions(s.spark, scratch_folder(s.spark)), ["period", "o_orderkey", "amount"]
+    headers = landed_rows.select("file", F.array(*[F.lit(c) for c in wanted]).alias("header")).distinct()
+
+    def load(rows, hash_):
+        made = flows.inspect_load(rows.drop("month").withColumn("hash", F.lit(hash_)), store, ["o_orderkey"], ["amount"], headers.join(rows.select("file").distinct(), "file", "left_semi"), wanted)
+        return flows.publish_load(made, made.snapshot)
+
+    load(landed_rows.where("o_orderkey % 2 = 0"), "first")
+    now = load(landed_rows.where("o_orderkey % 2 = 1 AND month BETWEEN '1997-01' AND '1997-06'"), "second")
+    twice = landed_rows.where("month = '1996-01'").withColumn("file", F.when(F.col("o_orderkey") % 3 == 0, "a.csv").otherwise("b.csv")).withColumn("month", F.lit(None))
+    try:
+        flows.inspect_load(twice.drop("month").withColumn("hash", F.col("file")), store, ["o_orderkey"], ["amount"])
+        raise AssertionError("two new files of one period weren't refused")
+    except ValueError:
+        pass
+    return store.read("rows", now).select("period", "o_orderkey")
 
 
 # --- pipelines of the stars and the mart
@@ -1068,7 +1109,11 @@ def _(s):
     wrong = rows.withColumn("amount", F.when(F.col("period") == "1997-01", F.lit("0.00")).otherwise(F.col("amount")))
     flows.load_mart(wrong, MART_MODEL, target, "seq")
     load = flows.load_mart(rows, MART_MODEL, target, "seq")  # corrects the scopes of one period; the others are as they were
-    fact = s.spark.read.parquet(sinks.export_candidate(load.fact, f"{target}/candidates", "all", {"revision": load.revision})["path"])
+    out = scratch_folder(s.spark)
+    flows.export_mart(load, out, "all")
+    flows.approve_export(load, out, "all", "a reviewer")
+    done = flows.publish_export(load, out, "all", f"{out}/published")
+    fact = Revisions(s.spark, f"{out}/published").read("data", done)
     if not mt.recipe_reconcile(fact, MEASURES, s.mapping, RECIPE).where("NOT matches").isEmpty():
         raise ValueError("the export differs from the mart")
     return dbl(mt.run_recipe(fact, MEASURES, s.mapping, RECIPE).select("period", "entity", "account_code", "amount"), "amount").withColumn("revision", F.lit(load.revision).cast("long"))

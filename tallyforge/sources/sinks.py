@@ -1,16 +1,17 @@
-"""Results to CSV and Parquet; versioned snapshots, bundles and candidates with a pointer that is set last."""
+"""Results to CSV and Parquet; versioned snapshots, bundles and candidates, each there only once it is whole."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.periods import content_fingerprint
 
-_POINTER = "kind string, version long, run string, rows long, details string"
+from .revisions import Part, Revision, Revisions, StaleRevision
 
 
 def write_result_csv(df: DataFrame, path: str, polish: bool = False) -> None:
@@ -26,64 +27,59 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = (), mode: str =
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def _exists_path(spark: SparkSession, path: str) -> bool:
-    """Whether there are files of text under a path."""
-    try:
-        return not spark.read.text(path).isEmpty()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+def publish_versioned_snapshot(df: DataFrame, target: str, period: str, approved: bool, seen: int | None = None) -> dict:
+    """Publish the approved rows as the next immutable version, sorted by period. A failure leaves the last version current.
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return not spark.read.schema(_POINTER).json(path).isEmpty()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
-
-
-def _point(spark: SparkSession, target: str, version: int, rows: int, details: dict) -> None:
-    """Append to the publish log; the entry with the highest version is the current one, so nothing is overwritten."""
-    spark.createDataFrame([("published", version, f"v{version:03d}", rows, json.dumps(details, ensure_ascii=False, sort_keys=True))], _POINTER).coalesce(1).write.mode("append").json(f"{target}/log")
-
-
-def current_version(spark: SparkSession, target: str) -> dict | None:
-    if not _exists(spark, f"{target}/log"):
-        return None
-    row = spark.read.schema(_POINTER).json(f"{target}/log").orderBy(F.desc("version")).first()
-    return row.asDict() | {"path": f"{target}/versions/{row['run']}"}
-
-
-def publish_versioned_snapshot(df: DataFrame, target: str, period: str, approved: bool) -> dict:
-    """Write the approved rows as the next immutable version, then its log entry. A failure leaves the last version current."""
+    With `seen`, the version that the publisher has compared with (0 for none), a version published since is refused;
+    no version is ever overwritten, as only one publisher can take a number.
+    """
     if not approved:
         raise PermissionError("the snapshot isn't approved")
-    spark = df.sparkSession
-    now = current_version(spark, target)
-    version = (now["version"] if now else 0) + 1
-    path = f"{target}/versions/v{version:03d}"
-    df.repartitionByRange(F.col(period)).sortWithinPartitions(period).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    written = spark.read.parquet(path)
-    c = written.agg(F.count(F.lit(1)).alias("rows"), F.min(period).alias("first"), F.max(period).alias("last")).first()
-    _point(spark, target, version, c["rows"], {"first_period": c["first"], "last_period": c["last"], "columns": written.columns})
-    return current_version(spark, target)
+    store = Revisions(df.sparkSession, target)
+    done = publish_next(df.sparkSession, target, df.repartitionByRange(F.col(period)).sortWithinPartitions(period), store.current().number if seen is None else seen, period=period)
+    path = next(iter(done.parts["data"].folders.values()))
+    return {"version": done.number, "path": path, "rows": done.details["rows"], "details": done.details}
+
+
+def publish_next(spark: SparkSession, target: str, df: DataFrame, seen: int, details: Mapping[str, object] | None = None, period: str | None = None) -> Revision:
+    """df as version seen + 1. Refused if the target has another version by now, or if its data isn't what was published."""
+    store = Revisions(spark, target)
+    last = store.current()
+    if last.number != seen:
+        raise StaleRevision(f"the target has version {last.number}, the publisher has seen {seen}")
+    if last.number:
+        f = content_fingerprint(store.read("data", last)).first()
+        if [f["rows"], str(f["h1"]), str(f["h2"])] != [last.details[k] for k in ("rows", "h1", "h2")]:
+            raise PermissionError(f"version {last.number} isn't as it was published")
+    part = store.write("data", df)
+    written = store.read_part("data", part)
+    f = content_fingerprint(written).first()
+    facts = {"rows": f["rows"], "h1": str(f["h1"]), "h2": str(f["h2"]), "columns": written.columns}
+    if period:
+        ends = written.agg(F.min(period), F.max(period)).first()
+        facts |= {"first_period": ends[0], "last_period": ends[1]}
+    return store.commit(last, {"data": part}, {**(details or {}), **facts})
 
 
 def export_bundle(tables: Mapping[str, DataFrame], target: str) -> dict:
-    """All tables of one run, readable only once every one of them is written."""
-    spark = next(iter(tables.values())).sparkSession
-    now = current_version(spark, target)
-    version = (now["version"] if now else 0) + 1
-    counts = {}
-    for name, df in tables.items():
-        path = f"{target}/versions/v{version:03d}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        counts[name] = spark.read.parquet(path).count()
-    _point(spark, target, version, sum(counts.values()), {"tables": counts})
-    return current_version(spark, target)
+    """All tables of one run as one version, which is there once every one of them is written."""
+    store = Revisions(next(iter(tables.values())).sparkSession, target)
+    last = store.current()
+    parts = {name: store.write(name, df) for name, df in tables.items()}
+    counts = {name: store.read_part(name, part).count() for name, part in parts.items()}
+    dropped = {name: Part(p.schema, {}) for name, p in last.parts.items() if name not in parts}
+    done = store.commit(last, {**dropped, **parts}, {"tables": counts})
+    return {"version": done.number, "tables": counts, "paths": {name: p.folders[""] for name, p in parts.items()}}
+
+
+def read_candidate(spark: SparkSession, target: str, name: str) -> dict:
+    """A candidate's manifest and its hash; raises if the data isn't what the manifest says."""
+    text = "".join(r["value"] for r in spark.read.text(f"{target}/candidate={name}/manifest").collect())  # one line
+    manifest = json.loads(text)
+    f = content_fingerprint(spark.read.parquet(manifest["path"])).first()
+    if [f["rows"], str(f["h1"]), str(f["h2"])] != [manifest[k] for k in ("rows", "h1", "h2")]:
+        raise ValueError(f"candidate {name} isn't as it was exported")
+    return manifest | {"sha256": sha256(text.encode()).hexdigest()}
 
 
 def export_candidate(df: DataFrame, target: str, name: str, meta: Mapping[str, object] | None = None) -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import aggregate, flows, mapping, mart, periods, ranges, star
 from tallyforge.operators.filters import Condition, Rule
 from tallyforge.session import scratch_folder
+from tallyforge.sources.revisions import Revisions, StaleRevision
 
 
 @pytest.fixture
@@ -68,53 +69,238 @@ def test_strict_star_fails_before_it_joins(spark, staged):
     assert [(r["product_code_sk"], r["gross_revenue_reporting"]) for r in out] == [(1, D("225.00"))]
 
 
-MODEL = mart.MartModel("period", ["invoice"], [mart.Measure("amount", 10, 2)], [mart.Dimension("customer", ["customer"], ["name"])], ["entity"])
+MODEL = mart.MartModel("period", ["invoice"], [mart.Measure("amount", 10, 2)], [mart.Dimension("customer", ["customer"], ["name"], "period")], ["entity"])
 
 
-def invoices(spark, rows):
+def invoices(spark, *rows):
     return spark.createDataFrame(rows, "period string, entity string, invoice string, customer string, name string, amount string")
 
 
-def test_mart_loads(spark):
+FIRST = [("2026-01", "A", "1", "k", "Old", "10.00"), ("2026-01", "B", "2", "k", "Old", ""), ("2026-02", "A", "3", "m", "Em", "5.5")]
+SECOND = [FIRST[0], ("2026-02", "A", "3", "k", "New", "20.00"), ("2026-02", "A", "4", "n", "En", "1")]
+
+
+def facts(load):
+    return sorted((r["period"], r["entity"], r["invoice"], r["customer"], r["name"], r["amount"]) for r in load.fact.collect())
+
+
+@pytest.fixture(scope="module")
+def loaded(spark):
     target = scratch_folder(spark)
-    first = [("2026-01", "A", "1", "k", "Old", "10.00"), ("2026-01", "B", "2", "k", "Old", ""), ("2026-02", "A", "3", "m", "Em", "5.5")]
-    a = flows.load_mart(invoices(spark, first), MODEL, target)
-    assert (a.revision, a.changed, a.fact.count(), {r["rows"] for r in a.controls.collect()}) == (1, True, 3, {1})
-    b = flows.load_mart(invoices(spark, first[::-1]), MODEL, target)
-    assert (b.revision, b.changed) == (1, False)
-    c = flows.load_mart(invoices(spark, [first[0], ("2026-02", "A", "3", "k", "New", "20.00"), ("2026-02", "A", "4", "n", "En", "1")]), MODEL, target)
+    flows.load_mart(invoices(spark, *FIRST), MODEL, target)
+    return target, flows.load_mart(invoices(spark, *SECOND), MODEL, target)
+
+
+def test_mart_loads(spark, loaded):
+    target, c = loaded
     assert (c.revision, c.changed) == (2, True)
-    assert sorted((r["invoice"], r["amount"]) for r in c.fact.collect()) == [("1", D("10.00")), ("2", None), ("3", D("20.00")), ("4", D("1.00"))]
-    dim = {r["customer"]: (r["sk"], r["name"]) for r in c.dims["customer"].collect()}
-    assert dim == {"k": (1, "New"), "m": (2, "Em"), "n": (3, "En")}
-    assert [(r["invoice"], r["amount"], r["replaced_by"]) for r in spark.read.parquet(f"{target}/archive").collect()] == [("3", D("5.50"), 2)]
-    assert [(r["customer"], r["name"]) for r in spark.read.parquet(f"{target}/audit/customer/v2").collect()] == [("k", "Old")]
-    with pytest.raises(ValueError, match="inexact"):
-        flows.load_mart(invoices(spark, [("2026-03", "A", "9", "k", "N", "1.234")]), MODEL, target)
-    with pytest.raises(ValueError, match="repeated_keys"):
-        flows.load_mart(invoices(spark, [("2026-03", "A", "9", "k", "N", "1")] * 2), MODEL, target)
-    assert flows.load_mart(invoices(spark, first[:1]), MODEL, target).revision == 2
-
-
-def test_period_loads(spark):
-    schema = "file string, hash string, period string, code string, sales string"
-    current = spark.createDataFrame([("2024-01", "001", "1000"), ("2024-02", "001", "1500")], "period string, code string, sales string")
-    history = spark.createDataFrame([("a.csv", "h1", "2024-01"), ("b.csv", "h2", "2024-02"), ("c.csv", "h3", "2024-02")], "file string, hash string, period string")
-    rows = [("b.csv", "h2", "2024-02", "001", "1500"), ("c.csv", "h9", "2024-02", "002", "7")]
-    with pytest.raises(ValueError, match="lost a file"):
-        flows.inspect_load(spark.createDataFrame(rows[1:], schema), current, history, ["code"], ["sales"])
-    load = flows.inspect_load(spark.createDataFrame(rows, schema), current, history, ["code"], ["sales"])
-    assert sorted(tuple(r) for r in load.after.collect()) == [("2024-01", "001", "1000"), ("2024-02", "001", "1500"), ("2024-02", "002", "7")]
-    target = scratch_folder(spark)
-    done = flows.publish_load(load, load.snapshot, target, ["sales"])
-    assert done["version"] == 1 and spark.read.parquet(f"{target}/files").count() == 1
-    changed = flows.PeriodLoad(load.after.withColumn("code", F.lit("003")), load.snapshot, load.targets, load.files)
-    with pytest.raises(PermissionError):  # rows and totals are the same, the content isn't
-        flows.publish_load(changed, load.snapshot, target, ["sales"])
+    assert facts(c) == [("2026-01", "A", "1", "k", "New", D("10.00")), ("2026-01", "B", "2", "k", "New", None), ("2026-02", "A", "3", "k", "New", D("20.00")), ("2026-02", "A", "4", "n", "En", D("1.00"))]
+    assert sorted(c.keyed.columns) == ["amount", "customer_sk", "entity", "invoice", "period"]
+    assert {r["customer"]: (r["sk"], r["name"]) for r in c.dims["customer"].collect()} == {"k": (1, "New"), "m": (2, "Em"), "n": (3, "En")}
+    assert {(r["period"], r["entity"]): (r["rows"], r["sum_amount"]) for r in c.controls.collect()} == {("2026-01", "A"): (1, D(10)), ("2026-01", "B"): (1, D(0)), ("2026-02", "A"): (2, D(21))}
+    gone = flows.archived_rows(c.store, 2, MODEL).collect()
+    assert [(r["invoice"], r["customer"], r["name"], r["amount"], r["replaced_by"]) for r in gone] == [("3", "m", "Em", D("5.50"), 2)]
+    assert [(r["customer"], r["name"]) for r in c.store.read("audit_customer", c.at).collect()] == [("k", "Old")]
+    assert flows.archived_rows(c.store, 1, MODEL).count() == 0
+    assert [tuple(r) for r in flows.mart_history(c.store).orderBy("revision").collect()] == [(1, 3, 3), (2, 1, 2)]
+    same = flows.load_mart(invoices(spark, *SECOND[::-1]), MODEL, target)
+    assert (same.revision, same.changed) == (2, False)
+
+
+@pytest.mark.parametrize(("rows", "words"), [
+    ([("2026-03", "A", "9", "k", "N", "1.234")], "'inexact': 1"), ([("2026-03", "A", "9", "k", "N", "1")] * 2, "repeated_keys"), ([("2026-03", " ", None, "k", "N", "1")], "'blank_scope': 1, 'blank_key': 1"),
+    ([("2026-13", "A", "9", "k", "N", "1")], "odd_periods"), ([("202603", "A", "9", "k", "N", "1")], "unlike forms"), ([("2026-03", "A", "9", "k", "N", "1"), ("2026-03", "A", "8", "k", "M", "1")], "unlike attributes under one authority"),
+    ([("2026-02", "B", "9", "k", "Else", "1")], "unlike attributes under one authority"),
+])
+def test_mart_loads_are_refused(spark, loaded, rows, words):
+    target, now = loaded
+    with pytest.raises(ValueError, match=words):
+        flows.load_mart(invoices(spark, *rows), MODEL, target)
+    assert Revisions(spark, target).current() == now.at
+
+
+def test_other_models_authorities_and_files_are_refused(spark, loaded):
+    target, now = loaded
+    other = mart.MartModel("period", ["invoice"], [mart.Measure("amount", 12, 2)], MODEL.dimensions, ["entity"])
+    with pytest.raises(ValueError, match="another model"):
+        flows.load_mart(invoices(spark, *FIRST), other, target)
+    ranked = mart.MartModel("period", ["invoice"], [mart.Measure("amount", 10, 2)], [mart.Dimension("customer", ["customer"], [], "name")], ["entity"])
+    with pytest.raises(ValueError, match="authorities of unlike forms"):
+        flows.load_mart(invoices(spark, *FIRST), ranked, scratch_folder(spark))
+    plain = mart.MartModel("period", ["invoice"], [mart.Measure("amount", 10, 2)], [], ["entity"])
+    files = lambda *names: invoices(spark, *[("2026-01", "A", str(k), "k", n, "1") for k, n in enumerate(names)]).withColumnRenamed("name", "file")
+    folder = scratch_folder(spark)
+    assert flows.load_mart(files("a", "b"), plain, folder, source="file").changed
+    with pytest.raises(ValueError, match="the files of scope"):
+        flows.load_mart(files("a", "a", "a"), plain, folder, source="file")
+    assert flows.load_mart(files("b", "a", "a"), plain, folder, source="file").revision == 2
+
+
+def test_a_load_that_dies_leaves_the_mart_as_it_was(spark, loaded, monkeypatch):
+    target, now = loaded
+    before = facts(now)
+    third = [("2026-01", "A", "1", "k", "Newer", "11.00"), ("2026-03", "A", "5", "z", "Zed", "3.00")]
+    steps = 0
+    real = Revisions.write
+
+    def dies(after):
+        def write(self, name, df, by=()):
+            nonlocal steps
+            part = real(self, name, df, by)
+            steps += 1
+            if steps == after:
+                raise KeyboardInterrupt(name)
+            return part
+
+        return write
+
+    for after in (1, 2, 3):  # after the dimension, its audit and the fact
+        steps = 0
+        monkeypatch.setattr(Revisions, "write", dies(after))
+        with pytest.raises(KeyboardInterrupt):
+            flows.load_mart(invoices(spark, *third).withColumn("period", F.regexp_replace("period", "2026-01", "2026-05")), MODEL, target)
+        monkeypatch.setattr(Revisions, "write", real)
+        store = Revisions(spark, target)
+        assert store.current() == now.at and facts(flows.MartLoad(store, store.current(), False, MODEL)) == before
+    monkeypatch.setattr(flows.mart, "scope_controls", lambda *a: mart.discover_scopes(a[0], a[1]).select("*", F.lit(7).cast("long").alias("rows"), F.lit(D(1)).alias("sum_amount")))
+    with pytest.raises(RuntimeError, match="differ from their source"):
+        flows.load_mart(invoices(spark, third[1]), MODEL, target)
+    monkeypatch.undo()
+    assert Revisions(spark, target).current() == now.at
+
+
+def test_exports_need_an_approval_of_this_revision(spark, tmp_path):
+    target, out = scratch_folder(spark), str(tmp_path / "out")
+    load = flows.load_mart(invoices(spark, *FIRST), MODEL, target)
+    flows.export_mart(load, out, "a")
+    with pytest.raises(PermissionError, match="isn't approved"):
+        flows.publish_export(load, out, "a", f"{out}/public")
+    with pytest.raises(ValueError, match="reviewer"):
+        flows.approve_export(load, out, "a", " ")
+    assert flows.approve_export(load, out, "a", "me")["revision"] == 1
+    with pytest.raises(FileExistsError):
+        flows.approve_export(load, out, "a", "me again")
+    one = flows.publish_export(load, out, "a", f"{out}/public")
+    assert (one.number, one.details["reviewer"], Revisions(spark, f"{out}/public").read("data", one).count()) == (1, "me", 3)
+    with pytest.raises(StaleRevision):  # another publisher that has seen no version
+        flows.publish_export(load, out, "a", f"{out}/public", seen=0)
+    load2 = flows.load_mart(invoices(spark, *SECOND), MODEL, target)
+    with pytest.raises(PermissionError, match="of revision 1"):
+        flows.publish_export(load, out, "a", f"{out}/public", seen=1)
+    with pytest.raises(PermissionError, match="of revision 1"):
+        flows.approve_export(load2, out, "a", "me")
+    flows.export_mart(load2, out, "b")
+    flows.approve_export(load2, out, "b", "me")
+    assert flows.publish_export(load2, out, "b", f"{out}/public", seen=1).number == 2
+    spark.read.parquet(f"{out}/candidate=b/data").limit(1).write.mode("append").parquet(f"{out}/candidate=b/data")
+    with pytest.raises(ValueError, match="isn't as it was exported"):
+        flows.approve_export(load2, out, "b", "me")
+
+
+LANDED = "file string, hash string, period string, code string, sales string"
+
+
+def landed(spark, *rows):
+    return spark.createDataFrame(rows, LANDED)
+
+
+def load(store, rows, approve=True, **options):
+    made = flows.inspect_load(rows, store, ["code"], ["sales"], **options)
+    return flows.publish_load(made, made.snapshot) if approve else made
+
+
+def content(store, revision=None):
+    return sorted(tuple(r) for r in store.read("rows", revision or store.current()).select("period", "code", "sales").collect())
+
+
+@pytest.fixture
+def dataset(spark):
+    """Two files of three periods, of which the second one has two."""
+    store = Revisions(spark, scratch_folder(spark))
+    load(store, landed(spark, ("a.csv", "h1", "2024-01", "001", "1000"), ("b.csv", "h2", "2024.2", "001", "1500"), ("b.csv", "h2", "202403", "001", "1,600.50")))
+    return store
+
+
+def test_periods_are_normalised_once(spark, dataset):
+    assert content(dataset) == [("2024-01", "001", "1000"), ("2024-02", "001", "1500"), ("2024-03", "001", "1,600.50")]
+    files = {tuple(r) for r in flows.loaded_files(dataset).collect()}
+    assert files == {("a.csv", "h1", "2024-01"), ("b.csv", "h2", "2024-02"), ("b.csv", "h2", "2024-03")}
+    load(dataset, landed(spark, ("c_202404.csv", "h3", " ", "5", "1"), ("d.csv", "h4", "20240531", "6", "2")))
+    assert content(dataset)[-2:] == [("2024-04", "5", "1"), ("2024-05", "6", "2")]  # a period from the file's name
+    with pytest.raises(ValueError, match="isn't valid.*'bad_periods': 1"):
+        load(dataset, landed(spark, ("e.csv", "h5", "2024-06", "1", "1"), ("e.csv", "h5", "someday", "2", "1")))
+    with pytest.raises(ValueError, match="isn't valid.*'blank_periods': 1"):
+        load(dataset, landed(spark, ("e_202406.csv", "h5", "2024-06", "1", "1"), ("e_202406.csv", "h5", "", "2", "1")))
+
+
+def test_a_period_that_a_file_no_longer_has_is_cleared(spark, dataset):
+    made = load(dataset, landed(spark, ("b.csv", "h9", "2024-03", "001", "7")), approve=False)
+    assert list(made.targets) == ["2024-02", "2024-03"]
+    flows.publish_load(made, made.snapshot)
+    assert content(dataset) == [("2024-01", "001", "1000"), ("2024-03", "001", "7")]
+    assert {tuple(r) for r in flows.loaded_files(dataset).collect()} == {("a.csv", "h1", "2024-01"), ("b.csv", "h9", "2024-03")}
+    assert dataset.current().details["rows"] == 2
+    assert content(dataset, dataset.revision(1))[1] == ("2024-02", "001", "1500")  # an earlier revision has it still
+    dataset.roll_back(1)
+    assert len(content(dataset)) == 3
+
+
+def test_headers_are_each_files_own(spark, dataset):
+    rows = landed(spark, ("c.csv", "h3", "2024-04", "5", "1"))
+    have = lambda *h: spark.createDataFrame([("c.csv", list(h))], "file string, header array<string>")
+    with pytest.raises(ValueError, match="missing_columns"):
+        load(dataset, rows, headers=have("period", "code"), required=["period", "code", "sales"])
+    with pytest.raises(ValueError, match="files' headers"):
+        load(dataset, rows, required=["period"])
+    load(dataset, rows, headers=have("sales", "code", "period"), required=["period", "code", "sales"], baseline=["period", "code", "sales"])
+    assert len(content(dataset)) == 4
+
+
+def test_period_loads_are_refused(spark, dataset):
     with pytest.raises(ValueError, match="conflict"):
-        flows.inspect_load(spark.createDataFrame([("x.csv", "n1", "2024-03", "1", "1"), ("y.csv", "n2", "2024-03", "2", "1")], schema), current, history, ["code"], ["sales"])
+        load(dataset, landed(spark, ("x.csv", "n1", "2024-04", "1", "1"), ("y.csv", "n2", "2024-04", "2", "1")))
     with pytest.raises(ValueError, match="isn't valid"):
-        flows.inspect_load(spark.createDataFrame([("x.csv", "n1", "2024-03", "1", "what")], schema), current, history, ["code"], ["sales"])
+        load(dataset, landed(spark, ("x.csv", "n1", "2024-04", "1", "what")))
+    made = load(dataset, landed(spark, ("x.csv", "n1", "2024-04", "1", "5")), approve=False)
+    other = made.snapshot.withColumn("fingerprint", F.lit("1/2"))  # rows and totals are the same, the content isn't
+    with pytest.raises(PermissionError):
+        flows.publish_load(made, other)
+    assert len(content(dataset)) == 3 and flows.loaded_files(dataset).count() == 3
+    rival = load(dataset, landed(spark, ("z.csv", "n3", "2024-05", "1", "5")), approve=False)
+    flows.publish_load(rival, rival.snapshot)
+    with pytest.raises(StaleRevision):  # inspected against what is no longer current
+        flows.publish_load(made, made.snapshot)
+    assert [r[0] for r in content(dataset)] == ["2024-01", "2024-02", "2024-03", "2024-05"]
+    with pytest.raises(ValueError, match="lost a file"):
+        store = Revisions(spark, scratch_folder(spark))
+        load(store, landed(spark, ("p.csv", "1", "2024-01", "1", "1")))
+        shared = landed(spark, ("p.csv", "1", "2024-01", "1", "1"), ("q.csv", "2", "2024-01", "2", "1"))
+        load(store, shared)
+        load(store, landed(spark, ("q.csv", "3", "2024-01", "2", "9")))
+
+
+def test_a_folder_is_loaded_from_its_path(spark, tmp_path):
+    store = Revisions(spark, scratch_folder(spark))
+    inbox = tmp_path / "in box"
+    inbox.mkdir()
+    (inbox / "sales_a.csv").write_text('period,code,sales,note\n2024-01,001,5,"x\ny"\n')
+    (inbox / "sales_b.csv").write_text("code,period,sales\n002,202402,6\n")
+    (inbox / "other.csv").write_text("what\n1\n")
+    folder = lambda: flows.inspect_folder(spark, str(inbox), store, ["code"], ["sales"], include=["SALES"], exclude=["draft"])
+    made = folder()
+    flows.publish_load(made, made.snapshot)
+    assert content(store) == [("2024-01", "001", "5"), ("2024-02", "002", "6")]
+    assert [r["note"] for r in store.read("rows", store.current()).orderBy("period").collect()] == ["x\ny", None]
+    again = folder()
+    assert list(again.targets) == [] and again.files.isEmpty()
+    (inbox / "sales_c.csv").write_text("period,code\n2024-03,003\n")
+    with pytest.raises(ValueError, match="missing_columns"):
+        folder()
+    (inbox / "sales_c.csv").write_text("")
+    with pytest.raises(ValueError, match="empty files"):
+        folder()
+    (inbox / "sales_c.csv").write_text("period,code,sales\n")  # a header without rows changes nothing
+    assert list(folder().targets) == []
 
 
 def test_numbers_of_rows(spark):

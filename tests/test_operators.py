@@ -12,6 +12,7 @@ from tallyforge.operators import filters as flt
 from tallyforge.operators import mapping, periods, profile, ranges, reference, star
 from tallyforge.operators import mart as mt
 from tallyforge.sources import landing, sinks
+from tallyforge.sources.revisions import Revisions, StaleRevision
 from tallyforge.streaming.periods import stream_period_files
 
 
@@ -132,12 +133,17 @@ def test_ranges(spark):
 
 
 def test_period_replacement_and_guards(spark, tmp_path):
-    path = str(tmp_path / "data")
-    old = spark.createDataFrame([("2024-01", 1), ("2024-02", 2)], "period string, v int")
-    periods.replace_periods(old, path)
+    store = Revisions(spark, str(tmp_path / "data"))
+    rows = lambda *r: spark.createDataFrame(r, "period string, v int")
+    content = lambda: sorted((r["period"], r["v"]) for r in store.read("rows", store.current()).collect())
+    periods.replace_periods(store, rows(("2024-01", 1), ("2024-02", 2), ("2024-03", 3)))
     for _ in range(2):  # a rerun changes nothing
-        periods.replace_periods(spark.createDataFrame([("2024-02", 5), ("2024-02", 6)], "period string, v int"), path)
-    assert sorted((r["period"], r["v"]) for r in spark.read.parquet(path).collect()) == [("2024-01", 1), ("2024-02", 5), ("2024-02", 6)]
+        periods.replace_periods(store, rows(("2024-02", 5), ("2024-02", 6)), ["2024-02", "2024-03"])
+    assert content() == [("2024-01", 1), ("2024-02", 5), ("2024-02", 6)]
+    periods.replace_periods(store, rows().limit(0), ["2024-01"])
+    assert content() == [("2024-02", 5), ("2024-02", 6)]
+    with pytest.raises(ValueError, match="type of v"):
+        periods.replace_periods(store, spark.createDataFrame([("2024-02", "x")], "period string, v string"))
     now = spark.createDataFrame([("a", "p1"), ("b", "p2"), ("c", "p3")], "file string, period string")
     hist = spark.createDataFrame([("a", "p2"), ("b", "p3"), ("z", "p1"), ("a", "p1")], "file string, period string")
     got = periods.target_period_closure(now, hist, spark.createDataFrame([("a",)], "file string"))
@@ -337,10 +343,15 @@ def test_publishing(spark, tmp_path):
     df = spark.createDataFrame([("2024-01", 1), ("2024-02", 2)], "period string, v int")
     with pytest.raises(PermissionError):
         sinks.publish_versioned_snapshot(df, target, "period", False)
-    assert sinks.publish_versioned_snapshot(df, target, "period", True)["version"] == 1
-    now = sinks.publish_versioned_snapshot(df.limit(1), target, "period", True)
-    assert now["version"] == 2 and spark.read.parquet(now["path"]).count() == 1
-    assert spark.read.parquet(f"{target}/versions/v001").count() == 2
+    one = sinks.publish_versioned_snapshot(df, target, "period", True)
+    now = sinks.publish_versioned_snapshot(df.limit(1), target, "period", True, seen=1)
+    assert (one["version"], now["version"]) == (1, 2) and spark.read.parquet(now["path"]).count() == 1
+    assert spark.read.parquet(one["path"]).count() == 2
+    with pytest.raises(StaleRevision):  # a publisher that has seen the first version only
+        sinks.publish_versioned_snapshot(df, target, "period", True, seen=1)
+    df.limit(1).write.mode("append").parquet(now["path"])
+    with pytest.raises(PermissionError, match="isn't as it was published"):
+        sinks.publish_versioned_snapshot(df, target, "period", True)
     made = sinks.export_candidate(df, str(tmp_path / "c"), "x", {"model": "m"})
     assert made["rows"] == 2
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
@@ -355,4 +366,6 @@ def test_stream_of_files(spark, tmp_path):
     assert run()
     (land / "b.csv").write_text("period,v\n2024.2,7\n")
     assert run()
-    assert sorted((r["period"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("2024-01", 1), ("2024-02", 7)]
+    store = Revisions(spark, str(tmp_path / "out"))
+    assert sorted((r["period"], r["v"]) for r in store.read("rows", store.current()).collect()) == [("2024-01", 1), ("2024-02", 7)]
+    assert store.current().number == 2 and store.current().details["batch"] == 1
