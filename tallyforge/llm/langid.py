@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WordIds, append_columns, crc_mod, lower_words
+from .common import WordIds, append_columns, crc_mod, lower_words, saved
 from .ngrams import gram_ids
 
 BUCKETS = 1 << 16
@@ -21,11 +21,14 @@ FLOOR = 50
 SIZES = (2, 3, 4)
 #: Bytes of text that are labelled at once; the recursions take a turn for each place of the longest text among them.
 STEP = 2 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def _has_letter(w: bytes) -> bool:
-    return bool(_LETTER.search(w.decode("utf-8", "surrogatepass")))
+    """Whether a character is a letter in Unicode's sense (category L), which number signs such as a half aren't."""
+    if _ASCII_LETTER.search(w):
+        return True
+    return not w.isascii() and any(map(str.isalpha, w.decode("utf-8", "surrogatepass")))
 
 
 @dataclass
@@ -209,18 +212,33 @@ class Tagger:
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int, floor: int = FLOOR) -> list[tuple[str, str]]:
     """At most `most` different labelled texts with a word: `floor` of each language first, taken in turn, then the least hashes.
 
-    Hashes and labels of all usable rows are ranked, whatever share of the table they are; a task passes on `most` rows
-    of a language. Then the picked rows' texts are fetched by their hashes, which are broadcast.
+    Each language's rows are counted without their texts; then those with hashes under a bound by which about four times
+    as many as are wanted pass are written with their texts, and the least of these are taken. The bound is raised where
+    too few have passed (rows without a word, and repeated ones, are counted but not taken), so that the rows are exactly
+    the least of all, while no task holds more of a language than a few times `most`. Labels are few: the model has a
+    weight vector for each.
     """
+    spark, most_long = docs.sparkSession, 2**63 - 1
     key, lang = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample")), F.col(lang_col).cast("string")
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]") & (crc_mod(id_col, 4) != 2))
-    ranked = usable.select(key.alias("__key"), lang.alias("__lang")).distinct().withColumn("__rank", F.row_number().over(Window.partitionBy("__lang").orderBy("__key")))
-    picked = ranked.where(F.col("__rank") <= most).orderBy(F.least("__rank", F.lit(floor + 1)), "__key", "__lang").limit(most).collect()
-    if not picked:
+    labelled = docs.where(F.col(lang_col).isNotNull() & (crc_mod(id_col, 4) != 2))
+    counts = {r["__lang"]: r["count"] for r in labelled.groupBy(lang.alias("__lang")).count().collect()}
+    if not counts or most < 1:
         return []
-    keys = docs.sparkSession.createDataFrame([(r["__key"], r["__lang"]) for r in picked], "__key long, __lang string")
-    found = usable.select(key.alias("__key"), lang.alias("__lang"), F.col(text_col).alias("__text")).join(F.broadcast(keys), ["__key", "__lang"])
-    return [(r["__text"], r["__lang"]) for r in sorted(found.groupBy("__key", "__lang").agg(F.first("__text").alias("__text")).collect())]
+    usable = labelled.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(key.alias("__key"), lang.alias("__lang"), F.col(text_col).alias("__text"))
+    factor = 4
+    while True:
+        bounds = {k: min(most_long, 2**64 * factor * most // n - 2**63) for k, n in counts.items()}
+        small = spark.createDataFrame(list(bounds.items()), "__lang string, __bound long")
+        under = usable.join(F.broadcast(small), "__lang").where(F.col("__key") <= F.col("__bound"))
+        least = saved(under.groupBy("__key", "__lang").agg(F.first("__text").alias("__text")))
+        got = {r["__lang"]: r["count"] for r in least.groupBy("__lang").count().collect()}
+        if all(got.get(k, 0) >= most or bounds[k] == most_long for k in counts):
+            break
+        factor *= 8
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__key"))
+    ranked = least.select("__key", "__lang").withColumn("__rank", rank).where(F.col("__rank") <= most)
+    picked = ranked.orderBy(F.least("__rank", F.lit(floor + 1)), "__key", "__lang").limit(most)
+    return [(r["__text"], r["__lang"]) for r in sorted(least.join(F.broadcast(picked), ["__key", "__lang"]).select("__key", "__lang", "__text").collect())]
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 1500, spans: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ def hard_texts():
         None, "", "   \n\t ", "one", "one two three four", "a b c a b c a b c", "L1 here\nL2\nL1 here\n\nL1 here", long,
         base, base, base.replace("term7", "other"), base + " tail words here", PHRASE.upper(), "start " + PHRASE + " end", "x " * 300 + PHRASE + " y" * 400,
         "café naïve nbsp em  double   triple \t tab\t \r\n crlf é combining", "#*$%&|<> <|endoftext|> it's we'll 123,456 !!", "你好 世界 \U0001f600 emoji", "end with space ", "\x1c\x1d odd\x0bcontrol\x0c",
-        "İstanbul ΣΣ ss", "2024-01-01 $5.00",
+        "İstanbul ΣΣ ss", "2024-01-01 $5.00", "½ ² ①", "Ⅷ ٣ — …",
     ]
 
 

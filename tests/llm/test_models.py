@@ -227,3 +227,26 @@ def test_language_of_documents_is_the_greatest_mean_of_marginals(spark, hard_doc
         mean = m.mean(axis=0)
         assert mean[model.labels.index(r["lang_pred"])] == pytest.approx(mean.max(), abs=1e-4)
         assert r["score"] == pytest.approx(mean.max(), abs=1e-3) and r["certainty"] == pytest.approx(m.max(axis=1).mean(), abs=1e-3)
+
+
+def test_signs_that_are_no_letters_have_no_language(spark, real_docs):
+    signs = ["½ ² ①", "Ⅷ", "٣ 4", "— … €", "½ ² ① word", "ª", "漢"]
+    docs = real_docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(signs)], "doc_id long, text string, lang string"))
+    got = {r["doc_id"] - 10**6: r["lang_pred"] for r in langid.identify_languages(docs).where(f"doc_id >= {10**6}").collect()}
+    assert [got[k] == "und" for k in range(len(signs))] == [True, True, True, True, False, False, False]
+
+
+def test_training_rows_are_the_least_hashes_of_each_language(spark):
+    """Against a ranking of all rows: repeated rows, blank texts and a rare language among them."""
+    rows = [(k, f"word{k % 700} text", "hot") for k in range(3000)] + [(k, " ", "hot") for k in range(3000, 6000)] + [(7, "copy", "hot")] * 500 + [(k, f"rare {k}", "rare") for k in range(9000, 9020)] + [(k, " ", "none") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (3, 60, 5000):
+        got = langid.training_rows(docs, "doc_id", "text", "lang", most, 10)
+        keys = docs.where("trim(text) <> ''").select(F.xxhash64("doc_id", "text", F.lit("sample")).alias("k"), "text", "lang", "doc_id").distinct().collect()
+        keys = sorted((r["k"], r["lang"], r["text"]) for r in keys if crc_mod(r["doc_id"], 4) != 2)
+        place, ranked = {}, []
+        for k, lang, text in keys:
+            place[lang] = place.get(lang, 0) + 1
+            ranked.append((min(place[lang], 11), k, lang, text))
+        want = sorted((k, lang, text) for _, k, lang, text in sorted(ranked)[:most])
+        assert got == [(text, lang) for _, lang, text in want]
