@@ -171,6 +171,25 @@ def group_cardinality(df: DataFrame, keys: Sequence[str], conditions: Sequence[C
     return each.agg(F.least(total, F.lit(cap)).alias("groups"), (total <= cap).alias("exact"))
 
 
+def period_sketches(df: DataFrame, keys: Sequence[str], period: str, bits: int = 14) -> DataFrame:
+    """(period, sketch): a HyperLogLog sketch of each period's distinct keys, of 2 ** bits registers (standard error 0.9 % at 14).
+
+    Sketches are kept with the data and merged, so that a cardinality over new periods doesn't read the old ones.
+    """
+    key = F.xxhash64(*[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in keys])
+    return df.groupBy(F.col(period).alias("period")).agg(F.hll_sketch_agg(key, F.lit(bits)).alias("sketch"))
+
+
+def merge_sketches(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The old periods' sketches with those of the periods that were loaded anew."""
+    return old.join(new.select("period"), "period", "left_anti").unionByName(new)
+
+
+def sketched_cardinality(sketches: DataFrame) -> DataFrame:
+    """One row (groups): the estimated number of distinct keys of all periods together."""
+    return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).cast("long").alias("groups"))
+
+
 def preview(df: DataFrame, spec: AggregationSpec, rows: int = 2000, shown: int = 15, order: Sequence[str] = ()) -> DataFrame:
     """The summary of the first rows only, in the given order or, as fast as may be, in any."""
     return aggregate_spec((df.orderBy(*order) if order else df).limit(rows), spec).limit(shown)

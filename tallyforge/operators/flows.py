@@ -101,7 +101,8 @@ def tolerant_star(
     out = written(star.drill_across(parts, GRAIN, zero))
     checks = {
         "fanout": star.fanout_check(out, facts["pnl"], GRAIN, [*lines, "qty"]),
-        "stock": star.fanout_check(out.where("stock_value <> 0"), facts["inventory"].where("stock_value <> 0"), GRAIN, ["stock_value"]),
+        "stock": star.fanout_check(out, facts["inventory"], GRAIN, ["stock_qty", "stock_value", "stock_cost"]),
+        "price": star.price_check(out, facts["price"], GRAIN, offer),
         "profit": star.reconcile(star.with_results(facts["pnl"]), out, "operating_profit", "operating_profit"),
         "members": star.dimension_uniqueness(dims["product"].where("sk <> -1"), "sk", "product_code").unionByName(star.dimension_uniqueness(dims["customer"].where("sk <> -1"), "sk", "customer_code")),
         "unmapped": star.unmapped_code_report({
@@ -109,7 +110,7 @@ def tolerant_star(
             "inventory_product": (facts["inventory"], "product_sk", "product_code", F.sum("stock_value")), "price_product": (facts["price"], "product_sk", "product_code", F.avg(offer[0])),
         }),
     }
-    for name in ("fanout", "profit", "members"):
+    for name in ("fanout", "stock", "price", "profit", "members"):
         if not checks[name].where("NOT ok").isEmpty():
             raise ValueError(f"the mart's check failed: {name}")
     if target:
@@ -117,18 +118,32 @@ def tolerant_star(
     return StarResult(out, dims, facts, checks, left_out)
 
 
-def strict_star(wide: DataFrame, dims: Mapping[str, tuple[DataFrame, str]], rates: DataFrame, lines: Mapping[str, Sequence[str]], errors: str | None = None) -> DataFrame:
+def strict_star(
+    wide: DataFrame, dims: Mapping[str, tuple[DataFrame, str]], rates: DataFrame, lines: Mapping[str, Sequence[str]], errors: str | None = None, *,
+    entity: str | None = None, currencies: Sequence[str] = (), periods: str | None = None, target: str | None = None,
+) -> DataFrame:
     """The strict star's one big table. dims: code column -> (dimension with sk, its key column).
 
-    Codes without a member raise before anything is joined (all of them are written to `errors`); then the fact is
-    joined with each dimension on the inside and with its rate, and the statement lines are worked out row by row.
+    With an entity, only its rows of the allowed periods count, and a strange currency or period raises. Codes without a
+    member raise before anything is joined (all of them are written to `errors`), as do periods and currencies without
+    a rate; then the fact is joined with each dimension on the inside and with its rate, and the statement lines are
+    worked out row by row. With a target the table is published there as its next version.
     """
-    coded = wide.withColumns({c: business_key(F.col(c)) for c in dims})
+    mine = filters.isolate_entity(wide, entity, currencies, periods)[0] if entity else wide
+    coded = mine.withColumns({c: business_key(F.col(c)) for c in dims})
     star.fk_anti_join_failfast(coded, dims, errors)
+    known = rates.where("rate IS NOT NULL").select("period", "currency")
+    if lost := coded.select("period", "currency").distinct().join(known, ["period", "currency"], "left_anti").orderBy("period", "currency").limit(5).collect():
+        raise ValueError("no exchange rate: " + ", ".join(f"{r['period']} {r['currency']}" for r in lost))
     out = coded
     for c, (dim, key) in dims.items():
         out = out.join(dim.withColumnsRenamed({"sk": f"{c}_sk", key: c}), c, "inner")
-    return star.strict_base_lines(out.join(rates, ["period", "currency"]), lines, F.col("rate"))
+    out = star.strict_base_lines(out.join(rates, ["period", "currency"]), lines, F.col("rate"))
+    if not target:
+        return out
+    store = Revisions(wide.sparkSession, target)
+    sinks.export_bundle({"table": out}, target)
+    return store.read("table", store.current())
 
 
 @dataclass(frozen=True)

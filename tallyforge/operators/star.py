@@ -353,6 +353,24 @@ def fanout_check(mart: DataFrame, fact: DataFrame, grain: Sequence[str], metrics
     return twice.select((F.col("repeats") == 0).alias("grain_unique")).crossJoin(diff).withColumn("ok", ok)
 
 
+def price_check(mart: DataFrame, fact: DataFrame, grain: Sequence[str], prices: Sequence[str], tolerance: float = 1e-4) -> DataFrame:
+    """(grain_unique, max_diff_<price>..., strays, ok): the mart's mean prices against those of the fact, grain by grain.
+
+    Strays are grains that have a price on one side only; means are never compared by their sums.
+    """
+    twice = mart.groupBy(*grain).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeats"))
+    again = fact.groupBy(*grain).agg(*[(F.sum(p).cast("double") / F.count(p)).alias(f"f_{p}") for p in prices])
+    both = mart.select(*grain, *[F.col(p).cast("double").alias(f"m_{p}") for p in prices]).join(again, list(grain), "full_outer")
+    stray = F.lit(False)
+    for p in prices:
+        stray = stray | (F.col(f"m_{p}").isNull() != F.col(f"f_{p}").isNull())
+    diff = both.agg(F.count_if(stray).alias("strays"), *[F.coalesce(F.max(F.abs(F.col(f"m_{p}") - F.col(f"f_{p}"))), F.lit(0.0)).alias(f"max_diff_{p}") for p in prices])
+    ok = F.col("grain_unique") & (F.col("strays") == 0)
+    for p in prices:
+        ok = ok & (F.col(f"max_diff_{p}") <= tolerance)
+    return twice.select((F.col("repeats") == 0).alias("grain_unique")).crossJoin(diff).withColumn("ok", ok)
+
+
 def unmapped_code_report(branches: Mapping[str, tuple[DataFrame, str, str, Column]]) -> DataFrame:
     """(kind, period, code, currency, rows, impact): per branch its rows with the key -1 in a column, by raw code; the last item is the impact aggregate."""
     out = None
@@ -370,9 +388,34 @@ def unmapped_account_guard(long: DataFrame, allow: bool = False) -> DataFrame:
     return lost
 
 
-def additivity_safe_rollup(mart: DataFrame, keys: Sequence[str], period: str, classes: Mapping[str, str | tuple[str, str]]) -> DataFrame:
+#: How a measure may be summed: over all dimensions, over all but time, as a mean with weights, or not at all.
+ADDITIVITY = ("ADDITIVE", "SEMI_ADDITIVE", "WEIGHTED", "NON_ADDITIVE")
+_CLASS, _WEIGHT = "additivity", "weight"
+
+
+def with_additivity(df: DataFrame, classes: Mapping[str, str | tuple[str, str]]) -> DataFrame:
+    """df whose columns carry their class as metadata, which Parquet keeps."""
+    made = {}
+    for c, how in classes.items():
+        name, weight = how if isinstance(how, tuple) else (how, None)
+        if name not in ADDITIVITY or (name == "WEIGHTED") != (weight is not None):
+            raise ValueError(f"unknown additivity of {c}: {how!r}")
+        made[c] = {**df.schema[c].metadata, _CLASS: name, **({_WEIGHT: weight} if weight else {})}
+    return df.select(*[F.col(f"`{c}`").alias(c, metadata=made[c]) if c in made else F.col(f"`{c}`") for c in df.columns])
+
+
+def additivity_of(df: DataFrame) -> dict[str, str | tuple[str, str]]:
+    """column -> class, of the columns that carry one."""
+    found = {f.name: f.metadata for f in df.schema.fields if _CLASS in f.metadata}
+    return {c: (m[_CLASS], m[_WEIGHT]) if _WEIGHT in m else m[_CLASS] for c, m in found.items()}
+
+
+def additivity_safe_rollup(mart: DataFrame, keys: Sequence[str], period: str, classes: Mapping[str, str | tuple[str, str]] | None = None) -> DataFrame:
     """Roll a mart up over its periods. ADDITIVE sums; SEMI_ADDITIVE takes the latest period's sum; ("WEIGHTED", w) is
-    recomputed as the w-weighted mean; NON_ADDITIVE is refused."""
+    recomputed as the w-weighted mean; NON_ADDITIVE is refused. The classes are those that the columns carry, unless given."""
+    classes = additivity_of(mart) if classes is None else classes
+    if not classes:
+        raise ValueError("no additivity is known of any column")
     bad = [m for m, c in classes.items() if c == "NON_ADDITIVE"]
     if bad:
         raise ValueError(f"can't be rolled up over time: {bad}")

@@ -1122,7 +1122,27 @@ def _(s):
 @query("additivity_safe_rollup", """SELECT entity, CAST(sum(amount) AS DOUBLE) AS amount, CAST((SELECT sum(value) FROM {inv} AS z WHERE z.entity = t.entity AND z.period = max(t.period)) AS DOUBLE) AS value, CAST(sum(wd) AS DOUBLE) / CAST(sum(amount) AS DOUBLE) AS dio FROM (SELECT entity, period, sum(cost) AS amount, sum(CAST(cost AS DECIMAL(24,6)) * dio) AS wd FROM {inv} GROUP BY entity, period) AS t GROUP BY entity""")
 def _(s):
     m = s.inv.withColumnRenamed("cost", "amount")
-    return dbl(star.additivity_safe_rollup(m, ["entity"], "period", {"amount": "ADDITIVE", "value": "SEMI_ADDITIVE", "dio": ("WEIGHTED", "amount")}), "amount", "value")
+    path = scratch_folder(s.spark)
+    sinks.write_parquet(star.with_additivity(m, {"amount": "ADDITIVE", "value": "SEMI_ADDITIVE", "dio": ("WEIGHTED", "amount")}), path)
+    return dbl(star.additivity_safe_rollup(s.spark.read.parquet(path), ["entity"], "period"), "amount", "value")
+
+
+@query("price_check", "SELECT true AS grain_unique, CAST(count(DISTINCT concat(period, '/', product_code)) AS BIGINT) AS strays, CAST(0 AS DOUBLE) AS max_diff_our_price, count(*) = 0 AS ok FROM {prices} WHERE product_code LIKE 'p1%'")
+def _(s):
+    """A mart that lacks the prices of some products."""
+    grain = ["period", "product_code"]
+    mart = star.price_premart(s.prices, grain, ["our_price"], "channel_code").where("product_code NOT LIKE 'p1%'")
+    return star.price_check(mart, s.prices, grain, ["our_price"])
+
+
+@query("sketched_cardinality", "SELECT substring(period, 1, 4) AS year, CAST(count(DISTINCT o_custkey) AS BIGINT) AS exact, true AS within FROM {files} GROUP BY substring(period, 1, 4)")
+def _(s):
+    """Distinct customers of each year by sketches of its periods, held against the exact count within three standard errors."""
+    year = F.substring("period", 1, 4).alias("year")
+    exact = s.files.groupBy(year).agg(F.count_distinct("o_custkey").alias("exact"))
+    sketches = agg.period_sketches(s.files, ["o_custkey"], "period")
+    guess = sketches.groupBy(year).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("guess"))
+    return exact.join(guess, "year").select("year", "exact", (F.abs(F.col("guess") - F.col("exact")) <= 0.027 * F.col("exact")).alias("within"))
 
 
 # --- profiling

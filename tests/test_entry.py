@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ("aggregate_spec", "first_match_classify", "parse_number_auto", "waterfall_rollup", "interval_overlap_self_join", "assign_surrogate_keys", "replace_periods", "drill_across_full_outer")
+SAMPLE = ("aggregate_spec", "first_match_classify", "parse_number_auto", "waterfall_rollup", "interval_overlap_self_join", "assign_surrogate_keys", "replace_periods", "drill_across_full_outer", "scan_incoming_folder", "clean_table_statistics", "normalize_period", "mart_load_export", "price_check", "sketched_cardinality", "additivity_safe_rollup")
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -65,10 +65,57 @@ def test_strict_star_fails_before_it_joins(spark, staged):
     with pytest.raises(ValueError, match="product_code=NEW"):
         flows.strict_star(wide, {"product_code": (dim, "nk")}, rates, {"GROSS_REVENUE": ["REV"]}, errors)
     assert [tuple(r) for r in spark.read.parquet(errors).collect()] == [("product_code", "NEW", 1)]
-    out = flows.strict_star(wide.where("product_code <> 'new'"), {"product_code": (dim, "nk")}, rates, {"GROSS_REVENUE": ["REV"]}).collect()
+    out = flows.strict_star(wide.where("product_code <> 'new' AND currency = 'EUR'"), {"product_code": (dim, "nk")}, rates, {"GROSS_REVENUE": ["REV"]}).collect()
     assert [(r["product_code_sk"], r["gross_revenue_reporting"]) for r in out] == [(1, D("225.00"))]
 
 
+def test_strict_star_isolates_an_entity_and_needs_rates(spark, staged):
+    wide, rates = staged[0], staged[6].unionByName(spark.createDataFrame([("2026-01", "PLN", D(1))], staged[6].schema))
+    dims = {"product_code": (spark.createDataFrame([(1, "P1"), (2, "NEW")], "sk long, nk string"), "nk")}
+    args = (dims, rates, {"GROSS_REVENUE": ["REV"]})
+    with pytest.raises(ValueError, match="no exchange rate: 2026-01 XXX, 2026-02 PLN"):
+        flows.strict_star(wide, *args)
+    with pytest.raises(ValueError, match="currency"):
+        flows.strict_star(wide, *args, entity="PL", currencies=["PLN"])
+    out = flows.strict_star(wide, *args, entity="PL", currencies=["PLN", "EUR"], periods="2026-01", target=scratch_folder(spark))
+    assert sorted((r["currency"], r["product_code_sk"], r["gross_revenue_reporting"]) for r in out.collect()) == [("EUR", 1, D("225.00")), ("PLN", 1, D("100.00"))]
+
+
+def test_additivity_is_carried_by_the_columns(spark, tmp_path):
+    df = spark.createDataFrame([("a", "2026-01", 1.0, 5.0, 2.0), ("a", "2026-02", 2.0, 7.0, 4.0)], "k string, period string, sales double, stock double, rate double")
+    classed = star.with_additivity(df, {"sales": "ADDITIVE", "stock": "SEMI_ADDITIVE", "rate": ("WEIGHTED", "sales")})
+    path = str(tmp_path / "mart")
+    classed.write.parquet(path)
+    again = spark.read.parquet(path)
+    assert star.additivity_of(again) == {"sales": "ADDITIVE", "stock": "SEMI_ADDITIVE", "rate": ("WEIGHTED", "sales")}
+    assert [tuple(r) for r in star.additivity_safe_rollup(again, ["k"], "period").collect()] == [("a", 3.0, 7.0, 10 / 3)]
+    with pytest.raises(ValueError, match="over time: .'stock'"):
+        star.additivity_safe_rollup(star.with_additivity(again, {"stock": "NON_ADDITIVE"}), ["k"], "period")
+    with pytest.raises(ValueError, match="no additivity"):
+        star.additivity_safe_rollup(df, ["k"], "period")
+    with pytest.raises(ValueError, match="unknown additivity"):
+        star.with_additivity(df, {"sales": "MAYBE"})
+
+
+def test_cardinality_sketches_of_periods_merge(spark):
+    df = spark.range(30_000).select((F.col("id") % 7000).alias("k"), (F.col("id") % 3).cast("string").alias("period"))
+    kept = aggregate.period_sketches(df.where("period <> '2'"), ["k"], "period")
+    both = aggregate.merge_sketches(kept, aggregate.period_sketches(df.where("period = '2'"), ["k"], "period"))
+    assert both.count() == 3
+    assert abs(aggregate.sketched_cardinality(both).first()[0] - 7000) < 210
+    assert aggregate.sketched_cardinality(both.limit(0)).first()[0] == 0
+
+
+def test_price_and_stock_checks_see_a_changed_mart(spark):
+    fact = spark.createDataFrame([("a", 10.0), ("a", 20.0), ("b", 5.0)], "g string, p double")
+    mart_ = spark.createDataFrame([("a", 15.0), ("b", 5.0), ("c", None)], "g string, p double")
+    ok = lambda m: star.price_check(m, fact, ["g"], ["p"]).first()
+    assert ok(mart_)["ok"]
+    assert not ok(mart_.where("g <> 'b'"))["ok"] and ok(mart_.where("g <> 'b'"))["strays"] == 1
+    assert ok(mart_.withColumn("p", F.col("p") + 1))["max_diff_p"] == 1.0
+    assert not ok(mart_.unionAll(mart_.where("g = 'a'")))["grain_unique"]
+
+
 MODEL = mart.MartModel("period", ["invoice"], [mart.Measure("amount", 10, 2)], [mart.Dimension("customer", ["customer"], ["name"], "period")], ["entity"])
 
 
