@@ -288,6 +288,17 @@ def recipe_reconcile(star: DataFrame, measures: Sequence[str], mapping: DataFram
     return source.join(out, "major_category", "full_outer").select("major_category", "source_total", F.coalesce("exported_total", F.lit(0).cast("decimal(38,6)")).alias("exported_total")).withColumn("matches", F.col("source_total") == F.col("exported_total"))
 
 
+def recipe_left_out(measures: Sequence[str] | DataFrame, mapping: DataFrame) -> DataFrame:
+    """(source_column, reason) of the measures that a recipe's totals don't hold: subtotal, non_monetary or unmapped.
+
+    A measure without an entry, or with an amount entry that has no major category, is unmapped.
+    """
+    names = measures if isinstance(measures, DataFrame) else mapping.sparkSession.createDataFrame([(m,) for m in measures], "source_column string")
+    entry = mapping.select("source_column", F.col("measure_type").alias("__t"), (F.trim(F.coalesce("major_category", F.lit(""))) != "").alias("__m"))
+    kind = F.when(F.col("__t") == "amount", F.when(~F.col("__m"), "unmapped")).when(F.col("__t").isin("subtotal", "non_monetary"), F.col("__t")).otherwise("unmapped")
+    return names.select("source_column").distinct().join(entry, "source_column", "left").select("source_column", kind.alias("reason")).where("reason IS NOT NULL")
+
+
 def long_cost_export(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
     """(keys..., measure, value) of cost measures; another kind is refused."""
     if bad := [m.column for m in measures if m.kind != "cost"]:

@@ -972,6 +972,16 @@ def _(s):
     return mt.unmapped_measures(s.accounts, mapping)
 
 
+@query("recipe_left_out", """SELECT source_column, CASE WHEN source_column LIKE '% qty %' THEN 'non_monetary' WHEN source_column LIKE '% total %' THEN 'subtotal' ELSE 'unmapped' END AS reason FROM {accounts}
+    WHERE source_column LIKE '% qty %' OR source_column LIKE '% total %' OR source_column LIKE '% misc %' OR source_column LIKE '% admin %'""")
+def _(s):
+    """Of all accounts, where those named misc have no entry and those named admin no category."""
+    has = lambda w: F.col("source_column").contains(f" {w} ")
+    kind = F.when(has("qty"), "non_monetary").when(has("total"), "subtotal").otherwise("amount")
+    entries = s.accounts.where(~has("misc")).select("source_column", kind.alias("measure_type"), F.when(~has("admin"), "cost").alias("major_category"))
+    return mt.recipe_left_out(s.accounts, entries)
+
+
 # --- incremental state
 
 REPLACED = "SELECT period, o_orderkey FROM {files} WHERE o_orderkey % 2 = 0 AND period NOT IN (SELECT period FROM {files} WHERE o_orderkey % 2 = 1 AND period >= '1998-01') UNION ALL SELECT period, o_orderkey FROM {files} WHERE o_orderkey % 2 = 1 AND period >= '1998-01'"
