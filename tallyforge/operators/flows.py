@@ -61,6 +61,16 @@ def build_dimensions(customers: DataFrame, products: DataFrame, inventory: DataF
     }
 
 
+def _unmapped_branches(facts: Mapping[str, DataFrame], price: str) -> dict[str, star.UnmappedBranch]:
+    """Each code of a star's facts, with what its unmapped rows weigh: revenue or else profit, stock value, mean price."""
+    pnl, stock, offers = star.with_results(facts["pnl"]), facts["inventory"], facts["price"]
+    sales = (star.revenue_or_profit("net_revenue_local", "operating_profit_local"), star.revenue_or_profit("net_revenue", "operating_profit"), "net revenue or absolute operating profit")
+    value = (F.sum("stock_value_local"), F.sum("stock_value"), "stock value")
+    mean = (F.avg(f"{price}_local"), F.avg(price), "mean price")
+    made = (("pnl", pnl, "customer", sales), ("pnl", pnl, "product", sales), ("inventory", stock, "product", value), ("inventory", stock, "warehouse", value), ("price", offers, "product", mean), ("price", offers, "channel", mean))
+    return {f"{name}_{dim}": star.UnmappedBranch(df, f"{dim}_sk", f"{dim}_code", *weight) for name, df, dim, weight in made}
+
+
 def tolerant_star(
     wide: DataFrame, inventory: DataFrame, prices: DataFrame, customers: DataFrame, products: DataFrame, rules: DataFrame, rates: DataFrame, *,
     entity: str, currencies: Sequence[str], reporting: str, accounts: Sequence[str], periods: str | None = None, allow_unmapped: bool = False, target: str | None = None,
@@ -68,8 +78,9 @@ def tolerant_star(
     """One entity's P&L, inventory and prices as a star, and the mart of all three on (period, entity, product).
 
     Rows of other entities and periods are left out and counted; a strange currency or period raises, as do money in
-    accounts without a rule (unless allowed), a missing rate, repeated members, and a mart that differs from its facts.
-    Unmapped codes get the key -1 and keep their code. Facts are aggregated to the grain before they are joined. The
+    accounts without a rule (unless allowed), a missing rate, repeated members, a fact that differs from the wide rows
+    it was made of, and a mart that differs from its facts. Unmapped codes get the key -1 and keep their code; what they
+    and the accounts without a rule weigh in both currencies is the check "unmapped". Facts are aggregated to the grain before they are joined. The
     facts are written once and read by the mart and the checks; with a target, all tables are published as one bundle.
     """
     staged, left_out = {}, {}
@@ -79,7 +90,7 @@ def tolerant_star(
     every = staged["pnl"].select("period").unionByName(staged["inventory"].select("period")).unionByName(staged["price"].select("period"))
     dims = {name: written(d) for name, d in build_dimensions(customers, products, staged["inventory"], staged["price"], rules, every).items()}
     star.unmapped_wide_accounts(staged["pnl"], accounts, rules, allow_unmapped)
-    pnl = star.wide_lines(staged["pnl"], accounts, rules, rates, reporting)
+    pnl = star.with_results(star.wide_lines(staged["pnl"], accounts, rules, rates, reporting, local=True), "_local")
     pnl = _coded(_coded(pnl, dims["customer"], "customer_code", "customer_sk"), dims["product"], "product_code", "product_sk")
     inv = fx_convert(staged["inventory"], rates, ["value", "cost"], reporting)
     inv = _coded(_coded(inv, dims["warehouse"], "warehouse_code", "warehouse_sk"), dims["product"], "product_code", "product_sk")
@@ -88,9 +99,9 @@ def tolerant_star(
     price = _coded(_coded(price, dims["channel"], "channel_code", "channel_sk"), dims["product"], "product_code", "product_sk")
     lines = [x.lower() for x in star.STATEMENT_LINES]
     facts = {
-        "pnl": written(pnl.select("period", "entity", "customer_sk", "customer_code", "product_sk", "product_code", "currency", "qty", *lines)),
-        "inventory": written(inv.select("period", "entity", "warehouse_sk", "warehouse_code", "product_sk", "product_code", "currency", F.col("qty").cast("decimal(18,6)").alias("stock_qty"), F.col("value_reporting").alias("stock_value"), F.col("cost_reporting").alias("stock_cost"), "dio")),
-        "price": written(price.select("period", "entity", "channel_sk", "channel_code", "product_sk", "product_code", "currency", *[F.col(f"{p}_reporting").alias(p) for p in offer])),
+        "pnl": written(pnl.select("period", "entity", "customer_sk", "customer_code", "product_sk", "product_code", "currency", "qty", *lines, "net_revenue_local", "operating_profit_local")),
+        "inventory": written(inv.select("period", "entity", "warehouse_sk", "warehouse_code", "product_sk", "product_code", "currency", F.col("qty").cast("decimal(18,6)").alias("stock_qty"), F.col("value").cast("decimal(38,6)").alias("stock_value_local"), F.col("value_reporting").alias("stock_value"), F.col("cost_reporting").alias("stock_cost"), "dio")),
+        "price": written(price.select("period", "entity", "channel_sk", "channel_code", "product_sk", "product_code", "currency", *[x for p in offer for x in (F.col(p).cast("decimal(38,6)").alias(f"{p}_local"), F.col(f"{p}_reporting").alias(p))])),
     }
     parts = {
         "pnl": star.with_results(star.product_premart(facts["pnl"], GRAIN, [*lines, "qty"], "customer_sk", "customer_code")),
@@ -105,12 +116,10 @@ def tolerant_star(
         "price": star.price_check(out, facts["price"], GRAIN, offer),
         "profit": star.reconcile(star.with_results(facts["pnl"]), out, "operating_profit", "operating_profit"),
         "members": star.dimension_uniqueness(dims["product"].where("sk <> -1"), "sk", "product_code").unionByName(star.dimension_uniqueness(dims["customer"].where("sk <> -1"), "sk", "customer_code")),
-        "unmapped": star.unmapped_code_report({
-            "pnl_customer": (facts["pnl"], "customer_sk", "customer_code", F.sum("gross_revenue")), "pnl_product": (facts["pnl"], "product_sk", "product_code", F.sum("gross_revenue")),
-            "inventory_product": (facts["inventory"], "product_sk", "product_code", F.sum("stock_value")), "price_product": (facts["price"], "product_sk", "product_code", F.avg(offer[0])),
-        }),
+        "wide_long": star.reconcile(staged["pnl"].select(star.signed_total(accounts, rules).alias("signed")), facts["pnl"], "signed", "operating_profit_local"),
+        "unmapped": star.unmapped_code_audit(_unmapped_branches(facts, offer[0]), star.unmapped_account_amounts(staged["pnl"], accounts, rules, rates, reporting)),
     }
-    for name in ("fanout", "stock", "price", "profit", "members"):
+    for name in ("members", "wide_long", "fanout", "stock", "price", "profit"):
         if not checks[name].where("NOT ok").isEmpty():
             raise ValueError(f"the mart's check failed: {name}")
     if target:

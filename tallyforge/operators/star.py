@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,8 +210,9 @@ def _entries(rules: DataFrame) -> dict[str, tuple[str, int]]:
     return {r["account_code"]: (r["statement_line"], r["sign_multiplier"]) for r in rules.select("account_code", "statement_line", "sign_multiplier").collect()}
 
 
-def wide_lines(wide: DataFrame, accounts: Sequence[str], rules: DataFrame, rates: DataFrame, reporting: str) -> DataFrame:
-    """Wide rows with one column per statement line: the reporting amounts of its accounts, each rounded to 6, added up.
+def wide_lines(wide: DataFrame, accounts: Sequence[str], rules: DataFrame, rates: DataFrame, reporting: str, local: bool = False) -> DataFrame:
+    """Wide rows with one column per statement line: the reporting amounts of its accounts, each rounded to 6, added up;
+    if `local`, also <line>_local in the row's own currency.
 
     Equals long_amounts and a sum by line, without a row for each account: the rules are resolved on the driver, and
     the rate is joined once a row. Accounts without a rule, and subtotals, are in no line.
@@ -222,18 +225,27 @@ def wide_lines(wide: DataFrame, accounts: Sequence[str], rules: DataFrame, rates
     out = wide.withColumns({signed[a]: (F.round(F.col(a).cast("decimal(18,6)"), 6) * F.lit(sign)).cast("decimal(18,6)") for parts in by.values() for a, sign in parts})
     out = fx_convert(out, rates, list(signed.values()), reporting)
     total = lambda parts: sum((_line_total(F.col(f"{signed[a]}_reporting")) for a, _ in parts), F.lit(0).cast("decimal(38,6)")).cast("decimal(38,6)")
-    out = out.withColumns({s.lower(): total(by.get(s, ())) for s in STATEMENT_LINES})
+    lines = {s.lower(): total(by.get(s, ())) for s in STATEMENT_LINES}
+    if local:
+        lines |= {f"{s.lower()}_local": sum((_line_total(F.col(signed[a])) for a, _ in by.get(s, ())), F.lit(0).cast("decimal(38,6)")).cast("decimal(38,6)") for s in STATEMENT_LINES}
+    out = out.withColumns(lines)
     return out.drop(*signed.values(), *[f"{x}_reporting" for x in signed.values()])
 
 
-def with_results(df: DataFrame) -> DataFrame:
-    """df with the five results of its seven statement line columns."""
+def signed_total(accounts: Sequence[str], rules: DataFrame) -> Column:
+    """A wide row's signed amounts of all accounts in a statement line, each rounded to 6, added up."""
+    used = [(a, sign) for a, (line, sign) in _entries(rules).items() if a in accounts and line in STATEMENT_LINES]
+    return sum((_line_total(F.round(F.col(a).cast("decimal(18,6)"), 6) * F.lit(sign)) for a, sign in used), F.lit(0).cast("decimal(38,6)")).cast("decimal(38,6)")
+
+
+def with_results(df: DataFrame, suffix: str = "") -> DataFrame:
+    """df with the five results of its seven statement line columns (all of the same suffix)."""
     out = df
     for name, parts in (
         ("net_revenue", ("gross_revenue", "sales_deduction")), ("gross_margin", ("net_revenue", "cogs")), ("variable_cost", ("logistics_cost", "promotion_cost", "warranty_cost")),
         ("contribution_margin", ("gross_margin", "variable_cost")), ("operating_profit", ("contribution_margin", "fixed_sgna")),
     ):
-        out = out.withColumn(name, sum((F.col(p) for p in parts[1:]), F.col(parts[0])).cast("decimal(38,6)"))
+        out = out.withColumn(f"{name}{suffix}", sum((F.col(f"{p}{suffix}") for p in parts[1:]), F.col(f"{parts[0]}{suffix}")).cast("decimal(38,6)"))
     return out
 
 
@@ -380,6 +392,54 @@ def unmapped_code_report(branches: Mapping[str, tuple[DataFrame, str, str, Colum
     return out
 
 
+def revenue_or_profit(revenue: str, profit: str) -> Column:
+    """The sum of net revenue, or where that is 0 of the absolute operating profit, as an aggregate."""
+    net = F.coalesce(F.sum(revenue), F.lit(0))
+    return F.when(net != 0, net).otherwise(F.coalesce(F.sum(F.abs(F.col(profit))), F.lit(0)))
+
+
+@dataclass(frozen=True)
+class UnmappedBranch:
+    """Where unmapped codes may be: rows with the key -1 in `sk`, and what they weigh in both currencies, as aggregates named by `basis`."""
+
+    rows: DataFrame
+    sk: str
+    code: str
+    local: Column
+    reporting: Column
+    basis: str
+
+
+AUDIT = ("kind", "period", "code", "currency", "rows", "impact_local", "impact_reporting", "basis")
+
+
+def unmapped_code_audit(branches: Mapping[str, UnmappedBranch], accounts: DataFrame | None = None) -> DataFrame:
+    """(kind, period, code, currency, rows, impact_local, impact_reporting, basis) of the branches, by raw code (blank:
+    UNKNOWN), and of the accounts that unmapped_account_amounts gives. Prices weigh by their mean, never by a sum."""
+    parts = []
+    for kind, b in branches.items():
+        code = F.coalesce(F.nullif(business_key(F.col(b.code)), F.lit("")), F.lit("UNKNOWN"))
+        six = lambda c: F.round(F.coalesce(c, F.lit(0)), 6).cast("decimal(38,6)")
+        found = b.rows.where(F.col(b.sk) == UNKNOWN_KEY).groupBy("period", code.alias("code"), "currency")
+        parts.append(found.agg(F.count(F.lit(1)).alias("rows"), six(b.local).alias("impact_local"), six(b.reporting).alias("impact_reporting")).select(F.lit(kind).alias("kind"), *AUDIT[1:-1], F.lit(b.basis).alias("basis")))
+    if accounts is not None:
+        parts.append(accounts.select(F.lit("pnl_account").alias("kind"), *AUDIT[1:-1], F.lit("raw account amount").alias("basis")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unmapped_account_amounts(wide: DataFrame, accounts: Sequence[str], rules: DataFrame, rates: DataFrame, reporting: str) -> DataFrame | None:
+    """(period, code, currency, rows, impact_local, impact_reporting) of the accounts without a rule, zeros included: raw
+    amounts without a sign. All of them are summed in one pass and only the sums are turned into rows; None without any."""
+    known = _entries(rules)
+    lost = [a for a in accounts if a not in known]
+    if not lost:
+        return None
+    raw = fx_convert(wide.withColumns({a: F.round(F.col(a).cast("decimal(18,6)"), 6) for a in lost}), rates, lost, reporting)
+    sums = raw.groupBy("period", "currency").agg(F.count(F.lit(1)).alias("rows"), *[_line_total(F.sum(c)).alias(c) for a in lost for c in (a, f"{a}_reporting")])
+    each = F.array(*[F.struct(F.lit(a).alias("code"), F.col(a).alias("impact_local"), F.col(f"{a}_reporting").alias("impact_reporting")) for a in lost])
+    return sums.select("period", "currency", "rows", F.inline(each)).select("period", "code", "currency", "rows", "impact_local", "impact_reporting")
+
+
 def unmapped_account_guard(long: DataFrame, allow: bool = False) -> DataFrame:
     """(account_code, rows, impact) of accounts without a rule and with money in them; raises on any unless allowed."""
     lost = long.where(F.col("statement_line").isNull()).groupBy("account_code").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.abs("amount")).alias("impact")).where("impact > 0")

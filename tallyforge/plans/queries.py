@@ -16,7 +16,7 @@ from tallyforge.operators import mart as mt
 from tallyforge.operators.filters import Condition as C
 from tallyforge.operators.filters import Rule
 from tallyforge.session import scratch_folder
-from tallyforge.sources import landing, sinks
+from tallyforge.sources import landing, sinks, tables
 from tallyforge.sources.revisions import Revisions, StaleRevision
 
 from .inputs import Source, oracle
@@ -129,6 +129,68 @@ def _(s):
     return rate_faults(shifted, "PLN")
 
 
+RATE_ENTRIES = "(SELECT substr(period, 1, 4) AS token, currency, rate FROM {rates} WHERE period LIKE '%-01' UNION ALL SELECT concat(substr(period, 1, 4), '-Q2') AS token, currency, rate FROM {rates} WHERE period LIKE '%-06' UNION ALL SELECT period AS token, currency, rate FROM {rates} WHERE period LIKE '%-03' OR period LIKE '%-05')"
+_MONTH_OF = "SELECT y.year, concat(y.year, '-', lpad(CAST(m AS VARCHAR), 2, '0')) AS period, m, currency FROM (SELECT DISTINCT substr(period, 1, 4) AS year, currency FROM {rates}) AS y CROSS JOIN range(1, 13) AS t(m)"
+
+
+@query("rates_from_json", f"""SELECT n.period, n.currency, CAST(coalesce(q.rate, own.rate, a.rate) AS DOUBLE) AS last_rate, CAST(coalesce(own.rate, q.rate, a.rate) AS DOUBLE) AS shortest_rate FROM ({_MONTH_OF}) AS n
+    LEFT JOIN (SELECT token, currency, rate FROM {RATE_ENTRIES} AS e) AS a ON a.token = n.year AND a.currency = n.currency LEFT JOIN (SELECT token, currency, rate FROM {RATE_ENTRIES} AS e) AS q ON q.token = concat(n.year, '-Q2') AND q.currency = n.currency AND m BETWEEN 4 AND 6
+    LEFT JOIN (SELECT token, currency, rate FROM {RATE_ENTRIES} AS e) AS own ON own.token = n.period AND own.currency = n.currency WHERE coalesce(q.rate, own.rate, a.rate) IS NOT NULL""")
+def _(s):
+    """Years, months and quarters of one file, in that order of a year's tokens: the last and the shortest entry of each month."""
+    path = scratch_folder(s.spark)
+    every = s.sql(f"SELECT * FROM {RATE_ENTRIES} AS e").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("currency", F.col("rate").cast("string")))).alias("of"))
+    tokens = F.transform(F.array_sort(F.collect_list(F.struct("token", "of"))), lambda e: F.struct(e["token"], F.map_from_entries(e["of"])))
+    every.agg(F.to_json(F.map_from_entries(tokens)).alias("value")).write.text(path)
+    last, shortest = (tables.load_rates(s.spark, path, "PLN", "json", specific=x).withColumnRenamed("rate", n) for x, n in ((False, "last_rate"), (True, "shortest_rate")))
+    return dbl(last.join(shortest, ["period", "currency"]), "last_rate", "shortest_rate")
+
+
+@query("rates_with_default", """SELECT DISTINCT b.period, b.currency, CAST(CASE WHEN r.rate IS NOT NULL THEN r.rate WHEN b.currency = 'USD' THEN 3.5 WHEN b.currency = 'PLN' THEN 1 END AS DOUBLE) AS rate, CASE WHEN r.rate IS NOT NULL THEN 'month' WHEN b.currency = 'USD' THEN 'default' WHEN b.currency = 'PLN' THEN 'reporting' END AS basis
+    FROM {base} AS b LEFT JOIN (SELECT * FROM {rates} WHERE currency <> 'PLN' AND (period LIKE '%-02' OR period LIKE '%-11')) AS r ON b.period = r.period AND b.currency = r.currency""")
+def _(s):
+    """The pairs of the facts, from a file of some months and a default for one currency."""
+    from tallyforge.operators.reference import rates_for
+
+    path = scratch_folder(s.spark)
+    rows = s.sql("SELECT period, currency AS currency_code, CAST(rate AS STRING) AS fx_rate FROM {rates} WHERE currency <> 'PLN' AND (period LIKE '%-02' OR period LIKE '%-11') UNION ALL SELECT 'default' AS period, ' usd ' AS currency_code, '3,5' AS fx_rate FROM {region} WHERE r_regionkey = 0")
+    sinks.write_result_csv(rows, path)
+    return dbl(rates_for(s.base, tables.load_rates(s.spark, path, "PLN", "csv"), "PLN", fallback=True), "rate")
+
+
+RULE_OF = """SELECT p_type AS account_code, concat(p_type, ' of ', CAST(min(p_size) AS STRING)) AS account_name, CASE min(p_partkey) % 3 WHEN 0 THEN 'GROSS_REVENUE' WHEN 1 THEN 'COGS' ELSE 'FIXED_SGNA' END AS statement_line,
+    CASE min(p_partkey) % 3 WHEN 2 THEN 'OPERATING_PROFIT' ELSE 'GROSS_MARGIN' END AS waterfall_step, CASE min(p_partkey) % 3 WHEN 0 THEN 'REVENUE' WHEN 1 THEN 'COGS' ELSE 'FIXED_COST' END AS cost_category,
+    CASE min(p_partkey) % 3 WHEN 0 THEN 1 ELSE -1 END AS sign_multiplier, min(p_partkey) % 2 = 0 AS is_subtotal FROM {part} GROUP BY p_type"""
+
+
+@query("account_rules_from_json", RULE_OF)
+def _(s):
+    """Rules kept by their codes, written loosely, loaded, saved as a list and loaded again."""
+    keyed, listed = scratch_folder(s.spark), scratch_folder(s.spark)
+    loose = s.sql(RULE_OF).withColumns({"statement_line": F.concat(F.lit(" "), F.lower("statement_line")), "sign_multiplier": F.concat(F.col("sign_multiplier").cast("string"), F.lit(" ")), "is_subtotal": F.when(F.col("is_subtotal"), "Yes").otherwise("")})
+    rule = F.struct(*[c for c in loose.columns if c != "account_code"])
+    loose.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("account_code", rule.alias("rule")))))).alias("value")).write.text(keyed)
+    tables.save_account_rules(tables.load_account_rules(s.spark, keyed, "json"), listed)
+    return tables.load_account_rules(s.spark, listed, "json")
+
+
+@query("reference_file_faults", """SELECT 'rate' AS kind, concat(period, ' ', currency) AS key, 'rate is not positive' AS message FROM {rates} WHERE period LIKE '%-02' UNION ALL SELECT 'rate', concat(period, ' ', currency), 'rate is not a number' FROM {rates} WHERE period LIKE '%-03'
+    UNION ALL SELECT 'rate', period, 'entry is incomplete' FROM {rates} WHERE period LIKE '%-04' UNION ALL SELECT 'rate', concat(substr(period, 1, 4), '-13 ', currency), 'period can''t be read' FROM {rates} WHERE period LIKE '%-05'
+    UNION ALL SELECT 'rate', concat(period, ' PLN'), 'reporting currency is not 1' FROM {rates} WHERE period LIKE '%-06' AND currency = 'PLN'
+    UNION ALL SELECT 'account', upper(account_code), CASE WHEN statement_line = 'COGS' THEN 'unknown cost category' WHEN statement_line = 'FIXED_SGNA' THEN 'sign is not 1 or -1' ELSE 'subtotal is neither true nor false' END FROM (""" + RULE_OF + ") AS r")
+def _(s):
+    from tallyforge.operators.reference import rate_entry_faults, rule_entry_faults
+
+    rates, rules = scratch_folder(s.spark), scratch_folder(s.spark)
+    bad = s.sql("""SELECT CASE WHEN period LIKE '%-05' THEN concat(substr(period, 1, 4), '-13') ELSE period END AS period, CASE WHEN period LIKE '%-04' THEN '' ELSE currency END AS currency,
+        CASE WHEN period LIKE '%-02' THEN '-1' WHEN period LIKE '%-03' THEN 'abc' WHEN period LIKE '%-06' AND currency = 'PLN' THEN '1,01' ELSE CAST(rate AS STRING) END AS rate FROM {rates}""")
+    sinks.write_result_csv(bad, rates)
+    line = F.col("statement_line")
+    odd = s.sql(RULE_OF).withColumns({"cost_category": F.when(line == "COGS", "FREIGHT").otherwise(F.col("cost_category")), "sign_multiplier": F.when(line == "FIXED_SGNA", "1.0").otherwise(F.col("sign_multiplier").cast("string")), "is_subtotal": F.when(line == "GROSS_REVENUE", "maybe").otherwise(F.col("is_subtotal").cast("string"))})
+    sinks.write_result_csv(odd, rules)
+    return rate_entry_faults(tables.scan_rates(s.spark, rates, "csv"), "PLN").unionByName(rule_entry_faults(tables.scan_account_rules(s.spark, rules, "csv")))
+
+
 def reread(s: Source, df: DataFrame, **kw) -> DataFrame:
     path = scratch_folder(s.spark)
     sinks.write_parquet(df, path, **kw)
@@ -892,6 +954,25 @@ def _(s):
     return unmapped(s)
 
 
+AUDIT_WIDE = """(SELECT w.period, upper(w.customer_code) AS customer_code, upper(w.product_code) AS product_code, w.currency, COST_LOG, round(CAST(COST_LOG AS DECIMAL(24,6)) * rate, 6) AS COST_LOG_R, REV_GROSS - DED_REBATE AS net, REV_GROSS - DED_REBATE - COGS_MAT - COST_PROMO - COST_WARRANTY - COST_FIXED AS op,
+    round(CAST(REV_GROSS AS DECIMAL(24,6)) * rate, 6) - round(CAST(DED_REBATE AS DECIMAL(24,6)) * rate, 6) AS net_r, round(CAST(REV_GROSS AS DECIMAL(24,6)) * rate, 6) - round(CAST(DED_REBATE AS DECIMAL(24,6)) * rate, 6) - round(CAST(COGS_MAT AS DECIMAL(24,6)) * rate, 6) - round(CAST(COST_PROMO AS DECIMAL(24,6)) * rate, 6) - round(CAST(COST_WARRANTY AS DECIMAL(24,6)) * rate, 6) - round(CAST(COST_FIXED AS DECIMAL(24,6)) * rate, 6) AS op_r
+    FROM (SELECT * REPLACE (CASE WHEN currency = 'EUR' THEN 0 ELSE REV_GROSS END AS REV_GROSS, CASE WHEN currency = 'EUR' THEN 0 ELSE DED_REBATE END AS DED_REBATE) FROM {wide} WHERE entity = 'PL') AS w JOIN {rates} AS r ON w.period = r.period AND w.currency = r.currency)"""
+_SALES = "CAST(count(*) AS BIGINT) AS rows, CAST(CASE WHEN sum(net) <> 0 THEN sum(net) ELSE sum(abs(op)) END AS DOUBLE) AS impact_local, CAST(CASE WHEN sum(net_r) <> 0 THEN sum(net_r) ELSE sum(abs(op_r)) END AS DOUBLE) AS impact_reporting, 'net revenue or absolute operating profit' AS basis"
+
+
+@query("unmapped_code_audit", f"""SELECT 'pnl_customer' AS kind, period, customer_code AS code, currency, {_SALES} FROM {AUDIT_WIDE} AS w WHERE customer_code NOT IN (SELECT nk FROM {{dim_customer}}) GROUP BY period, customer_code, currency
+    UNION ALL SELECT 'pnl_product', period, product_code, currency, {_SALES} FROM {AUDIT_WIDE} AS w WHERE product_code NOT IN (SELECT nk FROM {{dim_product}}) GROUP BY period, product_code, currency
+    UNION ALL SELECT 'pnl_account', period, 'COST_LOG', currency, CAST(count(*) AS BIGINT), CAST(sum(COST_LOG) AS DOUBLE), CAST(sum(COST_LOG_R) AS DOUBLE), 'raw account amount' FROM {AUDIT_WIDE} AS w GROUP BY period, currency
+    UNION ALL SELECT 'inventory_product', i.period, upper(i.product_code), i.currency, CAST(count(*) AS BIGINT), CAST(sum(value) AS DOUBLE), CAST(sum(round(CAST(value AS DECIMAL(24,6)) * rate, 6)) AS DOUBLE), 'stock value' FROM {{inv}} AS i JOIN {{rates}} AS r ON i.period = r.period AND i.currency = r.currency WHERE entity = 'PL' AND upper(i.product_code) NOT IN (SELECT nk FROM {{dim_product}}) GROUP BY i.period, upper(i.product_code), i.currency
+    UNION ALL SELECT 'price_product', p.period, upper(p.product_code), p.currency, CAST(count(*) AS BIGINT), CAST(max(our_price) AS DOUBLE), CAST(max(round(CAST(our_price AS DECIMAL(24,6)) * rate, 6)) AS DOUBLE), 'mean price' FROM {{prices}} AS p JOIN {{rates}} AS r ON p.period = r.period AND p.currency = r.currency WHERE entity = 'PL' AND upper(p.product_code) NOT IN (SELECT nk FROM {{dim_product}}) GROUP BY p.period, upper(p.product_code), p.currency""")
+def _(s):
+    """All branches of a star whose rules lack an account, and whose euro rows have no revenue."""
+    none = F.lit(0).cast("decimal(18,6)")
+    wide = s.wide.withColumns({c: F.when(F.col("currency") == "EUR", none).otherwise(F.col(c)) for c in ("REV_GROSS", "DED_REBATE")})
+    got = flows.tolerant_star(wide, s.inv, s.prices, s.customers, s.products, s.rules.where("account_code <> 'COST_LOG'"), s.rates, entity="PL", currencies=["PLN", "EUR", "USD"], reporting="PLN", accounts=ACCOUNTS, allow_unmapped=True)
+    return dbl(got.checks["unmapped"], "impact_local", "impact_reporting")
+
+
 @query("unmapped_code_log", UNMAPPED)
 def _(s):
     path, report = scratch_folder(s.spark), unmapped(s)

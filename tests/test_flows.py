@@ -44,6 +44,29 @@ def test_tolerant_star(spark, staged):
     assert all(r["ok"] for r in got.checks["fanout"].collect() + got.checks["profit"].collect() + got.checks["stock"].collect())
 
 
+def test_unmapped_audit_of_a_star(spark, staged):
+    wide, inv, prices, customers, products, rules, rates = staged
+    free = wide.withColumn("REV", F.when(F.col("product_code") == "new", D("1")).otherwise(F.col("REV")))  # DED is 1 too: no net revenue
+    costs = spark.createDataFrame([("TOTAL", "COGS", -1)], rules.schema)
+    inv = inv.unionByName(inv.limit(1).withColumns({"product_code": F.lit("gone"), "warehouse": F.lit(" ")}))
+    prices = prices.unionByName(prices.withColumn("product_code", F.lit("gone")))
+    got = flows.tolerant_star(free.withColumn("MISC", F.lit(0).cast("decimal(18,6)") + F.col("qty")), inv, prices, customers, products, rules.where("account_code <> 'TOTAL'").unionAll(costs), rates, **{**ARGS, "accounts": [*ARGS["accounts"], "MISC"]}, allow_unmapped=True)
+    found = {(r["kind"], r["period"], r["code"], r["currency"]): (r["rows"], r["impact_local"], r["impact_reporting"]) for r in got.checks["unmapped"].collect()}
+    assert found == {
+        ("pnl_customer", "2026-01", "C9", "EUR"): (1, D(50), D(225)),
+        ("pnl_product", "2026-02", "NEW", "PLN"): (1, D(3), D(3)),  # revenue 1 - 1 = 0, profit -3
+        ("pnl_account", "2026-01", "MISC", "PLN"): (1, D(2), D(2)), ("pnl_account", "2026-01", "MISC", "EUR"): (1, D(1), D("4.5")), ("pnl_account", "2026-02", "MISC", "PLN"): (1, D(3), D(3)),
+        ("inventory_product", "2026-01", "GONE", "PLN"): (1, D(30), D(30)), ("inventory_warehouse", "2026-01", "UNKNOWN", "PLN"): (1, D(30), D(30)),
+        ("price_product", "2026-01", "GONE", "PLN"): (2, D(15), D(15)),
+    }
+
+
+def test_a_fact_that_differs_from_its_wide_rows_is_refused(staged):
+    wide, inv, prices, customers, products, rules, rates = staged
+    with pytest.raises(ValueError, match="wide_long"):  # a rate given twice doubles the rows that use it
+        flows.tolerant_star(wide, inv, prices, customers, products, rules, rates.unionAll(rates), **ARGS)
+
+
 def test_tolerant_star_refuses(staged):
     wide, inv, prices, customers, products, rules, rates = staged
     with pytest.raises(ValueError, match="accounts without a rule: DED"):
