@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import dates, money, numbers, text
 from tallyforge.operators import aggregate as agg
 from tallyforge.operators import filters as flt
-from tallyforge.operators import flows, mapping, periods, profile, ranges, star
+from tallyforge.operators import flows, mapping, periods, profile, ranges, roles, star
 from tallyforge.operators import mart as mt
 from tallyforge.operators.filters import Condition as C
 from tallyforge.operators.filters import Rule
@@ -1245,6 +1245,20 @@ def _(s):
     return profile.profile_columns(s.files, ["o_orderstatus", "period_raw", "amount"]).select("column", "rows", "null_ratio", "distinct_values", "role")
 
 
+ROLE_COLUMNS = "SELECT concat('L', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS line_id, concat('L', CAST(l_orderkey AS STRING)) AS repeat_id, period, entity, customer_code, product_code, currency, qty, price FROM {base}"
+_ROW_KEY = "CASE WHEN count(DISTINCT {c}) > 0.8 * count(*) THEN 'row_key' ELSE 'dim_key' END"
+_NUMERIC = "CASE WHEN count_if(TRY_CAST({c} AS DOUBLE) IS NOT NULL) >= 0.85 * count({c}) THEN 'measure' ELSE 'unassigned' END"
+
+
+@query("suggest_roles", " UNION ALL ".join(f"""SELECT {k} AS at, '{c}' AS "column", {role.format(c=c)} AS role, {dim.format(c=c, role=role.format(c=c))} AS dimension, {kind} AS kind FROM ({ROLE_COLUMNS}) AS t""" for k, (c, role, dim, kind) in enumerate((
+    ("line_id", _ROW_KEY, "CASE WHEN {role} = 'dim_key' THEN 'line' END", "NULL"), ("repeat_id", _ROW_KEY, "CASE WHEN {role} = 'dim_key' THEN 'repeat' END", "NULL"), ("period", "CASE WHEN count_if(regexp_matches({c}, '^[0-9]{{4}}-[0-9]{{2}}$')) >= 0.8 * count({c}) THEN 'period' ELSE 'unassigned' END", "NULL", "NULL"),
+    ("entity", "CASE WHEN count(DISTINCT {c}) <= 10 THEN 'partition' ELSE 'unassigned' END", "NULL", "NULL"), ("customer_code", "CASE WHEN count({c}) > 0 THEN 'dim_key' END", "'고객/거래처'", "NULL"), ("product_code", "CASE WHEN count({c}) > 0 THEN 'dim_key' END", "'제품/품목'", "NULL"), ("currency", "CASE WHEN count({c}) > 0 THEN 'dim_key' END", "'통화'", "NULL"), ("qty", _NUMERIC, "NULL", "'quantity'"), ("price", _NUMERIC, "NULL", "'value'"),
+))))
+def _(s):
+    df = s.sql(ROLE_COLUMNS)
+    return roles.suggest_roles(profile.profile_columns(df), df.columns).drop("confidence")
+
+
 @query("vote_number_format", "SELECT 't' AS \"column\", CAST(sum(CASE WHEN regexp_matches(trim(t), '^[+-]?[0-9]{1,3}([ .][0-9]{3})+,[0-9]+$') OR regexp_matches(trim(t), '^[+-]?[0-9]+,([0-9]{1,2}|[0-9]{4,})$') THEN 1 ELSE 0 END) AS BIGINT) AS eu, CAST(sum(CASE WHEN regexp_matches(trim(t), '^[+-]?[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$') OR regexp_matches(trim(t), '^[+-]?[0-9]+[.]([0-9]{1,2}|[0-9]{4,})$') THEN 1 ELSE 0 END) AS BIGINT) AS us FROM {numtext}")
 def _(s):
     return profile.vote_number_format(s.numtext, ["t"]).drop("format")
