@@ -100,6 +100,22 @@ def duplicate_key_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return many.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"))
 
 
+def sampled_key_uniqueness(df: DataFrame, period: str, keys: Sequence[str], sample_rows: int | None = 1000, order: Sequence[str] = ()) -> DataFrame:
+    """One row: groups of equal keys (period and keys, trimmed, nulls as blanks) with several rows, and the rows looked at.
+
+    A quick look at the first rows before keys are settled on, or with None at all rows. Rows without a period are
+    looked at and belong to no group. Keys that df lacks are passed over; without the period or any key, nothing is looked at.
+    """
+    found = [k for k in keys if k in df.columns and k != period]
+    if period not in df.columns or not found:
+        return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("groups"), F.lit(0).cast("long").alias("rows"))
+    head = df.orderBy(*order) if order else df
+    head = head if sample_rows is None else head.limit(sample_rows)
+    cells = head.select(*[F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(f"k{i}") for i, c in enumerate([period, *found])])
+    each = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.count_if((F.col("n") > 1) & (F.col("k0") != "")).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
 def inspect_dataset(df: DataFrame, period: str, keys: Sequence[str], columns: Sequence[str], duplicates: str = "error", fmt: str = "auto") -> DataFrame:
     """One row of counts of faults, and is_valid. One scan; the duplicates are a second aggregate of its keys."""
     blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""

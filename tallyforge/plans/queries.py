@@ -645,6 +645,14 @@ def _(s):
     return periods.duplicate_key_groups(s.files, ["period", "o_custkey"])
 
 
+@query("sampled_key_uniqueness", """SELECT CAST(count(CASE WHEN n > 1 AND period <> '' THEN 1 END) AS BIGINT) AS groups, CAST(sum(n) AS BIGINT) AS rows, CAST((SELECT count(*) FROM (SELECT 1 FROM {files} GROUP BY period, o_custkey HAVING count(*) > 1) AS a) AS BIGINT) AS all_groups, CAST((SELECT count(*) FROM {files}) AS BIGINT) AS all_rows
+    FROM (SELECT period, o_custkey, count(*) AS n FROM (SELECT * FROM {files} ORDER BY o_orderkey LIMIT 1000) AS h GROUP BY period, o_custkey) AS t""")
+def _(s):
+    """The quick look at 1,000 rows, and the same of all rows."""
+    quick, whole = (periods.sampled_key_uniqueness(s.files, "period", ["o_custkey"], n, ["o_orderkey"] if n else ()) for n in (1000, None))
+    return quick.crossJoin(whole.withColumnsRenamed({"groups": "all_groups", "rows": "all_rows"}))
+
+
 CONTROLS = "SELECT period, entity, CAST(count(*) AS BIGINT) AS rows, CAST(sum(amount) AS DOUBLE) AS sum_amount FROM {mart} GROUP BY period, entity"
 
 

@@ -369,3 +369,11 @@ def test_stream_of_files(spark, tmp_path):
     store = Revisions(spark, str(tmp_path / "out"))
     assert sorted((r["period"], r["v"]) for r in store.read("rows", store.current()).collect()) == [("2024-01", 1), ("2024-02", 7)]
     assert store.current().number == 2 and store.current().details["batch"] == 1
+
+
+def test_sampled_key_uniqueness(spark):
+    df = spark.createDataFrame([("2024-01", "a"), ("2024-01", " a "), ("2024-01", None), ("2024-01", ""), ("", "b"), (None, "b"), ("2024-02", "a"), ("2024-02", "a")], "p string, k string")
+    look = lambda *a: tuple(periods.sampled_key_uniqueness(df, *a).first())
+    assert look("p", ["k"]) == (3, 8) and look("p", ["k"], 7) == (2, 7) and look("p", ["k"], None) == (3, 8)
+    assert look("q", ["k"]) == look("p", ["q"]) == look("p", []) == look("p", ["p"]) == (0, 0)
+    assert tuple(periods.sampled_key_uniqueness(df.limit(0), "p", ["k"]).first()) == (0, 0)
