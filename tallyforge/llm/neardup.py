@@ -151,14 +151,18 @@ def with_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     return df.join(_small(ids), F.col(id_col) == F.col("id"), how)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row per key; the rows of a key with over HEAVY of them are dealt out by the
-    hash of `by`, and right's row is copied for each part. counts: (key, m) of left, or of its keys with many rows."""
-    heavy = _small(saved(counts.where(F.col("m") > HEAVY).select(key, F.ceil(F.col("m") / HEAVY).alias("parts"))))
+def heavy_keys(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, parts) of the keys with over HEAVY rows: to how many tasks their rows are dealt. counts: (keys, m)."""
+    return _small(saved(counts.where(F.col("m") > HEAVY).select(*keys, F.ceil(F.col("m") / HEAVY).alias("parts"))))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key; the rows of a heavy key are dealt out by the hash of `by`,
+    and right's row is copied for each part. heavy: heavy_keys of left."""
     many = F.coalesce("parts", F.lit(1).cast("long"))
-    one = left.join(heavy, key, "left").withColumn("part", F.pmod(F.xxhash64(by), many)).drop("parts")
-    other = right.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("parts")
-    return one.join(other, [key, "part"], how).drop("part")
+    one = left.join(heavy, keys, "left").withColumn("part", F.pmod(F.xxhash64(by), many)).drop("parts")
+    other = right.join(heavy, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("parts")
+    return one.join(other, [*keys, "part"], how).drop("part")
 
 
 def _rows_of(df: DataFrame, key: str) -> DataFrame:
@@ -191,7 +195,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The saved pairs (a, b) whose full shingle sets are near."""
     sets = saved(shingle_sets(docs, reps, saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    both = spread_join(both, sets.select(F.col("node").alias("a"), F.col("set").alias("x")).join(_small(saved(pairs.select("a").distinct())), "a", "left_semi"), "a", "b", _rows_of(pairs, "a"))
+    both = spread_join(both, sets.select(F.col("node").alias("a"), F.col("set").alias("x")).join(_small(saved(pairs.select("a").distinct())), "a", "left_semi"), ["a"], "b", heavy_keys(_rows_of(pairs, "a"), "a"))
     common = F.size(F.array_intersect("x", "y"))
     return saved(both.withColumn("k", common).where(100 * F.col("k") >= NEAR * (F.size("x") + F.size("y") - F.col("k"))).select("a", "b"))
 
@@ -200,15 +204,17 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in the links (a, b): the smallest id reachable.
 
     Each turn takes the least label of the neighbours and then the label's own label; turns grow as the logarithm of
-    a component's width. Turns are written to the shared folder.
+    a component's width. Turns are written to the shared folder. Neither the links of one node nor the nodes of one
+    label meet in one task.
     """
     edges = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    wide = heavy_keys(_rows_of(edges, "b"), "b")
     labels = saved(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id").select("id", F.least("component", "m").alias("to"), F.col("component").alias("was"))
+        near = spread_join(edges, labels.select(F.col("id").alias("b"), "component"), ["b"], "a", wide).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        step = saved(labels.join(near, "id").select("id", F.least("component", "m").alias("to"), F.col("component").alias("was")))
         jump = labels.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        new = saved(step.join(jump, "to").select("id", F.least("to", "further").alias("component"), "was"))
+        new = saved(spread_join(step, jump, ["to"], "id", heavy_keys(_rows_of(step, "to"), "to")).select("id", F.least("to", "further").alias("component"), "was"))
         changed = new.where("component <> was").limit(1).count()
         labels = new.select("id", "component")
         if not changed:
@@ -284,7 +290,7 @@ def dealt_blocks(members: DataFrame, by: str) -> DataFrame:
     """Members dealt to pairs of blocks (i, j) of their group. A group's blocks hold about BLOCK members each, or
     BLOCK_SHINGLES if that is less, so that a group of G members makes G * (1 + G / BLOCK) rows; groups of fewer are one block."""
     sizes = saved(members.groupBy(by).agg(F.count(F.lit(1)).alias("m"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")).where("m > 1"))
-    here = spread_join(members, sizes.select(by, "blocks"), by, "id", sizes).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    here = spread_join(members, sizes.select(by, "blocks"), [by], "id", heavy_keys(sizes, by)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     here = here.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return here.select(F.col(by).alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *[c for c in members.columns if c != by])
 
@@ -354,7 +360,7 @@ def _open_buckets(named: DataFrame) -> DataFrame:
     word = F.xxhash64("id").cast("decimal(20,0)")
     told = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(word).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     told = saved(told.groupBy("m", "h", "x").agg(F.min("key").alias("key")))
-    return spread_join(named, told.select("key"), "key", "id", told)
+    return spread_join(named, told.select("key"), ["key"], "id", heavy_keys(told, "key"))
 
 
 def rest_of_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -398,23 +404,28 @@ def _groups(docs: DataFrame) -> DataFrame:
     """(id, word, n, component_id, kept) of every row (id, text); word is a hash of the text."""
     signed = saved(signatures(docs.withColumn("word", F.xxhash64("text"))))
     worded = signed.where("n > 0 AND id IS NOT NULL")
-    reps = saved(worded.withColumnRenamed("id", "rep").dropDuplicates(["hi", "lo", "n"]).withColumn("node", F.monotonically_increasing_id()))
+    classes = worded.groupBy("hi", "lo", "n").agg(*[F.any_value(c).alias(to) for c, to in (("id", "rep"), ("sig", "sig"), ("bands", "bands"))], F.count(F.lit(1)).alias("m"))
+    reps = saved(classes.withColumn("node", F.monotonically_increasing_id()))
     banded = reps.select("node", F.explode("bands").alias("key"))
     met = saved(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1"))
-    buckets = saved(spread_join(banded, met.select("key", "pivot"), "key", "node", met))
+    buckets = saved(spread_join(banded, met.select("key", "pivot"), ["key"], "node", heavy_keys(met, "key")))
     sigs = reps.select("node", "sig")
     stars = saved(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     near = stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    near = spread_join(near, sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a", "b", _rows_of(stars, "a"))
+    near = spread_join(near, sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), ["a"], "b", heavy_keys(_rows_of(stars, "a"), "a"))
     near = saved(near.where(estimate(matching(F.col("x"), F.col("y"))) >= CUTOFF).select("a", "b"))
     links = confirmed(docs, reps, near)
     more = rest_of_links(docs, reps, buckets, components(links))
     labels = components(links.unionByName(more)).withColumnRenamed("id", "node")
     of_class = reps.select("node", "hi", "lo", "n").join(labels, "node", "left").select("hi", "lo", "n", F.coalesce("component", "node").alias("component"))
-    out = saved(signed.select("id", "word", "n", "hi", "lo").join(of_class, ["hi", "lo", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))).select("id", "word", "n", "component"))
+    copies = heavy_keys(reps.select("hi", "lo", "n", "m"), "hi", "lo", "n")
+    out = saved(spread_join(worded.select("id", "word", "n", "hi", "lo"), of_class, ["hi", "lo", "n"], "id", copies).select("id", "word", "n", "component"))
     # Components of one document have no row in `least`; that document is their first.
-    least = saved(out.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    out = spread_join(out, least.select("component", "first"), "component", "id", least, "left")
+    least = saved(out.groupBy("component").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    out = spread_join(out, least.select("component", "first"), ["component"], "id", heavy_keys(least, "component"), "left")
+    # Rows without shingles or id are linked with nothing and meet in no join.
+    alone = signed.where("n = 0 OR id IS NULL").select("id", "word", "n", F.lit(None).cast("long").alias("first"))
+    out = out.select("id", "word", "n", "first").unionByName(alone)
     component = F.coalesce("first", "id")
     return out.select("id", "word", "n", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
