@@ -90,7 +90,7 @@ def period_form(c: Column) -> Column:
     """Length of a valid period: 6 (YYYYMM), 7 (YYYY-MM) or 10 (a date); null for any other text."""
     t = c.cast("string")
     day = F.when(t.rlike("^[0-9]{6}$"), F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2), F.lit("-01"))).when(t.rlike("^[0-9]{4}-[0-9]{2}$"), F.concat(t, F.lit("-01"))).when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), t)
-    return F.when(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).isNotNull(), F.length(t))
+    return F.when(day.try_cast("date").isNotNull(), F.length(t))
 
 
 def exact_measure(m: Measure) -> Column:

@@ -152,12 +152,16 @@ def lookup_surrogate_left(fact: DataFrame, dim: DataFrame, code: str, nk: str, s
 
 
 def fk_missing(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(column, code, n) of fact codes that their dimension lacks, null codes too; the most frequent first."""
-    out = None
-    for column, (dim, key) in dims.items():
-        lost = fact.join(dim.select(F.col(key).alias("__k")).distinct(), F.col(column) == F.col("__k"), "left_anti").groupBy(F.col(column).cast("string").alias("code")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(column).alias("column"), "code", "n")
-        out = lost if out is None else out.unionByName(lost)
-    return out.orderBy("column", F.desc("n"), "code")
+    """(column, code, n) of fact codes that their dimension lacks, null codes too; the most frequent first.
+
+    The codes of all columns are counted in one pass over the fact, so that only distinct ones meet the keys; both are
+    compared as text.
+    """
+    text = lambda c: F.col(c).cast("string").alias("code")
+    cells = fact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c)) for c in dims])).alias("cell")).select("cell.*")
+    counts = cells.groupBy("column", "code").agg(F.count(F.lit(1)).alias("n"))
+    keys = reduce(DataFrame.unionByName, (dim.select(F.lit(c).alias("column"), text(key)) for c, (dim, key) in dims.items()))
+    return counts.join(keys, ["column", "code"], "left_anti").select("column", "code", "n").orderBy("column", F.desc("n"), "code")
 
 
 def fk_anti_join_failfast(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, str]], errors: str | None = None) -> None:
