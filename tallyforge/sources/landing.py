@@ -41,14 +41,30 @@ def header_names(cells: Sequence[str | None]) -> list[str]:
     return out
 
 
+def _first_lines(batches: Iterator) -> Iterator:
+    """The first row of each run of one uri: a file's first block is read by one task, in order and in one go, so nothing is sorted or held."""
+    import pyarrow.compute as pc
+
+    last = None
+    for batch in batches:
+        uris = batch.column("uri")
+        if not batch.num_rows or (uris[0].as_py() == last == uris[-1].as_py()):
+            continue
+        starts = [i + 1 for i, differs in enumerate(pc.not_equal(uris[1:], uris[:-1]).to_pylist()) if differs]
+        if uris[0].as_py() != last:
+            starts.insert(0, 0)
+        last = uris[-1].as_py()
+        yield batch.take(starts)
+
+
 def file_headers(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
     """(file, names, broken): the cells of each file's first record, and whether it has line breaks within quotes.
 
     Only the files' first blocks are read, but for files whose first line ends within quotes.
     """
     lines = spark.read.option("encoding", CHARSETS.get(encoding.lower(), encoding)).text(paths)
-    first = lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value").where("b = 0")
-    heads = first.groupBy("uri").agg(F.min_by("value", "i").alias("value"))
+    first = lines.where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("uri"), "value")
+    heads = first.mapInArrow(_first_lines, "uri string, value string")
     heads = heads.select(decoded_path(F.col("uri")).alias("file"), csv_cells(F.col("value"), delimiter).alias("names"), (~_closed(F.col("value"), delimiter)).alias("broken"))
     open_ = [r[0] for r in heads.where("broken").select("file").collect()]  # one row a file
     if not open_:

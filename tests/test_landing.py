@@ -156,3 +156,12 @@ def test_one_of_several_creators_wins(spark, tmp_path):
     assert [files.create_once(spark, path, str(k)) for k in range(3)] == [True, False, False]
     assert files.read_text(spark, path) == "0" and [n for n in files.names(spark, str(tmp_path / "log")) if not n.startswith(".")] == ["1.json"]
     assert files.names(spark, str(tmp_path / "nowhere")) == []
+
+
+def test_headers_are_read_without_a_sort(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text(f"a{i};b\n" + "1;2\n" * 2500 * i)
+    got = landing.file_headers(spark, str(tmp_path), ";")
+    assert sorted(tuple(r["names"]) for r in got.collect()) == [(f"a{i}", "b") for i in range(5)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
