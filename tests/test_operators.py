@@ -377,3 +377,33 @@ def test_sampled_key_uniqueness(spark):
     assert look("p", ["k"]) == (3, 8) and look("p", ["k"], 7) == (2, 7) and look("p", ["k"], None) == (3, 8)
     assert look("q", ["k"]) == look("p", ["q"]) == look("p", []) == look("p", ["p"]) == (0, 0)
     assert tuple(periods.sampled_key_uniqueness(df.limit(0), "p", ["k"]).first()) == (0, 0)
+
+
+def premart_facts(spark):
+    d = lambda x: Decimal(x)
+    pnl = spark.createDataFrame([("m", "a", 1, "C1", d("1.50")), ("m", "a", 1, "C1", d("2.25")), ("m", "a", -1, "Z", d("0.25")), ("m", "a", -1, "Y", None), ("m", "b", 2, "C2", d("4.00"))], "period string, code string, sk long, customer string, amount decimal(12,2)")
+    stock = spark.createDataFrame([("m", "a", "w1", d("10.000000"), d("3.000000")), ("m", "a", "w2", d("30.000000"), d("5.000000")), ("m", "c", "w1", d("-1.000000"), d("8.000000")), ("m", "c", None, d("0.000000"), None)], "period string, code string, w string, value decimal(18,6), dio decimal(12,6)")
+    offers = spark.createDataFrame([("m", "b", "k1", d("7.10")), ("m", "b", "k1", None), ("m", "b", "k2", d("8.10")), ("n", "a", "k2", None)], "period string, code string, channel string, price decimal(12,2)")
+    return pnl, stock, offers
+
+
+def test_premarts_equal_the_joined_ones_with_one_shuffle(spark):
+    pnl, stock, offers = premart_facts(spark)
+    grain = ["period", "code"]
+    want = star.drill_across({"p": star.product_premart(pnl, grain, ["amount"], "sk", "customer"), "i": star.inventory_premart(stock, grain, "value", [], "w"), "o": star.price_premart(offers, grain, ["price"], "channel")}, grain)
+    got = star.premarts([star.PremartPart(pnl, "customers", star.customer("sk", "customer"), ["amount"]), star.PremartPart(stock, "warehouses", F.col("w"), ["value"], weight="value"), star.PremartPart(offers, "channels", F.col("channel"), prices=["price"])], grain)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) and want.count() == 4
+    assert dict(got.dtypes) == dict(want.dtypes)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_sums_by_grain_are_compared_without_dealing_rows(spark):
+    pnl, _, _ = premart_facts(spark)
+    grain = ["period", "code"]
+    mart = pnl.groupBy(*grain).agg(F.sum("amount").alias("amount"))
+    assert star.same_by_grain(mart, [(pnl, ["amount"])], grain)
+    moved = mart.withColumn("amount", F.when(F.col("code") == "a", F.col("amount") + 1).otherwise(F.col("amount") - 1))  # the total stays
+    assert not star.same_by_grain(moved, [(pnl, ["amount"])], grain)
+    split = mart.unionByName(mart.withColumn("amount", F.lit(0).cast("decimal(22,2)")))
+    assert not star.same_by_grain(split, [(pnl, ["amount"])], grain)
+    assert not star.same_by_grain(mart.withColumn("amount", F.lit("1e15").cast("decimal(38,6)")), [(pnl, ["amount"])], grain)
