@@ -241,7 +241,8 @@ def load_mart(df: DataFrame, model: mart.MartModel, target: str, seq: str | None
         return MartLoad(store, base, False, model)
     if len(fresh) < len(staged):
         few = spark.createDataFrame([tuple(json.loads(k)) for k in fresh], ", ".join(f"`{c}` string" for c in scope))
-        stage = stage.join(F.broadcast(few), scope, "left_semi")
+        near = stage.where(F.col(model.period).isin(sorted({json.loads(k)[0] for k in fresh})))  # a plain filter passes most rows over before they meet the scopes
+        stage = written(near.join(F.broadcast(few), scope, "left_semi"))  # read several times from now on
     parts, keyed = {}, stage
     for d in model.dimensions:
         old = store.read(f"dim_{d.name}", base) if base.number else None
@@ -309,7 +310,7 @@ def merge_members(stage: DataFrame, old: DataFrame | None, d: mart.Dimension, st
     nk = F.to_json(F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(k) for k in d.keys]))
     authority = F.coalesce(F.col(d.authority).cast("string"), F.lit("")) if d.authority else F.lit("")
     attributes = list(dict.fromkeys([*d.keys, *d.attributes]))
-    members = written(stage.select(nk.alias("nk"), authority.alias("authority"), *attributes).distinct())
+    members = written(stage.select(authority.alias("authority"), *attributes).distinct().select(nk.alias("nk"), "authority", *attributes))
     if old is None:
         old = members.limit(0).select(F.lit(0).cast("long").alias("sk"), "*")
     if d.authority:

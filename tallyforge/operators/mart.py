@@ -95,7 +95,7 @@ def period_form(c: Column) -> Column:
 
 def exact_measure(m: Measure) -> Column:
     """A measure's text as its declared decimal; null where it is blank or inexact."""
-    value = F.nullif(trimmed(F.col(m.column)), F.lit("")).try_cast("decimal(38,18)" if m.scale <= 18 else m.type)
+    value = trimmed(F.col(m.column)).try_cast("decimal(38,18)" if m.scale <= 18 else m.type)
     return value.try_cast(m.type)
 
 

@@ -239,6 +239,17 @@ def test_a_load_that_dies_leaves_the_mart_as_it_was(spark, loaded, monkeypatch):
     assert Revisions(spark, target).current() == now.at
 
 
+def test_a_load_of_few_scopes_goes_on_with_their_rows_alone(spark, monkeypatch):
+    target = scratch_folder(spark)
+    flows.load_mart(invoices(spark, *FIRST), MODEL, target)
+    seen, real = [], flows.merge_members
+    monkeypatch.setattr(flows, "merge_members", lambda stage, *a: seen.append(stage) or real(stage, *a))
+    load = flows.load_mart(invoices(spark, *SECOND, FIRST[1]), MODEL, target)
+    assert load.at.details["loaded"] == {"scopes": 1, "rows": 2}
+    assert sorted(r["invoice"] for r in spark.read.parquet(*seen[0].inputFiles()).collect()) == ["3", "4"]  # what is read again from now on
+    assert "Join" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exports_need_an_approval_of_this_revision(spark, tmp_path):
     target, out = scratch_folder(spark), str(tmp_path / "out")
     load = flows.load_mart(invoices(spark, *FIRST), MODEL, target)

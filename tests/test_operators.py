@@ -44,6 +44,10 @@ def test_auto_numbers_and_syntax(spark):
     assert column(spark, ["12.34", "12,34", "1 234,5", "", "-", None], lambda c: numbers.number_syntax_ok(c, "eu")) == [False, True, True, True, True, True]
 
 
+def test_lossless_decimals_at_the_edges(spark):
+    assert column(spark, ["9999.99", "9999.995", "1.20" + "0" * 30, "1.20" + "0" * 30 + "1", "1.1949999999999999999999", "-9999.990"], lambda c: numbers.decimal_lossless(c, 6, 2)) == [True, False, True, False, False, True]
+
+
 def test_lossless_decimals_and_text(spark):
     assert column(spark, ["1.20", "1.234", "1e2", "12345.6", "", None, "x", "5.95E-11"], lambda c: numbers.decimal_lossless(c, 6, 2)) == [True, False, True, False, True, True, False, False]
     assert column(spark, ["0.000", "-0.5000", "120", "0.0000000001", "12.30"], lambda c: numbers.plain_decimal_text(c.cast("decimal(30,18)"))) == ["0", "-0.5", "120", "0.0000000001", "12.3"]
