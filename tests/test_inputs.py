@@ -1,6 +1,7 @@
 """Inputs of the queries."""
 
 from tallyforge.plans.inputs import INPUTS, Source
+from tallyforge.plans.queries import QUERIES
 
 
 def test_base_meets_customers_before_lines_and_is_written_once(spark):
@@ -13,3 +14,29 @@ def test_base_meets_customers_before_lines_and_is_written_once(spark):
     assert base.count() == plain.count() and s.base is base
     plan = s.inv._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_joins_of_shuffled_rows_sort_no_side(spark):
+    star_rejoin = QUERIES["star_rejoin"]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    whole = sorted(star_rejoin(spark, "/root/testdata/sf0.001").collect())
+    spark.conf.set(limit, "-1")
+    try:
+        df = star_rejoin(spark, "/root/testdata/sf0.001")
+        assert sorted(df.collect()) == whole
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set(limit, before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_sessions_own_limit_of_hash_tables_stays(spark):
+    limit = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1m")
+    try:
+        Source(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.set(limit, before)
