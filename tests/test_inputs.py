@@ -40,3 +40,9 @@ def test_a_sessions_own_limit_of_hash_tables_stays(spark):
         assert spark.conf.get(limit) == "1m"
     finally:
         spark.conf.set(limit, before)
+
+
+def test_shares_grow_with_a_table(spark):
+    s = Source(spark, "/root/testdata/sf0.001")
+    n = s.lineitem.count()
+    assert s.shares("lineitem", 100) == -(-n // 100) and s.shares("lineitem", n) == spark.sparkContext.defaultParallelism

@@ -44,6 +44,14 @@ def test_auto_numbers_and_syntax(spark):
     assert column(spark, ["12.34", "12,34", "1 234,5", "", "-", None], lambda c: numbers.number_syntax_ok(c, "eu")) == [False, True, True, True, True, True]
 
 
+def test_facts_of_a_near_key_are_dealt_before_they_are_summed(spark):
+    df = spark.createDataFrame([("a", 1, 1.5, None), ("a", 1, 2.5, 2.0), ("b", 1, None, 4.0), (None, 2, 3.0, 6.0)], "g string, h int, p double, q double")
+    dealt = star.price_fact(df, ["g", "h"], ["p", "q"], 3)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, star.price_fact(df, ["g", "h"], ["p", "q"]).collect()))
+    plan = dealt._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange") and plan.count("Exchange") == 1
+
+
 def test_lossless_decimals_at_the_edges(spark):
     assert column(spark, ["9999.99", "9999.995", "1.20" + "0" * 30, "1.20" + "0" * 30 + "1", "1.1949999999999999999999", "-9999.990"], lambda c: numbers.decimal_lossless(c, 6, 2)) == [True, False, True, False, False, True]
 
