@@ -184,6 +184,15 @@ def test_star_totals(spark):
         star.unmapped_account_guard(star.long_amounts(star.unpivot_accounts(wide, ["period", "currency"], ["REV"]), rules.where("account_code <> 'REV'"), rates, "PLN"))
 
 
+def test_the_signed_waterfall_is_reconciled_in_both_currencies(spark):
+    rows = [("2026-01", "p", "GROSS_REVENUE", "100", "450"), ("2026-01", "p", "COGS", "-60", "-270"), ("2026-01", "q", "SUBTOTAL_IGNORED", "0", "0"), ("2026-02", "q", None, "0", "0")]
+    long = spark.createDataFrame([(*r[:3], Decimal(r[3]), Decimal(r[4])) for r in rows], "period string, code string, statement_line string, signed decimal(18,6), signed_reporting decimal(38,6)")
+    assert star.signed_waterfall_reconcile(long, ["period", "code"]).first().asDict() == {"left_total": Decimal(180), "right_total": Decimal(180), "left_local": Decimal(40), "right_local": Decimal(40), "ok": True}
+    lost = long.unionByName(long.limit(1).withColumns({"statement_line": F.lit("NO_SUCH_LINE"), "signed_reporting": F.lit(0).cast("decimal(38,6)")}))
+    got = star.signed_waterfall_reconcile(lost, ["period", "code"]).first()
+    assert got["left_total"] == got["right_total"] and got["left_local"] - got["right_local"] == 100 and not got["ok"]  # only the local amounts differ
+
+
 def test_keys_never_change(spark):
     none = spark.createDataFrame([], "sk long, nk string")
     codes = lambda *c: spark.createDataFrame([(x,) for x in c], "nk string")
