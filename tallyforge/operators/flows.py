@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.dates import normalize_period, period_from_name
 from tallyforge.functions.money import fx_convert
 from tallyforge.functions.text import business_key
-from tallyforge.session import written
+from tallyforge.session import as_dealt, scratch_folder, written
 from tallyforge.sources import landing, sinks
 from tallyforge.sources.files import create_once, names, read_text
 from tallyforge.sources.revisions import Part, Revision, Revisions, replaced
@@ -41,9 +41,15 @@ def _registry(keys: DataFrame, key: str) -> DataFrame:
     return star.assign_surrogate_keys(empty, keys.select(F.col(key).alias("nk")))
 
 
-def _coded(fact: DataFrame, dim: DataFrame, code: str, sk: str) -> DataFrame:
-    """fact with the member's key, -1 for an unmapped code, and the code normalised."""
-    return star.lookup_surrogate_left(fact, dim, code, code, "sk", sk).withColumn(code, F.coalesce(F.nullif(business_key(F.col(code)), F.lit("")), F.lit("UNKNOWN")))
+#: So many rows of a fact go to a bucket, at most where codes are spread evenly.
+BUCKET_ROWS = 500_000
+
+
+def _coded(fact: DataFrame, dim: DataFrame, code: str, sk: str, buckets: int | None = None) -> DataFrame:
+    """fact with the member's key, -1 for an unmapped code, and the code normalised; dealt by the code into buckets where a number is given."""
+    plain = fact.withColumn(code, business_key(F.col(code)))
+    plain = plain.repartition(buckets, code) if buckets else plain
+    return star.lookup_surrogate_left(plain, dim, code, code, "sk", sk, exact=True).withColumn(code, F.coalesce(F.nullif(F.col(code), F.lit("")), F.lit("UNKNOWN")))
 
 
 def build_dimensions(customers: DataFrame, products: DataFrame, inventory: DataFrame, prices: DataFrame, rules: DataFrame, months: DataFrame) -> dict[str, DataFrame]:
@@ -81,40 +87,60 @@ def tolerant_star(
     accounts without a rule (unless allowed), a missing rate, repeated members, a fact that differs from the wide rows
     it was made of, and a mart that differs from its facts. Unmapped codes get the key -1 and keep their code; what they
     and the accounts without a rule weigh in both currencies is the check "unmapped". Facts are aggregated to the grain before they are joined. The
-    facts are written once and read by the mart and the checks; with a target, all tables are published as one bundle.
+    facts and the mart are written once, in buckets of the product code, and read by the checks without a shuffle; with a
+    target they are written there, and all tables are published as one bundle after the checks. All rows of a product go
+    through one task.
     """
-    staged, left_out = {}, {}
+    spark = wide.sparkSession
+    store = Revisions(spark, target or scratch_folder(spark))
+    staged, left_out, parts = {}, {}, {}
     for name, df in (("pnl", wide), ("inventory", star.inventory_source(inventory)), ("price", prices)):
         mine, left_out[name] = filters.isolate_entity(df, entity, currencies, periods)
         staged[name] = mine.withColumns({c: F.upper(F.trim(c)) for c in ("entity", "currency")})
-    every = staged["pnl"].select("period").unionByName(staged["inventory"].select("period")).unionByName(staged["price"].select("period"))
-    dims = {name: written(d) for name, d in build_dimensions(customers, products, staged["inventory"], staged["price"], rules, every).items()}
+    buckets = max(spark.sparkContext.defaultParallelism, *(-(-n["kept"] // BUCKET_ROWS) for n in left_out.values()))
+    rates = written(rates)
+    dims = {}
+
+    def keep(name: str, df: DataFrame) -> None:
+        parts[f"dim_{name}"] = store.write(f"dim_{name}", df)
+        dims[name] = store.read_part(f"dim_{name}", parts[f"dim_{name}"])
+
+    def dealt(name: str, df: DataFrame, order: Sequence[str]) -> DataFrame:
+        parts[name], rows = store.write_dealt(name, df, "product_code", buckets, order)
+        return rows
+
+    for name, d in build_dimensions(customers, products, staged["inventory"], staged["price"], rules, staged["pnl"]).items():
+        if name != "date":  # its months are read from the facts
+            keep(name, d)
     star.unmapped_wide_accounts(staged["pnl"], accounts, rules, allow_unmapped)
     # codes first: raw rows are narrower in the shuffles than those with lines and both currencies
-    pnl = _coded(_coded(staged["pnl"], dims["customer"], "customer_code", "customer_sk"), dims["product"], "product_code", "product_sk")
+    pnl = _coded(_coded(staged["pnl"], dims["customer"], "customer_code", "customer_sk"), dims["product"], "product_code", "product_sk", buckets)
     pnl = star.with_results(star.wide_lines(pnl, accounts, rules, rates, reporting, local=True), "_local")
-    inv = _coded(_coded(staged["inventory"], dims["warehouse"], "warehouse_code", "warehouse_sk"), dims["product"], "product_code", "product_sk")
+    inv = _coded(_coded(staged["inventory"], dims["warehouse"], "warehouse_code", "warehouse_sk"), dims["product"], "product_code", "product_sk", buckets)
     inv = fx_convert(inv, rates, ["value", "cost"], reporting)
     offer = [c for c in prices.columns if c.endswith("_price")]
-    price = _coded(_coded(staged["price"], dims["channel"], "channel_code", "channel_sk"), dims["product"], "product_code", "product_sk")
+    price = _coded(_coded(staged["price"], dims["channel"], "channel_code", "channel_sk"), dims["product"], "product_code", "product_sk", buckets)
     price = fx_convert(price, rates, offer, reporting)
-    lines = [x.lower() for x in star.STATEMENT_LINES]
+    lines, keys = [x.lower() for x in star.STATEMENT_LINES], ["product_code", "product_sk", "period", "entity"]
     facts = {
-        "pnl": written(pnl.select("period", "entity", "customer_sk", "customer_code", "product_sk", "product_code", "currency", "qty", *lines, "net_revenue_local", "operating_profit_local")),
-        "inventory": written(inv.select("period", "entity", "warehouse_sk", "warehouse_code", "product_sk", "product_code", "currency", F.col("qty").cast("decimal(18,6)").alias("stock_qty"), F.col("value").cast("decimal(38,6)").alias("stock_value_local"), F.col("value_reporting").alias("stock_value"), F.col("cost_reporting").alias("stock_cost"), "dio")),
-        "price": written(price.select("period", "entity", "channel_sk", "channel_code", "product_sk", "product_code", "currency", *[x for p in offer for x in (F.col(p).cast("decimal(38,6)").alias(f"{p}_local"), F.col(f"{p}_reporting").alias(p))])),
+        "pnl": dealt("fact_pnl", pnl.select("period", "entity", "customer_sk", "customer_code", "product_sk", "product_code", "currency", "qty", *lines, "net_revenue_local", "operating_profit_local"), [*keys, "customer_code"]),
+        "inventory": dealt("fact_inventory", inv.select("period", "entity", "warehouse_sk", "warehouse_code", "product_sk", "product_code", "currency", F.col("qty").cast("decimal(18,6)").alias("stock_qty"), F.col("value").cast("decimal(38,6)").alias("stock_value_local"), F.col("value_reporting").alias("stock_value"), F.col("cost_reporting").alias("stock_cost"), "dio"), [*keys, "warehouse_code"]),
+        "price": dealt("fact_price", price.select("period", "entity", "channel_sk", "channel_code", "product_sk", "product_code", "currency", *[x for p in offer for x in (F.col(p).cast("decimal(38,6)").alias(f"{p}_local"), F.col(f"{p}_reporting").alias(p))]), [*keys, "channel_code"]),
     }
+    keep("date", star.expand_calendar(reduce(DataFrame.unionByName, (f.select("period") for f in facts.values()))))
     stock = ["stock_value", "stock_qty", "stock_cost"]
-    parts = [
+    premarts = [
         star.PremartPart(facts["pnl"], "customers", star.customer("customer_sk", "customer_code"), [*lines, "qty"]),
         star.PremartPart(facts["inventory"], "warehouses", F.col("warehouse_code"), stock, weight="stock_value"),
         star.PremartPart(facts["price"], "channels", F.col("channel_code"), prices=offer),
     ]
-    made = star.premarts(parts, GRAIN)
+    made = star.dealt_premarts(premarts, keys)
     full = star.with_results(made)
     results = [c for c in full.columns if c not in made.columns]
     zero = [*lines, "qty", "customers", *results, *stock, "warehouses"]
-    out = written(full.select(*GRAIN, *zero[:-1], "dio", "warehouses", *[x for p in offer for x in (p, f"min_{p}", f"max_{p}")], "channels").withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}))
+    mart_rows = full.select(*GRAIN, *zero[:-1], "dio", "warehouses", *[x for p in offer for x in (p, f"min_{p}", f"max_{p}")], "channels").withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+    with as_dealt(spark):
+        out = dealt("mart", mart_rows, keys)
     checks = {
         "fanout": star.fanout_check(out, facts["pnl"], GRAIN, [*lines, "qty"]),
         "stock": star.fanout_check(out, facts["inventory"], GRAIN, ["stock_qty", "stock_value", "stock_cost"]),
@@ -124,12 +150,13 @@ def tolerant_star(
         "wide_long": star.reconcile(staged["pnl"].select(star.signed_total(accounts, rules).alias("signed")), facts["pnl"], "signed", "operating_profit_local"),
         "unmapped": star.unmapped_code_audit(_unmapped_branches(facts, offer[0]), star.unmapped_account_amounts(staged["pnl"], accounts, rules, rates, reporting)),
     }
-    same = star.same_by_grain(out, [(facts["pnl"], [*lines, "qty"]), (facts["inventory"], stock)], GRAIN)  # else the checks say where
-    for name in ("members", "wide_long", *(() if same else ("fanout", "stock")), "price", "profit"):
-        if not checks[name].where("NOT ok").isEmpty():
-            raise ValueError(f"the mart's check failed: {name}")
+    with as_dealt(spark):
+        same = star.same_by_grain(out, [(facts["pnl"], [*lines, "qty"]), (facts["inventory"], stock)], GRAIN, dealt=True)  # else the checks say where
+        for name in ("members", "wide_long", *(() if same else ("fanout", "stock")), "price", "profit"):
+            if not checks[name].where("NOT ok").isEmpty():
+                raise ValueError(f"the mart's check failed: {name}")
     if target:
-        sinks.export_bundle({**{f"dim_{k}": v for k, v in dims.items()}, **{f"fact_{k}": v for k, v in facts.items()}, "mart": out, "unmapped": checks["unmapped"]}, target)
+        sinks.export_bundle({"unmapped": checks["unmapped"]}, target, parts)
     return StarResult(out, dims, facts, checks, left_out)
 
 

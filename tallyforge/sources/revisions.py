@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.session import written_dealt
+
 from .files import create_once, names, read_text
 
 _WRITE = "write"
@@ -64,7 +66,7 @@ class Revisions:
 
         The rows of a partition are gathered before, into one file for a few million of them.
         """
-        root = f"{self.target}/data/{name}/{_WRITE}={uuid.uuid4().hex}"
+        root = self._new_folder(name)
         rows = df.select(*[c for c in df.columns if c not in by], *by)
         writer = (rows.hint("rebalance", *[F.col(c) for c in by]) if by else rows).write.option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(root)
@@ -75,6 +77,14 @@ class Revisions:
         found = [r[0] for r in files.select(place).distinct().collect()] if names(self.spark, root) != ["_SUCCESS"] else []
         return Part(rows.schema.json(), {k: f"{root}/{k}" for k in sorted(found)})
 
+    def write_dealt(self, name: str, df: DataFrame, column: str, buckets: int, order: Sequence[str]) -> tuple[Part, DataFrame]:
+        """A table's rows without partitions, as session.written_dealt writes them, and the rows that know how they are dealt."""
+        root = self._new_folder(name)
+        return Part(df.schema.json(), {"": root}), written_dealt(df, root, column, buckets, order)
+
+    def _new_folder(self, name: str) -> str:
+        return f"{self.target}/data/{name}/{_WRITE}={uuid.uuid4().hex}"
+
     def read(self, name: str, revision: Revision, only: Sequence[str] | None = None) -> DataFrame:
         """A table at a revision, or some of its partitions. Filters on partition columns prune folders."""
         return self.read_part(name, revision.parts[name], only)

@@ -61,11 +61,12 @@ def publish_next(spark: SparkSession, target: str, df: DataFrame, seen: int, det
     return store.commit(last, {"data": part}, {**(details or {}), **facts})
 
 
-def export_bundle(tables: Mapping[str, DataFrame], target: str) -> dict:
-    """All tables of one run as one version, which is there once every one of them is written."""
+def export_bundle(tables: Mapping[str, DataFrame], target: str, made: Mapping[str, Part] | None = None) -> dict:
+    """All tables of one run as one version, which is there once every one of them is written. Tables that the run has
+    written to the target itself are given as what was made."""
     store = Revisions(next(iter(tables.values())).sparkSession, target)
     last = store.current()
-    parts = {name: store.write(name, df) for name, df in tables.items()}
+    parts = {**(made or {}), **{name: store.write(name, df) for name, df in tables.items()}}
     counts = {name: store.read_part(name, part).count() for name, part in parts.items()}
     dropped = {name: Part(p.schema, {}) for name, p in last.parts.items() if name not in parts}
     done = store.commit(last, {**dropped, **parts}, {"tables": counts})

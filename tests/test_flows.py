@@ -44,6 +44,17 @@ def test_tolerant_star(spark, staged):
     assert all(r["ok"] for r in got.checks["fanout"].collect() + got.checks["profit"].collect() + got.checks["stock"].collect())
 
 
+def test_a_star_is_published_from_where_its_checks_have_read_it(spark, staged):
+    target = scratch_folder(spark)
+    got = flows.tolerant_star(*staged, **ARGS, target=target)
+    tables = {**{f"fact_{k}": v for k, v in got.facts.items()}, **{f"dim_{k}": v for k, v in got.dims.items()}, "mart": got.mart}
+    store = Revisions(spark, target)
+    assert set(store.current().parts) == {*tables, "unmapped"}
+    for name, df in tables.items():
+        published = store.read(name, store.current())
+        assert sorted(published.inputFiles()) == sorted(df.inputFiles()) and sorted(map(repr, published.collect())) == sorted(map(repr, df.select(*published.columns).collect()))
+
+
 def test_unmapped_audit_of_a_star(spark, staged):
     wide, inv, prices, customers, products, rules, rates = staged
     free = wide.withColumn("REV", F.when(F.col("product_code") == "new", D("1")).otherwise(F.col("REV")))  # DED is 1 too: no net revenue

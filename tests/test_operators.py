@@ -11,6 +11,7 @@ from tallyforge.operators import aggregate as agg
 from tallyforge.operators import filters as flt
 from tallyforge.operators import mapping, periods, profile, ranges, reference, star
 from tallyforge.operators import mart as mt
+from tallyforge.session import as_dealt, scratch_folder, written_dealt
 from tallyforge.sources import landing, sinks
 from tallyforge.sources.revisions import Revisions, StaleRevision
 from tallyforge.streaming.periods import stream_period_files
@@ -418,6 +419,22 @@ def test_premarts_equal_the_joined_ones_with_one_shuffle(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_premarts_of_dealt_facts_need_no_shuffle(spark):
+    facts = premart_facts(spark)
+    grain, more = ["code", "period"], [("m", "b", "w9", Decimal(2), None), ("n", "a", "w1", Decimal(3), Decimal(4))]
+    facts = [facts[0], facts[1].unionByName(spark.createDataFrame(more, facts[1].schema)), facts[2]]
+    parts = lambda p, i, o: [star.PremartPart(p, "customers", star.customer("sk", "customer"), ["amount"]), star.PremartPart(i, "warehouses", F.col("w"), ["value"], weight="value"), star.PremartPart(o, "channels", F.col("channel"), prices=["price"])]
+    want = star.premarts(parts(*facts), grain)
+    dealt = [written_dealt(f.repartition(3, "code"), scratch_folder(spark), "code", 3, grain) for f in facts]
+    with as_dealt(spark):
+        got = star.dealt_premarts(parts(*dealt), grain)
+        rows = sorted(map(repr, got.select(*want.columns).collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    assert rows == sorted(map(repr, want.collect())) and len(rows) == 4
+    assert "hashpartitioning" not in plan
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"  # as it was
+
+
 def test_sums_by_grain_are_compared_without_dealing_rows(spark):
     pnl, _, _ = premart_facts(spark)
     grain = ["period", "code"]
