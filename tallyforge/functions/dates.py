@@ -39,7 +39,7 @@ def normalize_period(c: Column) -> Column:
             y = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
         ok = t.rlike(g) & m.try_cast("int").between(1, 12)
         out.append(F.when(ok, F.concat(y, F.lit("-"), F.lpad(m, 2, "0"))))
-    return F.coalesce(*out)
+    return F.when(c.cast("string").rlike("^[0-9]{4}-(0[1-9]|1[0-2])\\z"), c.cast("string")).otherwise(F.coalesce(*out))  # most are as they should be
 
 
 def period_parts(period: Column) -> Column:
