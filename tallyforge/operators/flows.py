@@ -105,8 +105,9 @@ def tolerant_star(
         parts[f"dim_{name}"] = store.write(f"dim_{name}", df)
         dims[name] = store.read_part(f"dim_{name}", parts[f"dim_{name}"])
 
-    def dealt(name: str, df: DataFrame, order: Sequence[str]) -> DataFrame:
-        parts[name], rows = store.write_dealt(name, df, "product_code", buckets, order)
+    def dealt(name: str, df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+        with as_dealt(spark, buckets):
+            parts[name], rows = store.write_dealt(name, df, "product_code", buckets, order)
         return rows
 
     for name, d in build_dimensions(customers, products, staged["inventory"], staged["price"], rules, staged["pnl"]).items():
@@ -139,8 +140,7 @@ def tolerant_star(
     results = [c for c in full.columns if c not in made.columns]
     zero = [*lines, "qty", "customers", *results, *stock, "warehouses"]
     mart_rows = full.select(*GRAIN, *zero[:-1], "dio", "warehouses", *[x for p in offer for x in (p, f"min_{p}", f"max_{p}")], "channels").withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
-    with as_dealt(spark):
-        out = dealt("mart", mart_rows, keys)
+    out = dealt("mart", mart_rows)  # sorted as it is
     checks = {
         "fanout": star.fanout_check(out, facts["pnl"], GRAIN, [*lines, "qty"]),
         "stock": star.fanout_check(out, facts["inventory"], GRAIN, ["stock_qty", "stock_value", "stock_cost"]),
@@ -150,7 +150,7 @@ def tolerant_star(
         "wide_long": star.reconcile(staged["pnl"].select(star.signed_total(accounts, rules).alias("signed")), facts["pnl"], "signed", "operating_profit_local"),
         "unmapped": star.unmapped_code_audit(_unmapped_branches(facts, offer[0]), star.unmapped_account_amounts(staged["pnl"], accounts, rules, rates, reporting)),
     }
-    with as_dealt(spark):
+    with as_dealt(spark, buckets):
         same = star.same_by_grain(out, [(facts["pnl"], [*lines, "qty"]), (facts["inventory"], stock)], GRAIN, dealt=True)  # else the checks say where
         for name in ("members", "wide_long", *(() if same else ("fanout", "stock")), "price", "profit"):
             if not checks[name].where("NOT ok").isEmpty():

@@ -77,7 +77,7 @@ class Revisions:
         found = [r[0] for r in files.select(place).distinct().collect()] if names(self.spark, root) != ["_SUCCESS"] else []
         return Part(rows.schema.json(), {k: f"{root}/{k}" for k in sorted(found)})
 
-    def write_dealt(self, name: str, df: DataFrame, column: str, buckets: int, order: Sequence[str]) -> tuple[Part, DataFrame]:
+    def write_dealt(self, name: str, df: DataFrame, column: str, buckets: int, order: Sequence[str] = ()) -> tuple[Part, DataFrame]:
         """A table's rows without partitions, as session.written_dealt writes them, and the rows that know how they are dealt."""
         root = self._new_folder(name)
         return Part(df.schema.json(), {"": root}), written_dealt(df, root, column, buckets, order)

@@ -426,13 +426,24 @@ def test_premarts_of_dealt_facts_need_no_shuffle(spark):
     parts = lambda p, i, o: [star.PremartPart(p, "customers", star.customer("sk", "customer"), ["amount"]), star.PremartPart(i, "warehouses", F.col("w"), ["value"], weight="value"), star.PremartPart(o, "channels", F.col("channel"), prices=["price"])]
     want = star.premarts(parts(*facts), grain)
     dealt = [written_dealt(f.repartition(3, "code"), scratch_folder(spark), "code", 3, grain) for f in facts]
-    with as_dealt(spark):
+    with as_dealt(spark, 3):
         got = star.dealt_premarts(parts(*dealt), grain)
         rows = sorted(map(repr, got.select(*want.columns).collect()))
         plan = got._jdf.queryExecution().executedPlan().toString()
     assert rows == sorted(map(repr, want.collect())) and len(rows) == 4
     assert "hashpartitioning" not in plan
-    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"  # as it was
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None  # as they were
+
+
+def test_a_join_leaves_rows_in_their_buckets(spark):
+    rows, dim = spark.range(300).select((F.col("id") % 40).cast("string").alias("code"), "id"), spark.range(40).select(F.col("id").cast("string").alias("nk"), F.col("id").alias("sk"))
+    path = scratch_folder(spark)
+    with as_dealt(spark, 3):  # fewer than the session's shuffle partitions
+        joined = star.lookup_surrogate_left(rows.repartition(3, "code"), dim.hint("merge"), "code", "nk", "sk", "key", exact=True)
+        got = written_dealt(joined, path, "code", 3, ["code", "key"])
+        once = got.groupBy("code", "id").count()
+        assert "hashpartitioning" not in once._jdf.queryExecution().executedPlan().toString() and once.count() == 300
+    assert len(got.inputFiles()) == 3
 
 
 def test_sums_by_grain_are_compared_without_dealing_rows(spark):
